@@ -88,8 +88,8 @@ def spans(text: Column, kind: str, rules: dict = RULES) -> Column:
         rows,
         F.struct(F.lit(0).alias("at"), empty.alias("out")),
         lambda a, x: F.struct(
-            (a["at"] + x["0"] + x["1"]).alias("at"),
-            F.when(x["2"] >= least, F.concat(a["out"], F.array(F.struct((a["at"] + x["0"]).alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), (a["at"] + x["0"] + x["1"]).alias("stop"))))).otherwise(a["out"]).alias("out"),
+            (a["at"] + x["gap"] + x["size"]).alias("at"),
+            F.when(x["counted"] >= least, F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), (a["at"] + x["gap"] + x["size"]).alias("stop"))))).otherwise(a["out"]).alias("out"),
         ),
         lambda a: a["out"],
     )
