@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,10 +31,27 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, name)
+    """df as a Parquet table in the shared folder: lineage ends there and a lost executor loses nothing.
+
+    The job's shuffle files are then of no use. Spark removes them when the driver's collector finds their plan gone,
+    which on a driver with much memory may be hours later; so it is asked to look now.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    table = spark.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved() tables that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._saved_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:

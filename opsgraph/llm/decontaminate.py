@@ -147,3 +147,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
         F.sha2(F.concat_ws(",", F.coalesce("items", none)), 256).alias("items_sha256"),
         ((n_hit > 0) & (F.lit(share) * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
+    """docs without the contaminated rows; columns as they are. Rows that agree in doc_id and text are judged alike."""
+    row = F.xxhash64("doc_id", "text")
+    judged = contamination(docs.select(row.alias("doc_id"), "text"), benchmark, size, share)
+    gone = judged.filter("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, row == F.col("__gone"), "left_anti")

@@ -3,7 +3,8 @@
 A document's set is its distinct word shingles, as 64-bit hashes. Each shingle toggles one bit of a long sketch, so the
 sketches of two sets differ in at most as many bits as the sets differ in members. The sketch is cut into parts; two
 linked sets differ in at most d members, so of any d + 1 parts one is equal at least (pigeonhole). A part's key is an XOR
-of one random word for each toggled bit: equal parts have equal keys, and only the pairs that share a key are verified.
+of one random word for each toggled bit: equal parts have equal keys, and only pairs that share a key are candidates.
+A short sketch of a bit for each shingle or more prunes them by its Hamming distance; the rest is verified on the texts.
 
 Size bands have a layout of parts each; a set near a band's lower end, which can link to a smaller one, also posts keys
 in the band below. A set of n shingles posts its first d(n) + 1 parts and some spare ones, d(n) being the most members
@@ -27,16 +28,18 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsgraph.llm.common import filled, hashed_runs, mix, offsets, raw, saved, slices
+from opsgraph.llm.common import discard, filled, hashed_runs, mix, offsets, raw, saved, slices
 from opsgraph.llm.components import components
 
 #: White space of the word rule, and ASCII lower case, for each byte.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 PART_BITS = 4096
+#: Longest bit sketch, in words of 64 bits.
+MOST_WORDS = 256
 #: Size bands: each starts at RATIO times the last one's start.
 RATIO = 1.6
 EDGES = np.unique(np.ceil(RATIO ** np.arange(64)).astype(np.int64))
@@ -157,6 +160,36 @@ def sketch_keys(values: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def bit_sketches(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A short parity sketch of each row, one bit for a shingle: 64-bit words and where each row's begin. The least power of two that has a bit for each shingle, or MOST_WORDS."""
+    n = np.diff(begin)
+    words = np.where(n > 0, np.minimum(MOST_WORDS, 2 ** np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)), 0)
+    at = np.concatenate([[0], np.cumsum(words)]).astype(np.int32)
+    owner = np.repeat(np.arange(len(n)), n)
+    place = (values >> np.uint64(32)).astype(np.int64) & (words[owner] * 64 - 1)
+    out = np.zeros(int(at[-1]), np.uint64)
+    np.bitwise_xor.at(out, at[owner] + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    return out.view(np.int64), at
+
+
+def may_link(x: str, y: str, num: int, den: int) -> Column:
+    """False where sizes or sketches show that two nodes (n, bits) can't link: Hamming distance is at most the difference of the sets.
+
+    Sketch lengths of linked sets differ by a factor of two at most; the longer one is folded.
+    """
+    n = [F.col(f"{a}.n") for a in (x, y)]
+    bits = [F.col(f"{a}.bits") for a in (x, y)]
+
+    def folded(own: Column, other: Column) -> Column:
+        half = F.size(other)
+        halves = F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(own) == 2 * half, halves).otherwise(own)
+
+    apart = F.aggregate(F.zip_with(folded(bits[0], bits[1]), folded(bits[1], bits[0]), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, k: s + k)
+    sizes = (n[0] * num <= n[1] * den) & (n[1] * num <= n[0] * den)
+    return sizes & (apart * (den + num) <= (n[0] + n[1]) * (den - num))
+
+
 def _sketches(size: int, num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document; of equal sets only the first of a task carries keys."""
@@ -172,8 +205,9 @@ def _sketches(size: int, num: int, den: int) -> Callable:
                 posted.add(d) if fresh else None
             at = np.cumsum([0, *(0 if k is None else len(k) for k in keys)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *(k for k in keys if k is not None)]))
-            columns = [batch.column("doc_id"), pa.array(np.diff(begin)), pa.array(node), pa.array(check), pa.ListArray.from_arrays(pa.array(at), flat)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "digest", "keys"])
+            bits, bit_at = bit_sketches(values, begin)
+            columns = [batch.column("doc_id"), pa.array(np.diff(begin)), pa.array(node), pa.array(check), pa.ListArray.from_arrays(pa.array(bit_at), pa.array(bits)), pa.ListArray.from_arrays(pa.array(at), flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "digest", "bits", "keys"])
 
     return run
 
@@ -215,29 +249,45 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
 def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per document: doc_id, n_shingles (set size), component_id (the smallest doc_id reachable by links). Links: den * |A and B| >= num * |A or B|."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    made = source.mapInArrow(_sketches(size, num, den), "doc_id long, n_shingles long, node long, digest long, keys array<long>")
-    sets = saved(made, "sketches")
+    made = source.mapInArrow(_sketches(size, num, den), "doc_id long, n_shingles long, node long, digest long, bits array<long>, keys array<long>")
+    made = saved(made, "sketches")
     by_key = Window.partitionBy("key")
-    posts = sets.select("node", F.explode("keys").alias("key"))
+    posts = made.select("node", F.explode("keys").alias("key"))
     shared = posts.withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key)}).filter("lo < hi")
     shared = saved(shared.select("key", "node", "lo").distinct(), "shared")
-    nodes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = saved(nodes, "nodes")
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi")
-    texts = saved(source.join(wanted, "doc_id").select("node", "text"), "texts", "zstd")
-    stars = saved(shared.filter("lo < node").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = saved(verified(stars, texts, size, num, den), "links")
+    sets = saved(made.select("doc_id", "n_shingles", "node"), "sets")
+    held = made.filter("keys is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    first_doc = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = saved(first_doc.join(held, "node"), "nodes")
+    discard(made)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) those whose sets link."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = source.join(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "doc_id").select("node", "text")
+        texts = saved(texts, "texts", "zstd")
+        found = saved(verified(pairs, texts, size, num, den), "links")
+        discard(texts)
+        return found
+
+    traits = nodes.select("node", "n", "bits")
+    stars = shared.filter("lo < node").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    x, y = traits.alias("x"), traits.alias("y")
+    stars = stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(may_link("x", "y", num, den)).select("a", "b")
+    stars = saved(stars, "stars")
+    links = linked(stars)
     label = components(links).withColumnRenamed("id", "node")
     # Of what shares a key, pairs across the classes found so far: after them no link between classes is untried.
     seen = shared.select("key", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     seen = saved(seen, "seen")
     mixed = seen.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    apart = saved(seen.join(mixed, "key"), "apart")
+    apart = saved(seen.join(mixed, "key").join(traits, "node"), "apart")
     x, y = apart.alias("x"), apart.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & may_link("x", "y", num, den))
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     fresh = saved(pairs.join(stars, ["a", "b"], "left_anti"), "fresh")
-    more = saved(verified(fresh, texts, size, num, den), "links")
+    discard(seen, apart)
+    more = linked(fresh)
     if more.limit(1).count():
         label = components(links.union(more)).withColumnRenamed("id", "node")
     owned = saved(nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id"), "owned")

@@ -153,3 +153,12 @@ def identified(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, mixture."""
     langs, log_p = train(labelled_rows(docs))
     return predict(docs, langs, log_p, [F.col("doc_id").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out")])
+
+
+def known(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows whose predicted language has at least the share `least`, and isn't `und`; columns as they are."""
+    langs, log_p = train(labelled_rows(docs))
+    names = docs.columns
+    found = predict(docs, langs, log_p, [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)])
+    found = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from opsgraph.llm import decontaminate, exact_dedup, jaccard, langid, mixing, secret_scan, suffix_dedup, token_count, url_filter, wavelet
+from opsgraph.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +58,3 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_exact_dedup, op4_suffix_dedup, op5_token_counts, op6_token_output, op7_mixing, op8_secret_scan, op9_url_filter, op10_jaccard_join)
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -9,7 +9,9 @@ Only sampled suffixes travel. In every 200-byte string the 48-byte suffix with t
 equal strings have equal anchors at equal offsets. Consecutive strings with one anchor make a segment. Refinement goes
   1. by the anchor's identifier: a bucket of one suffix is done, nothing in its segment occurs twice;
   2. by the identifier of the whole segment: of equal segments every string occurs again;
-  3. by the 200-byte identifiers inside the segments that are alone in a bucket with others.
+  3. by blocks of eight starts in the segments that are alone in a bucket with others: a block whose common 192 bytes
+     occur in no other is done, and equal blocks occur again as a whole;
+  4. by the 200-byte identifiers inside the blocks left.
 The results of a step are used in the next: only buckets still mixed go on. Identifiers compared together have 128 bits
 (bucket and name), so that a chance equality isn't to be expected at any corpus size in question.
 
@@ -27,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgraph.llm.common import filled, mix, offsets, raw, saved, slices
+from opsgraph.llm.common import discard, filled, mix, offsets, raw, saved, slices
 
 LENGTH = 200
 ANCHOR = 48
+#: Strings that start in one block of BLOCK places, counted from the anchor, have CORE bytes in common.
+BLOCK = 8
+CORE = 192
 #: Anchors that one string of LENGTH bytes offers.
 REACH = LENGTH - ANCHOR + 1
 
@@ -45,8 +50,8 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers at depths ANCHOR and LENGTH of every place that has so many bytes after it."""
+def names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identifiers at depths ANCHOR, CORE and LENGTH of every place that has so many bytes after it."""
     n = len(data)
     data = np.ascontiguousarray(data)
     d8 = np.ndarray((n - 7,), "<u8", data, 0, (1,)).copy()
@@ -55,7 +60,7 @@ def names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     anchor = mix(_pair(d32[:-16], d16[32:]))
     d64 = _pair(d32[:-32], d32[32:])
     d128 = _pair(d64[:-64], d64[64:])
-    return anchor, mix(_pair(d128[:-72], d128[72:]))
+    return anchor, mix(_pair(d128[:-64], d64[128:])), mix(_pair(d128[:-72], d128[72:]))
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -70,12 +75,12 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each segment of the documents data[at[i]:at[i + 1]]: document number, bucket, name, first and last start of its strings."""
+    """For each segment of the documents data[at[i]:at[i + 1]]: document number, bucket, name, first and last start of its strings, place of the anchor."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     with np.errstate(over="ignore"):
-        anchor, name = names(data)
+        anchor, _, name = names(data)
         # The high half decides, the place breaks ties: the leftmost of equal ones, which equal strings agree on.
         ranked = (anchor & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(anchor), dtype=np.uint64)
         place = (sliding_least(ranked, REACH) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -96,52 +101,80 @@ def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         last = np.flatnonzero(valid & (np.concatenate([~valid[1:], [True]]) | cut[1:]))
         of = np.searchsorted(at, first, side="right") - 1
         whole = _pair(_pair(name[first], name[last]), (last - first).astype(np.uint64) * np.uint64(512) + (place[first] - first).astype(np.uint64))
-        return of, anchor[place[first]].view(np.int64), mix(whole).view(np.int64), first - at[of], last - at[of]
+        return of, anchor[place[first]].view(np.int64), mix(whole).view(np.int64), first - at[of], last - at[of], place[first] - at[of]
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         text = filled(batch)
-        of, bucket, name, first, last = segments(raw(text), offsets(text))
+        of, bucket, name, *places = segments(raw(text), offsets(text))
         row = batch.column("row").to_numpy(zero_copy_only=False)[of]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(name), pa.array(row), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["bucket", "name", "row", "first", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(name), pa.array(row), *(pa.array(p.astype(np.int32)) for p in places)], ["bucket", "name", "row", "first", "last", "anchor"])
 
 
-def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The names of all strings of the listed segments; once: the segment has no equal."""
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of the listed segments with the names of their strings; once: the segment has no equal."""
     for batch in slices(batches):
         text = filled(batch)
         data, at = raw(text), offsets(text)
         with np.errstate(over="ignore"):
-            name = names(data)[1].view(np.int64)
+            _, core, name = names(data)
         lists = batch.column("parts")
         flat = lists.flatten()
-        count = np.diff(lists.offsets.to_numpy(zero_copy_only=False))
-        of = np.repeat(np.arange(len(text)), count)
-        first, last, bucket, once = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last", "bucket", "once"))
-        width = (last - first + 1).astype(np.int64)
-        seg = np.repeat(np.arange(len(of)), width)
-        start = np.arange(len(seg)) - np.repeat(np.cumsum(width) - width, width) + first[seg]
+        of = np.repeat(np.arange(len(text)), np.diff(lists.offsets.to_numpy(zero_copy_only=False)))
+        first, last, anchor, bucket, once = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last", "anchor", "bucket", "once"))
+        # Blocks are counted from the anchor, so that equal places of equal strings share a block.
+        low, high = (first - anchor + LENGTH) // BLOCK, (last - anchor + LENGTH) // BLOCK
+        count = (high - low + 1).astype(np.int64)
+        seg = np.repeat(np.arange(len(of)), count)
+        block = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count) + low[seg]
+        start = block * BLOCK - LENGTH + anchor[seg]
+        lo, hi = np.maximum(start, first[seg]), np.minimum(start + BLOCK - 1, last[seg])
+        base = at[of[seg]]
+        with np.errstate(over="ignore"):
+            whole = mix(_pair(_pair(name[base + lo], name[base + hi]), (lo - start).astype(np.uint64) * np.uint64(BLOCK) + (hi - start).astype(np.uint64)))
+        middle = core[base + start + BLOCK - 1].view(np.int64)
+        width = (hi - lo + 1).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(width)])
+        each = np.repeat(base + lo, width) + np.arange(ends[-1]) - np.repeat(ends[:-1], width)
+        held = name[each].view(np.int64)
         row = batch.column("row").to_numpy(zero_copy_only=False)[of[seg]]
-        out = [bucket[seg], name[at[of[seg]] + start], row, start.astype(np.int32), once[seg]]
-        for i in range(0, len(seg), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in out], ["bucket", "name", "row", "start", "once"])
+        for i in range(0, len(seg), 20_000):
+            j = min(i + 20_000, len(seg))
+            lists_ = pa.ListArray.from_arrays(pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), pa.array(held[ends[i] : ends[j]]))
+            flat_ = [pa.array(c[i:j]) for c in (bucket[seg], block.astype(np.int32), middle, whole.view(np.int64), row, lo.astype(np.int32), hi.astype(np.int32), once[seg])]
+            yield pa.RecordBatch.from_arrays([*flat_, lists_], ["bucket", "block", "core", "whole", "row", "first", "last", "once", "names"])
 
 
 def repeated_starts(texts: DataFrame) -> DataFrame:
     """(row, first, last): ranges of starts of strings that start elsewhere too, for texts (row, text)."""
-    found = saved(texts.mapInArrow(_segment_rows, "bucket long, name long, row long, first int, last int"), "segments", "zstd")
+    found = saved(texts.mapInArrow(_segment_rows, "bucket long, name long, row long, first int, last int, anchor int"), "segments", "zstd")
     shared = found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("name").alias("lo"), F.max("name").alias("hi")).filter("n > 1")
-    open_ = saved(found.join(shared, "bucket").select("bucket", "name", "row", "first", "last", (F.col("lo") < F.col("hi")).alias("mixed")), "buckets", "zstd")
+    open_ = saved(found.join(shared, "bucket").select(*found.columns, (F.col("lo") < F.col("hi")).alias("mixed")), "buckets", "zstd")
+    discard(found)
+    span = ["row", "first", "last"]
     mixed = open_.filter("mixed")
-    alike = saved(mixed.groupBy("bucket", "name").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("one")), "names", "zstd")
+    alike = mixed.groupBy("bucket", "name").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "anchor")).alias("one"))
+    alike = saved(alike, "names", "zstd")
     again = mixed.join(alike.filter("n > 1").select("bucket", "name"), ["bucket", "name"])
-    parts = alike.select("one.*", "bucket", (F.col("n") == 1).alias("once")).groupBy("row").agg(F.collect_list(F.struct("first", "last", "bucket", "once")).alias("parts"))
-    strings = texts.join(parts, "row").mapInArrow(_string_rows, "bucket long, name long, row long, start int, once boolean")
-    strings = saved(strings, "strings", "zstd")
-    common = strings.groupBy("bucket", "name").agg(F.count("*").alias("n"), F.bool_or("once").alias("once")).filter("n > 1 and once")
-    single = strings.filter("once").join(common.select("bucket", "name"), ["bucket", "name"]).select("row", F.col("start").alias("first"), F.col("start").alias("last"))
-    return open_.filter("not mixed").select("row", "first", "last").union(again.select("row", "first", "last")).union(single)
+    again = saved(open_.filter("not mixed").select(*span).union(again.select(*span)), "spans", "zstd")
+    discard(open_)
+    parts = alike.select("one.*", "bucket", (F.col("n") == 1).alias("once")).groupBy("row").agg(F.collect_list(F.struct("first", "last", "anchor", "bucket", "once")).alias("parts"))
+    kinds = "bucket long, block int, core long, whole long, row long, first int, last int, once boolean, names array<long>"
+    blocks = saved(texts.join(parts, "row").mapInArrow(_block_rows, kinds), "blocks", "zstd")
+    discard(alike)
+    key = ["bucket", "block", "core"]
+    common = blocks.groupBy(*key).agg(F.bool_or("once").alias("any"), F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("any and n > 1")
+    common = saved(blocks.join(common.select(*key, (F.col("lo") < F.col("hi")).alias("mixed")), key), "common", "zstd")
+    discard(blocks)
+    whole = common.filter("not mixed and once").select(*span)
+    strings = common.filter("mixed").select("bucket", "row", "once", "first", F.posexplode("names").alias("i", "name"))
+    strings = saved(strings.select("bucket", "name", "row", (F.col("first") + F.col("i")).alias("start"), "once"), "strings", "zstd")
+    whole = saved(whole, "spans", "zstd")
+    discard(common)
+    twice = strings.groupBy("bucket", "name").agg(F.count("*").alias("n"), F.bool_or("once").alias("any")).filter("n > 1 and any")
+    single = strings.filter("once").join(twice.select("bucket", "name"), ["bucket", "name"]).select("row", F.col("start").alias("first"), F.col("start").alias("last"))
+    return again.union(whole).union(single)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
