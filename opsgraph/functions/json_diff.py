@@ -8,13 +8,14 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 ARRAY_KEYS = ["name", "containerPort", "port", "type", "key"]
 NOISY = ["metadata.managedFields", "metadata.resourceVersion", "metadata.generation", "metadata.uid", "metadata.creationTimestamp", "status.observedGeneration"]
 NOT_SPEC = ["status", "metadata.managedFields", "metadata.resourceVersion", "metadata.generation", "metadata.uid", "metadata.creationTimestamp"]
 
-DIFF = "array<struct<path:string,op:string,old:string,new:string>>"
+DIFF = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("path", "op", "old", "new")]))
 
 
 def _parsed(text: str | None) -> Any:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsgraph.functions.stored import cut
 from opsgraph.operators import rules
 from opsgraph.operators.traverse import reachable
 
@@ -58,12 +59,13 @@ def causal_paths(edges: DataFrame, resources: DataFrame, anomalies: DataFrame, i
     depth = max(1, min(depth, 10))
     # Anomalies without an incident stand for every incident whose window they were found in: the walk joins them by node.
     seen = anomalies if "incident_id" in anomalies.columns else anomalies.join(reachable_in(edges, incidents, depth), "uid")
-    context = node_context(seen.join(incidents.select("incident_id", "first_failure_ns").distinct(), "incident_id"))
+    context = cut(node_context(seen.join(incidents.select("incident_id", "first_failure_ns").distinct(), "incident_id")))
     up = upstream_edges(edges)
     traits = up.groupBy("at").agg(F.bool_or(F.col("edge") == "MANAGES").alias("managed"), F.bool_or(F.col("edge") == "REFERENCES_SPEC").alias("refers")).withColumnRenamed("at", "uid")
     kinds = resources.select("uid", "kind")
     start = incidents.select("incident_id", "uid").join(kinds, "uid", "left")
     front = start.select("incident_id", F.col("uid").alias("at"), F.array(F.struct(F.col("uid"), F.col("kind"), F.lit("").alias("edge"), F.lit("").alias("edge_kind"))).alias("path"))
+    traits, up = cut(traits), cut(up)
     out = None
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     for d in range(1, depth + 1):
@@ -77,6 +79,7 @@ def causal_paths(edges: DataFrame, resources: DataFrame, anomalies: DataFrame, i
         go_on = F.when(stop, yes("refers")).otherwise(past)
         kind = F.when(F.col("cause"), "cause").otherwise("materialization")
         step = step.withColumn("path", F.concat("path", F.array(F.struct("uid", "kind", "edge", kind.alias("edge_kind"))))).withColumn("emit", emit).withColumn("go_on", go_on)
+        step = cut(step)  # both what ends here and what goes on come from it
         ends = step.filter("emit").select("incident_id", F.col("uid").alias("root"), F.col("kind").alias("root_kind"), "path", "first_ns", "severity", yes("definitive").alias("definitive"))
         out = ends if out is None else out.union(ends)
         front = step.filter("go_on").select("incident_id", F.col("uid").alias("at"), "path")

@@ -88,6 +88,12 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as lines of an access log."""
+    p = table(spark, sf_dir, "pages")
+    return p.select(F.lit("web").alias("namespace"), F.lit("pod-0").alias("pod"), F.lit("c0").alias("container"), (F.col("page_id") * F.lit(1_000_000_000)).alias("ts_ns"), F.concat(F.lit("GET "), F.coalesce("url", F.lit(""))).alias("message"))
+
+
 LOG_LINES_SQL = """
 v_logs AS (
   SELECT role AS namespace, 'pod-' || (conv_id % 20) AS pod, 'c' || (turn % 3) AS container, (conv_id * 60 + turn) * 1000000000 AS ts_ns, coalesce(text, '') AS message FROM conversations
