@@ -112,17 +112,28 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(name), pa.array(row), *(pa.array(p.astype(np.int32)) for p in places)], ["bucket", "name", "row", "first", "last", "anchor"])
 
 
+def _parts(batch: pa.RecordBatch, fields: list[str]) -> tuple[np.ndarray, ...]:
+    """The rows' `parts` lists end to end: the number of the row that each is of, and its fields."""
+    lists = batch.column("parts")
+    flat = lists.flatten()
+    of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy(zero_copy_only=False)))
+    return of, *(flat.field(k).to_numpy(zero_copy_only=False) for k in fields)
+
+
+def _batches(columns: dict[str, np.ndarray], most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    n = len(next(iter(columns.values())))
+    for i in range(0, n, most):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + most]) for c in columns.values()], list(columns))
+
+
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of the listed segments with the names of their strings; once: the segment has no equal."""
+    """The blocks of the listed segments; once: the segment has no equal."""
     for batch in slices(batches):
         text = filled(batch)
         data, at = raw(text), offsets(text)
         with np.errstate(over="ignore"):
             _, core, name = names(data)
-        lists = batch.column("parts")
-        flat = lists.flatten()
-        of = np.repeat(np.arange(len(text)), np.diff(lists.offsets.to_numpy(zero_copy_only=False)))
-        first, last, anchor, bucket, once = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last", "anchor", "bucket", "once"))
+        of, first, last, anchor, bucket, once = _parts(batch, ["first", "last", "anchor", "bucket", "once"])
         # Blocks are counted from the anchor, so that equal places of equal strings share a block.
         low, high = (first - anchor + LENGTH) // BLOCK, (last - anchor + LENGTH) // BLOCK
         count = (high - low + 1).astype(np.int64)
@@ -133,17 +144,24 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = at[of[seg]]
         with np.errstate(over="ignore"):
             whole = mix(_pair(_pair(name[base + lo], name[base + hi]), (lo - start).astype(np.uint64) * np.uint64(BLOCK) + (hi - start).astype(np.uint64)))
-        middle = core[base + start + BLOCK - 1].view(np.int64)
-        width = (hi - lo + 1).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(width)])
-        each = np.repeat(base + lo, width) + np.arange(ends[-1]) - np.repeat(ends[:-1], width)
-        held = name[each].view(np.int64)
         row = batch.column("row").to_numpy(zero_copy_only=False)[of[seg]]
-        for i in range(0, len(seg), 20_000):
-            j = min(i + 20_000, len(seg))
-            lists_ = pa.ListArray.from_arrays(pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), pa.array(held[ends[i] : ends[j]]))
-            flat_ = [pa.array(c[i:j]) for c in (bucket[seg], block.astype(np.int32), middle, whole.view(np.int64), row, lo.astype(np.int32), hi.astype(np.int32), once[seg])]
-            yield pa.RecordBatch.from_arrays([*flat_, lists_], ["bucket", "block", "core", "whole", "row", "first", "last", "once", "names"])
+        middle = core[base + start + BLOCK - 1].view(np.int64)
+        yield from _batches({"bucket": bucket[seg], "block": block.astype(np.int32), "core": middle, "whole": whole.view(np.int64), "row": row, "first": lo.astype(np.int32), "last": hi.astype(np.int32), "once": once[seg]})
+
+
+def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names of all strings of the listed blocks."""
+    for batch in slices(batches):
+        text = filled(batch)
+        data, at = raw(text), offsets(text)
+        with np.errstate(over="ignore"):
+            name = names(data)[2].view(np.int64)
+        of, first, last, bucket, once = _parts(batch, ["first", "last", "bucket", "once"])
+        width = (last - first + 1).astype(np.int64)
+        part = np.repeat(np.arange(len(of)), width)
+        start = np.arange(len(part)) - np.repeat(np.cumsum(width) - width, width) + first[part]
+        row = batch.column("row").to_numpy(zero_copy_only=False)[of[part]]
+        yield from _batches({"bucket": bucket[part], "name": name[at[of[part]] + start], "row": row, "start": start.astype(np.int32), "once": once[part]})
 
 
 def repeated_starts(texts: DataFrame) -> DataFrame:
@@ -160,18 +178,18 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     again = saved(open_.filter("not mixed").select(*span).union(again.select(*span)), "spans", "zstd")
     discard(open_)
     parts = alike.select("one.*", "bucket", (F.col("n") == 1).alias("once")).groupBy("row").agg(F.collect_list(F.struct("first", "last", "anchor", "bucket", "once")).alias("parts"))
-    kinds = "bucket long, block int, core long, whole long, row long, first int, last int, once boolean, names array<long>"
+    kinds = "bucket long, block int, core long, whole long, row long, first int, last int, once boolean"
     blocks = saved(texts.join(parts, "row").mapInArrow(_block_rows, kinds), "blocks", "zstd")
     discard(alike)
     key = ["bucket", "block", "core"]
     common = blocks.groupBy(*key).agg(F.bool_or("once").alias("any"), F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("any and n > 1")
-    common = saved(blocks.join(common.select(*key, (F.col("lo") < F.col("hi")).alias("mixed")), key), "common", "zstd")
+    common = blocks.join(common.select(*key, (F.col("lo") < F.col("hi")).alias("mixed")), key)
+    common = saved(common.select(*span, "bucket", "once", "mixed"), "common", "zstd")
     discard(blocks)
     whole = common.filter("not mixed and once").select(*span)
-    strings = common.filter("mixed").select("bucket", "row", "once", "first", F.posexplode("names").alias("i", "name"))
-    strings = saved(strings.select("bucket", "name", "row", (F.col("first") + F.col("i")).alias("start"), "once"), "strings", "zstd")
-    whole = saved(whole, "spans", "zstd")
-    discard(common)
+    parts = common.filter("mixed").groupBy("row").agg(F.collect_list(F.struct("first", "last", "bucket", "once")).alias("parts"))
+    strings = texts.join(parts, "row").mapInArrow(_string_rows, "bucket long, name long, row long, start int, once boolean")
+    strings = saved(strings, "strings", "zstd")
     twice = strings.groupBy("bucket", "name").agg(F.count("*").alias("n"), F.bool_or("once").alias("any")).filter("n > 1 and any")
     single = strings.filter("once").join(twice.select("bucket", "name"), ["bucket", "name"]).select("row", F.col("start").alias("first"), F.col("start").alias("last"))
     return again.union(whole).union(single)
