@@ -12,8 +12,9 @@ in which a linked partner can differ. Empty parts are alike in many sets and are
 them than spare parts, so that the parts it has in common with a partner could all be empty.
 
 Equal sets are one node of the join, named by the set's digest, so copies are never paired. In a group that shares a key
-all members are paired with its first one only. Links found so join nodes into classes; then every group that still
-spans several classes pairs its members across classes, and no unverified pair between classes is left. So classes are
+all members are paired with one only. Links found so join nodes into classes. Groups that still span several classes take
+another centre, for TURNS turns; at last their members are paired across classes, and no unverified pair between classes
+is left. So classes are
 exact, though not all pairs inside a class are listed.
 
 Null text and texts without words have an empty set, linked with nothing. Rows with a null doc_id take no part in links
@@ -38,6 +39,8 @@ from opsgraph.llm.components import components
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 PART_BITS = 4096
+#: Turns in which groups are tried as stars, before all pairs across the classes left.
+TURNS = 4
 #: Longest bit sketch, in words of 64 bits.
 MOST_WORDS = 256
 #: Size bands: each starts at RATIO times the last one's start.
@@ -271,25 +274,37 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
         return found
 
     traits = nodes.select("node", "n", "bits")
-    stars = shared.filter("lo < node").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
     x, y = traits.alias("x"), traits.alias("y")
-    stars = stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(may_link("x", "y", num, den)).select("a", "b")
-    stars = saved(stars, "stars")
-    links = linked(stars)
-    label = components(links).withColumnRenamed("id", "node")
-    # Of what shares a key, pairs across the classes found so far: after them no link between classes is untried.
-    seen = shared.select("key", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    seen = saved(seen, "seen")
-    mixed = seen.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    apart = saved(seen.join(mixed, "key").join(traits, "node"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & may_link("x", "y", num, den))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    fresh = saved(pairs.join(stars, ["a", "b"], "left_anti"), "fresh")
-    discard(seen, apart)
-    more = linked(fresh)
-    if more.limit(1).count():
-        label = components(links.union(more)).withColumnRenamed("id", "node")
+    tried, links, label = None, None, None
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+    for turn in range(TURNS + 1):
+        seen = shared.withColumn("component", F.col("node")) if label is None else shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = seen.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("h"), "node", "component")).alias("centre")).filter("low < high")
+        if turn < TURNS:  # every member with the group's centre, another one each turn
+            centre = F.when(F.lit(turn > 0), F.col("centre.node")).otherwise(F.col("lo"))
+            pairs = seen.join(mixed.select("key", "centre"), "key").select(centre.alias("a"), F.col("node").alias("b"), (F.lit(turn == 0) | (F.col("component") != F.col("centre.component"))).alias("apart"))
+            pairs = untried(pairs.filter("apart and a != b").select("a", "b"))
+            pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(may_link("x", "y", num, den)).select("a", "b")
+        else:  # all pairs across the classes that are left: after them no link between classes is untried
+            members = saved(seen.join(mixed.select("key"), "key").join(traits, "node").select("key", "node", "component", "n", "bits"), "members")
+            u, v = members.alias("x"), members.alias("y")
+            pairs = u.join(v, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & may_link("x", "y", num, den))
+            pairs = untried(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        pairs = saved(pairs, "tried")
+        if not pairs.limit(1).count():
+            if turn >= TURNS:
+                break
+            continue
+        tried = pairs if tried is None else tried.union(pairs)
+        more = linked(pairs)
+        links = more if links is None else links.union(more)
+        label = saved(components(links).withColumnRenamed("id", "node"), "labels")
+    if label is None:
+        label = nodes.select("node", F.col("node").alias("component")).limit(0)
     owned = saved(nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id"), "owned")
     first = owned.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = owned.join(first, "component").select("node", "component_id")
