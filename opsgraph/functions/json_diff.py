@@ -34,8 +34,6 @@ def _key(old: list, new: list) -> str | None:
 
 
 def _walk(path: str, old: Any, new: Any, out: list[tuple]) -> None:
-    if old == new and type(old) is type(new):
-        return
     if isinstance(old, dict) and isinstance(new, dict):
         for k in old.keys() | new.keys():
             _member(f"{path}.{k}" if path else k, old, new, k, out)
@@ -49,7 +47,7 @@ def _walk(path: str, old: Any, new: Any, out: list[tuple]) -> None:
             a, b = (dict(enumerate(side)) for side in (old, new))
             for k in a.keys() | b.keys():
                 _member(f"{path}[{k}]", a, b, k, out)
-    else:
+    elif old != new or isinstance(old, bool) != isinstance(new, bool):
         out.append((path, "replace", old, new))
 
 

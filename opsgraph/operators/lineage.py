@@ -19,7 +19,8 @@ SERVICE_LABELS = ["app", "service", "job"]
 
 def hierarchy_level(tags: Column, folder_level: Column | None = None) -> Column:
     """From tags such as `overview` or `level:detail`, else a given level, else detail."""
-    named = [F.when(F.exists(tags, lambda t, x=level: F.lower(t).isin(x, f"level:{x}", f"hierarchy:{x}")), level) for level in ("overview", "drilldown", "detail")]
+    tagged = lambda level: F.exists(tags, lambda t: F.lower(t).isin(level, f"level:{level}", f"hierarchy:{level}"))
+    named = [F.when(tagged(level), level) for level in ("overview", "drilldown", "detail")]
     return F.coalesce(*named, *([folder_level] if folder_level is not None else []), F.lit("detail"))
 
 
