@@ -30,6 +30,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: The saved() tables of this process that are there.
+made: list[str] = []
+
+
 def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and a lost executor loses nothing.
 
@@ -39,6 +43,7 @@ def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
+    made.append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
@@ -49,9 +54,14 @@ def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes saved() tables that nothing reads any more."""
     for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table._saved_at)
-        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(table.sparkSession, table._saved_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in made:
+        made.remove(path)
 
 
 def lower_ascii(text: Column) -> Column:

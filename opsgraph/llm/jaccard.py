@@ -4,7 +4,7 @@ A document's set is its distinct word shingles, as 64-bit hashes. Each shingle t
 sketches of two sets differ in at most as many bits as the sets differ in members. The sketch is cut into parts; two
 linked sets differ in at most d members, so of any d + 1 parts one is equal at least (pigeonhole). A part's key is an XOR
 of one random word for each toggled bit: equal parts have equal keys, and only pairs that share a key are candidates.
-A short sketch of a bit for each shingle or more prunes them by its Hamming distance; the rest is verified on the texts.
+A short sketch of four bits for each shingle prunes them by its Hamming distance; the rest is verified on the texts.
 
 Size bands have a layout of parts each; a set near a band's lower end, which can link to a smaller one, also posts keys
 in the band below. A set of n shingles posts its first d(n) + 1 parts and some spare ones, d(n) being the most members
@@ -41,8 +41,9 @@ LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256)
 PART_BITS = 4096
 #: Turns in which groups are tried as stars, before all pairs across the classes left.
 TURNS = 4
-#: Longest bit sketch, in words of 64 bits.
-MOST_WORDS = 256
+#: Longest bit sketch, in words of 64 bits, and bits for each shingle below that: the more, the nearer its distance is to the sets'.
+MOST_WORDS = 1024
+SHINGLE_BITS = 4
 #: Size bands: each starts at RATIO times the last one's start.
 RATIO = 1.6
 EDGES = np.unique(np.ceil(RATIO ** np.arange(64)).astype(np.int64))
@@ -164,9 +165,9 @@ def sketch_keys(values: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def bit_sketches(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A short parity sketch of each row, one bit for a shingle: 64-bit words and where each row's begin. The least power of two that has a bit for each shingle, or MOST_WORDS."""
+    """A short parity sketch of each row, one bit toggled for a shingle: 64-bit words and where each row's begin. The least power of two with SHINGLE_BITS for each shingle, or MOST_WORDS."""
     n = np.diff(begin)
-    words = np.where(n > 0, np.minimum(MOST_WORDS, 2 ** np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)), 0)
+    words = np.where(n > 0, np.minimum(MOST_WORDS, 2 ** np.ceil(np.log2(np.maximum(n * SHINGLE_BITS, 64) / 64)).astype(np.int64)), 0)
     at = np.concatenate([[0], np.cumsum(words)]).astype(np.int32)
     owner = np.repeat(np.arange(len(n)), n)
     place = (values >> np.uint64(32)).astype(np.int64) & (words[owner] * 64 - 1)
