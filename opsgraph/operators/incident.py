@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsgraph.functions.stored import cut
 from opsgraph.operators.traverse import managers, ownership_chain, related
 
 SECOND_NS = 1_000_000_000
@@ -19,16 +20,17 @@ def spine(edges: DataFrame, incidents: DataFrame) -> DataFrame:
     rows = own.union(m.select("incident_id", F.col("manager").alias("node"), "distance", F.lit("manager").alias("role")))
     rows = rows.groupBy("incident_id", "node").agg(F.max(F.struct("distance", "role")).alias("r")).select("incident_id", F.col("node").alias("uid"), "r.role", "r.distance")
     order = Window.partitionBy("incident_id").orderBy(F.desc("distance"), F.desc("role"), "uid")
-    return rows.withColumn("step", F.row_number().over(order))
+    return cut(rows.withColumn("step", F.row_number().over(order)))  # all else is joined to it
 
 
 def causal_graph(edges: DataFrame, resources: DataFrame, events: DataFrame, incidents: DataFrame, lookback_ns: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around the incidents: SPINE and RELATED nodes, SPINE and ATTACHMENT edges."""
     line = spine(edges, incidents)
     at = line.join(incidents.select("incident_id", "t_ns"), "incident_id").select("incident_id", "uid", "t_ns")
-    side = related(edges, resources, at, lookback_ns)
+    side = cut(related(edges, resources, at, lookback_ns))
     busy = side.join(events.select(F.col("uid").alias("related"), "ts_ns"), "related").join(incidents.select("incident_id", "t_ns"), "incident_id").filter(F.col("ts_ns").between(F.col("t_ns") - lookback_ns, F.col("t_ns"))).select("incident_id", "related").distinct().withColumn("busy", F.lit(True))
     side = side.join(busy, ["incident_id", "related"], "left").filter(F.coalesce("busy", F.lit(False)) | F.col("relation").isin(*KEEP_WITHOUT_EVENTS))
+    side = cut(side)
     nodes = line.select("incident_id", "uid", F.lit("SPINE").alias("part"), "step").union(side.select("incident_id", F.col("related"), F.lit("RELATED"), F.lit(None).cast("int")).distinct())
     owns = edges.filter(F.col("type").isin("OWNS", "MANAGES")).select("type", "src", "dst")
     a, b = (line.select("incident_id", F.col("uid").alias(k), F.col("distance").alias(f"d_{k}")) for k in ("src", "dst"))

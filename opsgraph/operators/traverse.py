@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsgraph.functions.stored import cut
+
 SECOND_NS = 1_000_000_000
 
 
@@ -68,13 +70,13 @@ def find_root_cause(causes: DataFrame, edges: DataFrame, events: DataFrame, inci
     """
     e = events.select("id", "uid", "ts_ns", "impact")
     near = incidents.join(e, "uid").withColumn("gap", F.abs(F.col("ts_ns") - F.col("t_ns"))).filter(F.col("gap") <= 300 * SECOND_NS)
-    failure = near.groupBy("incident_id", "uid", "t_ns").agg(F.min(F.struct("gap", "id")).alias("f")).select("incident_id", "uid", "t_ns", F.col("f.id").alias("failure"))
+    failure = cut(near.groupBy("incident_id", "uid", "t_ns").agg(F.min(F.struct("gap", "id")).alias("f")).select("incident_id", "uid", "t_ns", F.col("f.id").alias("failure")))
     strong = causes.filter(F.col("confidence") >= least).select(F.col("src").alias("at"), F.col("dst").alias("next"))
     front = failure.select("incident_id", F.col("failure").alias("id"), F.array("failure").alias("path"))
     found = None
     for d in range(1, depth + 1):
         front = front.join(strong, F.col("id") == F.col("at")).filter(~F.array_contains("path", F.col("next")))
-        front = front.select("incident_id", F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path"))
+        front = cut(front.select("incident_id", F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path")))
         step = front.select("incident_id", "id", F.lit(d).alias("distance"))
         found = step if found is None else found.union(step)
     triggered = found.groupBy("incident_id", "id").agg(F.min("distance").alias("distance")).withColumn("how", F.lit(1))
@@ -84,7 +86,7 @@ def find_root_cause(causes: DataFrame, edges: DataFrame, events: DataFrame, inci
     recent = failure.join(upper, "uid").join(e.select(F.col("uid").alias("m"), "id", "ts_ns"), "m").filter((F.col("ts_ns") <= F.col("t_ns")) & (F.col("ts_ns") >= F.col("t_ns") - 600 * SECOND_NS))
     managed = recent.select("incident_id", "id", F.lit(0).alias("distance"), F.lit(2).alias("how"))
     itself = failure.select("incident_id", F.col("failure").alias("id"), F.lit(0).alias("distance"), F.lit(3).alias("how"))
-    every = triggered.union(managed).union(itself)
+    every = cut(triggered.union(managed).union(itself))
     best = every.groupBy("incident_id").agg(F.min("how").alias("least_how"))
     rows = every.join(best, "incident_id").filter("how = least_how").join(e, "id")
     nth = F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("impact"), F.desc("ts_ns"), "id"))

@@ -157,7 +157,7 @@ def test_incident_analysis(cluster, spark):
 def test_causal_path_to_config_map(cluster, spark):
     events = cluster["change_events"]
     seen = anomaly.Seen(events, cluster["k8s_events"].join(cluster["resources"].select("uid", "kind"), "uid"), changes.diff_rows(cluster["events"].filter("kind != 'Event'")).join(cluster["resources"].select("uid", "kind"), "uid"), 102 * S)
-    anomalies = anomaly.detect(seen).cache()
+    anomalies = anomaly.detect(seen).filter(F.col("ts_ns") >= 50 * S).cache()  # the window begins after the rollout
     types = {(r["uid"], r["type"]) for r in anomalies.collect()}
     assert {("cm", "ConfigChange"), ("pod", "CrashLoopBackOff"), ("pod", "BackOff"), ("pod", "HighFrequencyEvent"), ("pod", "HighRestartCount"), ("pod", "ErrorStatus")} <= types
     ranked = causal.rank_paths(causal.causal_paths(cluster["edges"], cluster["resources"], anomalies, incidents(spark).select("incident_id", "uid", "t_ns")))
