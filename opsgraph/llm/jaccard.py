@@ -164,10 +164,10 @@ def sketch_keys(values: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bit_sketches(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A short parity sketch of each row, one bit toggled for a shingle: 64-bit words and where each row's begin. The least power of two with SHINGLE_BITS for each shingle, or MOST_WORDS."""
+def bit_sketches(values: np.ndarray, begin: np.ndarray, bits: int = SHINGLE_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """A short parity sketch of each row, one bit toggled for a shingle: 64-bit words and where each row's begin. The least power of two with `bits` bits for each shingle, or MOST_WORDS."""
     n = np.diff(begin)
-    words = np.where(n > 0, np.minimum(MOST_WORDS, 2 ** np.ceil(np.log2(np.maximum(n * SHINGLE_BITS, 64) / 64)).astype(np.int64)), 0)
+    words = np.where(n > 0, np.minimum(MOST_WORDS, 2 ** np.ceil(np.log2(np.maximum(n * bits, 64) / 64)).astype(np.int64)), 0)
     at = np.concatenate([[0], np.cumsum(words)]).astype(np.int32)
     owner = np.repeat(np.arange(len(n)), n)
     place = (values >> np.uint64(32)).astype(np.int64) & (words[owner] * 64 - 1)
@@ -194,7 +194,7 @@ def may_link(x: str, y: str, num: int, den: int) -> Column:
     return sizes & (apart * (den + num) <= (n[0] + n[1]) * (den - num))
 
 
-def _sketches(size: int, num: int, den: int) -> Callable:
+def _sketches(size: int, num: int, den: int, shingle_bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document; of equal sets only the first of a task carries keys."""
         posted: set[int] = set()
@@ -209,7 +209,7 @@ def _sketches(size: int, num: int, den: int) -> Callable:
                 posted.add(d) if fresh else None
             at = np.cumsum([0, *(0 if k is None else len(k) for k in keys)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *(k for k in keys if k is not None)]))
-            bits, bit_at = bit_sketches(values, begin)
+            bits, bit_at = bit_sketches(values, begin, shingle_bits)
             columns = [batch.column("doc_id"), pa.array(np.diff(begin)), pa.array(node), pa.array(check), pa.ListArray.from_arrays(pa.array(bit_at), pa.array(bits)), pa.ListArray.from_arrays(pa.array(at), flat)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "digest", "bits", "keys"])
 
@@ -250,10 +250,10 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     return rows.mapInPandas(_verify(size, num, den), "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, shingle_bits: int = SHINGLE_BITS) -> DataFrame:
     """Per document: doc_id, n_shingles (set size), component_id (the smallest doc_id reachable by links). Links: den * |A and B| >= num * |A or B|."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    made = source.mapInArrow(_sketches(size, num, den), "doc_id long, n_shingles long, node long, digest long, bits array<long>, keys array<long>")
+    made = source.mapInArrow(_sketches(size, num, den, shingle_bits), "doc_id long, n_shingles long, node long, digest long, bits array<long>, keys array<long>")
     made = saved(made, "sketches")
     by_key = Window.partitionBy("key")
     posts = made.select("node", F.explode("keys").alias("key"))
@@ -312,10 +312,10 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     return sets.join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def first_of_group(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def first_of_group(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, shingle_bits: int = 1) -> DataFrame:
     """docs without those of a group of similar documents but the one with the smallest doc_id; columns as they are.
 
     Rows that share the smallest doc_id all stay; so do rows with a null doc_id.
     """
-    gone = similar_groups(docs, size, num, den).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone"))
+    gone = similar_groups(docs, size, num, den, shingle_bits).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone.distinct(), docs["doc_id"] == F.col("__gone"), "left_anti")
