@@ -4,7 +4,7 @@ A document's set is its distinct word shingles, as 64-bit hashes. Each shingle t
 sketches of two sets differ in at most as many bits as the sets differ in members. The sketch is cut into parts; two
 linked sets differ in at most d members, so of any d + 1 parts one is equal at least (pigeonhole). A part's key is an XOR
 of one random word for each toggled bit: equal parts have equal keys, and only pairs that share a key are candidates.
-A short sketch of four bits for each shingle prunes them by its Hamming distance; the rest is verified on the texts.
+A short sketch of a bit or more for each shingle prunes them by its Hamming distance; the rest is verified on the texts.
 
 Size bands have a layout of parts each; a set near a band's lower end, which can link to a smaller one, also posts keys
 in the band below. A set of n shingles posts its first d(n) + 1 parts and some spare ones, d(n) being the most members
@@ -43,7 +43,7 @@ PART_BITS = 4096
 TURNS = 4
 #: Longest bit sketch, in words of 64 bits, and bits for each shingle below that: the more, the nearer its distance is to the sets'.
 MOST_WORDS = 1024
-SHINGLE_BITS = 4
+SHINGLE_BITS = 1
 #: Size bands: each starts at RATIO times the last one's start.
 RATIO = 1.6
 EDGES = np.unique(np.ceil(RATIO ** np.arange(64)).astype(np.int64))
