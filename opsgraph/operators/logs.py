@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsgraph.functions.stored import smallest_reached
+from opsgraph.functions.stored import cut, smallest_reached
 
 # Masks in order, from the specific to the general.
 MASKS = [
@@ -76,43 +79,99 @@ def masked_patterns(logs: DataFrame) -> DataFrame:
 
 
 WILD = "<*>"
+#: Delimiters of tokens besides white space.
+DELIMITERS = r"[ _=]+"
+#: Patterns of a group that one task clusters at a time; a larger group is dealt out in slots of about as many.
+SLOT = 10_000
+
 
+def _clusters(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Greedy clustering of patterns of one length and start, most frequent first: a pattern joins the most similar template, or opens one.
 
-def _clusters(rows: pd.DataFrame, similarity: float, children: int) -> pd.DataFrame:
-    """Greedy clustering of patterns of one length and start, most frequent first: a pattern joins the most similar template."""
+    A wildcard is like nothing, so templates only grow less similar as they take patterns in. A template has the slot of
+    its first pattern.
+    """
     rows = rows.sort_values(["count", "pattern"], ascending=[False, True])
-    templates: list[list[str]] = []
-    joined = []
-    for tokens in rows["pattern"].str.split(" "):
-        best, at = -1.0, -1
-        for i, t in enumerate(templates):
-            same = sum(a == b for a, b in zip(t, tokens, strict=True)) / len(tokens)
-            if same > best:
-                best, at = same, i
-        if best >= similarity or len(templates) >= children:
-            templates[at] = [a if a == b else WILD for a, b in zip(templates[at], tokens, strict=True)]
+    lists = rows["pattern"].str.split(" ")
+    width = len(lists.iloc[0])
+    codes = pd.factorize(np.array(lists.tolist(), object).ravel())
+    wild = np.flatnonzero(codes[1] == WILD)
+    own = codes[0].reshape(-1, width)
+    own = np.where(own == (wild[0] if len(wild) else -1), -1, own)
+    templates = np.zeros_like(own)
+    n, joined, first = 0, [], []
+    for i, tokens in enumerate(own):
+        same = ((templates[:n] == tokens) & (tokens >= 0)).sum(axis=1)
+        at = int(same.argmax()) if n else -1
+        if n and same[at] / width >= similarity:
+            templates[at] = np.where(templates[at] == tokens, tokens, -1)
         else:
-            templates.append(tokens)
-            at = len(templates) - 1
+            templates[n] = tokens
+            at, n = n, n + 1
+            first.append(i)
         joined.append(at)
-    return rows.assign(template=[" ".join(templates[i]) for i in joined])
+    names = np.append(codes[1].astype(object), WILD)  # -1 is the last
+    made = [" ".join(names[t]) for t in templates[:n]]
+    out = rows.assign(at=joined).groupby("at", sort=True).agg(count=("count", "sum"), first_ns=("first_ns", "min"), last_ns=("last_ns", "max"))
+    heads = rows.iloc[first]
+    return out.assign(pattern=made, **{c: heads[c].to_numpy() for c in ("namespace", "n_tokens", "start", "slot")})
 
 
-def mine_templates(logs: DataFrame, similarity: float = 0.4, children: int = 100, leading: int = 1) -> DataFrame:
+def mine_templates(logs: DataFrame, similarity: float = 0.4, leading: int = 1, slot: int = SLOT) -> DataFrame:
     """Templates (namespace, id, pattern, count, first_ns, last_ns).
 
     Lines are masked and counted first, so what is clustered are the distinct patterns of one namespace, token count and
-    leading tokens; a group's work is bounded by its distinct patterns times `children`.
+    leading tokens; there may be any number of templates. A group of more than `slot` patterns is dealt out in slots, which
+    are clustered on their own, then their templates are dealt out anew, as long as that shrinks such groups by a tenth.
+    At last every two slots of a group that is still too large meet once. As templates grow less similar only, after that
+    no two templates of a group are as similar as `similarity`.
     """
-    rows = masked_patterns(logs).withColumn("n_tokens", F.size(F.split("pattern", " ")))
-    rows = rows.withColumn("start", F.array_join(F.slice(F.split("pattern", " "), 1, leading), " "))
-    schema = "namespace string, pattern string, count long, first_ns long, last_ns long, template string"
-
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        return _clusters(frame, similarity, children)[["namespace", "pattern", "count", "first_ns", "last_ns", "template"]]
-
-    found = rows.groupBy("namespace", "n_tokens", "start").applyInPandas(cluster, schema)
-    return template_table(found.select("namespace", folded(F.col("template")).alias("pattern"), "count", "first_ns", "last_ns"))
+    group = ["namespace", "n_tokens", "start"]
+    columns = [*group, "slot", "pattern", "count", "first_ns", "last_ns"]
+    schema = "namespace string, n_tokens int, start string, slot long, pattern string, count long, first_ns long, last_ns long"
+    tokens = F.filter(F.split("pattern", DELIMITERS), lambda t: t != "")
+    rows = masked_patterns(logs).withColumn("tokens", F.when(F.size(tokens) > 0, tokens).otherwise(F.array("pattern")))
+    rows = rows.select("namespace", F.size("tokens").alias("n_tokens"), F.array_join(F.slice("tokens", 1, leading), " ").alias("start"), F.array_join("tokens", " ").alias("pattern"), "count", "first_ns", "last_ns")
+    rows = cut(rows.groupBy(*group, "pattern").agg(F.sum("count").alias("count"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns")))
+
+    def clustered(frame: DataFrame, by: Column) -> DataFrame:
+        made = frame.withColumn("meeting", by).groupBy(*group, "meeting").applyInPandas(lambda f: _clusters(f, similarity)[columns], schema)
+        return cut(made)
+
+    def slotted(frame: DataFrame, turn: int) -> DataFrame:
+        sizes = frame.groupBy(*group).agg(F.ceil(F.count("*") / slot).cast("long").alias("slots"), (F.count("*") == 1).alias("single"))
+        joined = frame.alias("f").join(sizes.alias("s"), F.expr(" and ".join(f"f.{c} <=> s.{c}" for c in group)))
+        own = F.pmod(F.xxhash64("f.pattern", F.lit(turn)), F.col("s.slots"))
+        return cut(joined.select(*[f"f.{c}" for c in group], own.alias("slot"), "f.pattern", "f.count", "f.first_ns", "f.last_ns", "s.slots", "s.single"))
+
+    done, turn, before = [], 0, None
+    rows = slotted(rows, turn)
+    while True:
+        # Groups in one slot are clustered whole; a pattern without others in its group is a template.
+        done += [rows.filter("single").select(*columns), clustered(rows.filter("slots = 1 and not single").select(*columns), F.lit(0))]
+        rows = rows.filter("slots > 1")
+        left = rows.count()
+        if not left or (before is not None and left > 0.9 * before):
+            break
+        before, turn = left, turn + 1
+        rows = slotted(clustered(rows.select(*columns), F.col("slot")), turn)
+    if left:
+        slots = rows.groupBy(*group).agg((F.floor((F.max("slots") + 1) / 2) * 2).alias("even"))
+        rows = clustered(rows.select(*columns), F.col("slot"))
+        rounds = slots.agg(F.max("even")).first()[0] - 1
+        slots = cut(slots)
+        for k in range(rounds):
+            # A tournament: in round k, slots i and j meet if i + j is k modulo even - 1; the one with i = j meets the last.
+            odd, last = F.col("s.even") - 1, F.col("f.slot") == F.col("s.even") - 1
+            other = F.pmod(F.lit(k) - F.col("f.slot"), odd)
+            half = F.when(F.lit(k) % 2 == 0, F.lit(k) / 2).otherwise((F.lit(k) + odd) / 2).cast("long")
+            partner = F.when(last, F.pmod(half, odd)).when(other == F.col("f.slot"), odd).otherwise(other)
+            meeting = F.when(F.lit(k) < odd, F.least("f.slot", partner)).otherwise(F.col("f.slot"))
+            joined = rows.alias("f").join(slots.alias("s"), F.expr(" and ".join(f"f.{c} <=> s.{c}" for c in group)))
+            rows = clustered(joined.select("f.*", meeting.alias("m")), F.col("m"))
+        done.append(rows)
+    found = reduce(DataFrame.union, done)
+    return template_table(found.select("namespace", folded(F.col("pattern")).alias("pattern"), "count", "first_ns", "last_ns"))
 
 
 def template_table(patterns: DataFrame) -> DataFrame:

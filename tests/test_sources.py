@@ -89,6 +89,16 @@ def test_templates(spark):
     assert {r["pattern"]: r["count"] for r in merged.collect()} == {"user <VAR> left not": 12, "something else at all": 9}
 
 
+def test_templates_are_not_capped(spark):
+    """150 unlike patterns of one group stay apart, however the group is dealt out; like ones meet across slots."""
+    lines = [("ns", "p", "c", i, f"start a{i}x b{i}x c{i}x") for i in range(150)] + [("ns", "p", "c", i, f"start same{i}x of here") for i in range(30)]
+    df = spark.createDataFrame(lines + [("ns", "p", "c", 1, "===="), ("ns", "p", "c", 2, "run my_key=v1x now"), ("ns", "p", "c", 3, "run my_key=v2x now")], "namespace string, pod string, container string, ts_ns long, message string")
+    for slot in (10_000, 7, 40):
+        got = {r["pattern"]: r["count"] for r in logs.mine_templates(df, slot=slot).collect()}
+        assert sum(got.values()) == 183 and got["start <VAR> of here"] == 30 and got["===="] == 1 and got["run my key <VAR> now"] == 2
+        assert len(got) == 153 and all(got[f"start a{i}x b{i}x c{i}x"] == 1 for i in range(150))
+
+
 PROMQL = [
     ('sum(rate(http_requests_total{job="api", code=~"5.."}[5m])) by (service)', ["http_requests_total"], ["sum"], ["rate"], False),
     ("up == 1 and node_load1 offset 5m", ["up", "node_load1"], [], [], False),
