@@ -6,9 +6,10 @@ edges. A url without a rule of its own takes its class's decision: allow if a me
 member is blocked, else allow.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case. Path: from there up to `?`, `#` or the end. A
-null url or one without `://` has both empty, fits no rule and has no alias. Links are absolute, or start with `/`; others
-are ignored. Urls are the same alias if they agree in host and the rest up to `#`. Repeated rows are judged alike. Extra
-columns are ignored.
+null url or one without `://` has both empty, fits no rule and has no alias. All canonical and refresh tags of a page count.
+Their targets are resolved against the page's url, or its first base tag, as RFC 3986 says; one whose scheme is not followed
+by `//` (mailto:, data:) has no alias. Urls are the same alias if they agree in host and the rest up to `#`, without dot
+segments. Repeated rows are judged alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from opsgraph.llm.components import components
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+BASE = r"(?is)<base\b[^>]*\bhref\s*=[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
@@ -39,16 +41,44 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def undotted(path_: Column) -> Column:
+    """A path that starts with / without its segments . and .., each .. taking away the one before."""
+    segments = F.slice(F.split(path_, "/"), 2, F.size(F.split(path_, "/")))
+    none = F.array().cast("array<string>")
+
+    def step(held: Column, s: Column) -> Column:
+        return F.when(s == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).when(s == ".", held).otherwise(F.concat(held, F.array(s)))
+
+    last = F.when(path_.rlike(r"/\.{1,2}$"), F.array(F.lit(""))).otherwise(none)
+    kept = F.concat(F.aggregate(segments, none, step), last)
+    return F.when(path_.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path_)
+
+
 def alias_of(url: Column) -> Column:
     """What two spellings of one url share; null without a host."""
-    rest = F.regexp_extract(after_scheme(url), r"^[^/?#]*([^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(host(url), rest))
+    query = F.regexp_extract(after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
+    return F.when(F.instr(url, "://") > 0, F.concat(host(url), undotted(path(url)), query))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The alias that a target names on a page whose base has the alias `base`; null for none, and without a host."""
+    own_host, own_path = F.regexp_extract(base, r"^[^/?#]*", 0), F.regexp_extract(base, r"^[^/?#]*([^?#]*)", 1)
+    place, query = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"^[^?#]*(\?[^#]*)", 1)
+    folder = F.when(own_path == "", "/").otherwise(F.regexp_extract(own_path, r"^.*/", 0))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), alias_of(target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (target == ""), F.lit(None))
+        .when(target.startswith("//"), alias_of(F.concat(F.lit("x:"), target)))
+        .when(target.startswith("/"), F.concat(own_host, undotted(place), query))
+        .when(target.startswith("#"), base)
+        .when(target.startswith("?"), F.concat(own_host, F.when(own_path == "", "/").otherwise(own_path), query))
+        .otherwise(F.concat(own_host, undotted(F.concat(folder, place)), query))
+    )
 
 
-def link(tag: Column, pattern: str, url: Column) -> Column:
-    """The alias that a tag points at; null for none, or one that isn't absolute or rooted."""
-    target = F.regexp_extract(tag, pattern, 1)
-    return F.when(F.instr(target, "://") > 0, alias_of(target)).when(target.startswith("//"), alias_of(F.concat(F.lit("x:"), target))).when(target.startswith("/"), F.concat(host(url), F.regexp_extract(target, r"^[^#]*", 0)))
+def links(html: Column, tags: str, pattern: str, base: Column) -> Column:
+    """The aliases that all tags of a kind point at."""
+    return F.transform(F.regexp_extract_all(html, F.lit(tags), F.lit(0)), lambda tag: resolved(F.regexp_extract(tag, pattern, 1), base))
 
 
 def fitting(host_: Column, path_: Column, rules: list[tuple[str, str]]) -> Column:
@@ -67,9 +97,12 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: Da
     # element_at() of a null index isn't null where Spark fails on errors.
     name = lambda i, at: F.when(i.isNotNull(), F.element_at(F.array(*[F.lit(r[at]) for r in rules]), i + 1))
     url, html = F.col("url"), F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").alias("page_id"), url.alias("url"), host(url).alias("host"), path(url).alias("path"), alias_of(url).alias("alias"), link(F.regexp_extract(html, CANONICAL, 0), HREF, url).alias("canonical"), link(F.regexp_extract(html, REFRESH, 0), TARGET, url).alias("refresh"))
+    rows = pages.select(F.col("page_id").alias("page_id"), url.alias("url"), host(url).alias("host"), path(url).alias("path"), alias_of(url).alias("alias"), html.alias("html"))
+    base = F.coalesce(resolved(F.regexp_extract(F.regexp_extract("html", BASE, 0), HREF, 1), F.col("alias")), F.col("alias"))
+    others = F.concat(links(F.col("html"), CANONICAL, HREF, base), links(F.col("html"), REFRESH, TARGET, base))
+    rows = rows.withColumn("others", others).drop("html")
     rows = saved(rows.withColumn("fit", fitting(F.col("host"), F.col("path"), rules)), "pages")
-    edges = rows.select("alias", F.explode(F.array("canonical", "refresh")).alias("other"))
+    edges = rows.select("alias", F.explode("others").alias("other"))
     if redirects is not None:
         edges = edges.union(redirects.select(alias_of(F.col("src")), alias_of(F.col("dst"))))
     edges = saved(edges.filter("alias is not null and other is not null and alias != other").distinct(), "edges")

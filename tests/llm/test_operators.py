@@ -302,6 +302,27 @@ def test_url_filter(spark):
     assert url_filter.judged(single.limit(0)).count() == 0
 
 
+def test_url_filter_links(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    seen = [  # page, html, what its one link names
+        ("http://a.net/x/y", canonical.format("page2.html"), "a.net/x/page2.html"), ("http://a.net/x/y", canonical.format("../up?q#f"), "a.net/up?q"), ("http://a.net/x/y?z", canonical.format("?p=1"), "a.net/x/y?p=1"),
+        ("http://a.net", refresh.format("next.html"), "a.net/next.html"), ("http://a.net/x", canonical.format("/login?next=http://x/"), "a.net/login?next=http://x/"), ("http://a.net/x", canonical.format("in?to=http://x/"), "a.net/in?to=http://x/"),
+        ("http://a.net/x", canonical.format("//B.net/./c/../d"), "b.net/d"), ("http://a.net/x", canonical.format("mailto:x"), None), ("page", canonical.format("page2.html"), None), ("http://a.net/x", '<base href="/deep/down/">' + canonical.format("../c"), "a.net/deep/c"),
+    ]
+    for i, (url, html, names) in enumerate(seen):
+        pattern, tags = (url_filter.TARGET, url_filter.REFRESH) if "refresh" in html else (url_filter.HREF, url_filter.CANONICAL)
+        alias = url_filter.alias_of(F.col("u"))
+        base = F.coalesce(url_filter.resolved(F.regexp_extract(F.regexp_extract("h", url_filter.BASE, 0), url_filter.HREF, 1), alias), alias)
+        row = spark.createDataFrame([(url, html)], "u string, h string").select(url_filter.links(F.col("h"), tags, pattern, base)).first()
+        assert row[0] == [names], i
+    pages = [
+        (1, "http://a.net/x/1", canonical.format("../de/page2.html")), (2, "http://a.net/de/page2.html", refresh.format("http://b.com/de/")), (3, "http://c.net/", canonical.format("/same") + canonical.format("http://b.com/de/9")),
+        (4, "http://d.net/", canonical.format("/login?next=http://b.com/de/")), (5, "http://e.net/", refresh.format("go") + refresh.format("//b.com/de/8")),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block"}
+
+
 def test_components(spark):
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)]
     label = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
