@@ -210,8 +210,8 @@ def _sketches(size: int, num: int, den: int, shingle_bits: int) -> Callable:
             at = np.cumsum([0, *(0 if k is None else len(k) for k in keys)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *(k for k in keys if k is not None)]))
             bits, bit_at = bit_sketches(values, begin, shingle_bits)
-            columns = [batch.column("doc_id"), pa.array(np.diff(begin)), pa.array(node), pa.array(check), pa.ListArray.from_arrays(pa.array(bit_at), pa.array(bits)), pa.ListArray.from_arrays(pa.array(at), flat)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "digest", "bits", "keys"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(begin)), pa.array(node), pa.array(check), pa.ListArray.from_arrays(pa.array(bit_at), pa.array(bits)), pa.ListArray.from_arrays(pa.array(at), flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "node", "digest", "bits", "keys"])
 
     return run
 
@@ -224,10 +224,13 @@ def _verify(size: int, num: int, den: int) -> Callable:
             if frame.empty:
                 continue
             values, begin = shingle_sets(pa.array(frame["text"], pa.string()), size)
+            node = set_digest(values, begin)[0].view(np.int64)
             a, salt, b = (frame[c].to_numpy() for c in ("a", "salt", "b"))
             out = []
             for r in range(len(frame)):
                 own = values[begin[r] : begin[r + 1]]
+                if node[r] != b[r]:  # another text than the node's
+                    continue
                 if a[r] == b[r]:
                     star, centre = (a[r], salt[r]), own
                 elif star == (a[r], salt[r]):
@@ -250,25 +253,25 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     return rows.mapInPandas(_verify(size, num, den), "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, shingle_bits: int = SHINGLE_BITS) -> DataFrame:
-    """Per document: doc_id, n_shingles (set size), component_id (the smallest doc_id reachable by links). Links: den * |A and B| >= num * |A or B|."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    made = source.mapInArrow(_sketches(size, num, den, shingle_bits), "doc_id long, n_shingles long, node long, digest long, bits array<long>, keys array<long>")
+def grouped(docs: DataFrame, size: int, num: int, den: int, shingle_bits: int) -> DataFrame:
+    """similar_groups with text_hash: a row is known by doc_id and the hash of its text, as a doc_id may repeat with other texts."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("text_hash"))
+    made = source.mapInArrow(_sketches(size, num, den, shingle_bits), "doc_id long, text_hash long, n_shingles long, node long, digest long, bits array<long>, keys array<long>")
     made = saved(made, "sketches")
     by_key = Window.partitionBy("key")
     posts = made.select("node", F.explode("keys").alias("key"))
     shared = posts.withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key)}).filter("lo < hi")
     shared = saved(shared.select("key", "node", "lo").distinct(), "shared")
-    sets = saved(made.select("doc_id", "n_shingles", "node"), "sets")
+    sets = saved(made.select("doc_id", "text_hash", "n_shingles", "node"), "sets")
     held = made.filter("keys is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
-    first_doc = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    first_doc = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("node", "row.doc_id", "row.text_hash")
     nodes = saved(first_doc.join(held, "node"), "nodes")
     discard(made)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b) those whose sets link."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = source.join(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "doc_id").select("node", "text")
+        texts = source.join(nodes.select("node", "doc_id", "text_hash").join(ends, "node", "left_semi"), ["doc_id", "text_hash"]).select("node", "text")
         texts = saved(texts, "texts", "zstd")
         found = saved(verified(pairs, texts, size, num, den), "links")
         discard(texts)
@@ -309,13 +312,18 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     owned = saved(nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id"), "owned")
     first = owned.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = owned.join(first, "component").select("node", "component_id")
-    return sets.join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return sets.join(of_node, "node", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, shingle_bits: int = SHINGLE_BITS) -> DataFrame:
+    """Per document: doc_id, n_shingles (set size), component_id (the smallest doc_id reachable by links). Links: den * |A and B| >= num * |A or B|."""
+    return grouped(docs, size, num, den, shingle_bits).drop("text_hash")
 
 
 def first_of_group(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, shingle_bits: int = 1) -> DataFrame:
     """docs without those of a group of similar documents but the one with the smallest doc_id; columns as they are.
 
-    Rows that share the smallest doc_id all stay; so do rows with a null doc_id.
+    Rows that share the smallest doc_id all stay; so do rows with a null doc_id. Rows with one doc_id stay or go each by their own text.
     """
-    gone = similar_groups(docs, size, num, den, shingle_bits).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = grouped(docs, size, num, den, shingle_bits).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text"))
+    return docs.join(gone.distinct(), (docs["doc_id"] == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__text")), "left_anti")

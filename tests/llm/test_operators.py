@@ -382,6 +382,22 @@ def test_jaccard_null_ids(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in rows) == [(0, 0), (0, 0), (7, 7), (7, 7)]
 
 
+def test_jaccard_repeated_ids(spark):
+    """Rows with one doc_id and different texts are judged each by their own."""
+    base = [prose(n, [f"t{i}" for i in range(300)]).split() for n in (30, 45, 60, 90, 120)]
+    texts = [" ".join([f"u{k}", *w[: len(w) - k]]) if k else " ".join(w) for w in base for k in range(3)] + [prose(50, [f"s{i}" for i in range(300)]) for _ in range(5)]
+    ids = [5 + i % 3 if i < 15 else i % 3 + 5 for i in range(len(texts))]
+    ids[2] = ids[7] = 1
+    want = brute_groups(texts, 5, 80, 100)
+    least = defaultdict(lambda: 99)
+    for i, (_, c) in want.items():
+        least[c] = min(least[c], ids[i])
+    got = sorted(map(tuple, jaccard.similar_groups(frame(spark, texts, ids), 5, 80, 100).collect()))
+    assert got == sorted((ids[i], n, least[c]) for i, (n, c) in want.items())
+    kept = [r["text"] for r in jaccard.first_of_group(frame(spark, texts, ids), 5, 80, 100).collect()]
+    assert sorted(kept) == sorted(texts[i] for i, (_, c) in want.items() if least[c] == ids[i]) and set(texts[15:]) <= set(kept) and len(kept) < len(texts)
+
+
 def test_hamming_never_loses_a_link(spark):
     g = np.random.default_rng(3)
     for n in (7, 40, 300, 3000):
