@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,18 +33,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 made: list[str] = []
 
 
-def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and a lost executor loses nothing.
+#: Spark removes a job's shuffle files when the job ends; by default it waits for the driver's collector.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
-    The job's shuffle files are then of no use. Spark removes them when the driver's collector finds their plan gone,
-    which on a driver with much memory may be hours later; so it is asked to look now.
-    """
+def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, a lost executor loses nothing, and the job's shuffle files go."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     made.append(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     table._saved_at = path
     return table

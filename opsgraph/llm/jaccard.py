@@ -2,23 +2,37 @@
 
 A document's set is its distinct word shingles, as 64-bit hashes. Each shingle toggles one bit of a long sketch, so the
 sketches of two sets differ in at most as many bits as the sets differ in members. The sketch is cut into parts; two
-linked sets differ in at most d members, so of any d + 1 parts one is equal at least (pigeonhole). A part's key is an XOR
-of one random word for each toggled bit: equal parts have equal keys, and only pairs that share a key are candidates.
-A short sketch of a bit or more for each shingle prunes them by its Hamming distance; the rest is verified on the texts.
+linked sets differ in at most d members, so of L parts at least L - d are equal (pigeonhole). A part's key is an XOR of
+one random word for each toggled bit: equal parts have equal keys.
 
-Size bands have a layout of parts each; a set near a band's lower end, which can link to a smaller one, also posts keys
-in the band below. A set of n shingles posts its first d(n) + 1 parts and some spare ones, d(n) being the most members
-in which a linked partner can differ. Empty parts are alike in many sets and aren't posted, unless a set has more of
-them than spare parts, so that the parts it has in common with a partner could all be empty.
+Size bands have a layout of parts each; a set that can link to one of a band below also posts keys there. A set posts
+the first L parts of its size, and knows how many of its keys any linked partner shares at least (`need`): those parts
+that can't differ, less its empty parts, which are alike in many sets and aren't posted. If they could be all that is
+shared, they are posted, and need is 1.
 
-Equal sets are one node of the join, named by the set's digest, so copies are never paired. In a group that shares a key
-all members are paired with one only. Links found so join nodes into classes. Groups that still span several classes take
-another centre, for TURNS turns; at last their members are paired across classes, and no unverified pair between classes
-is left. So classes are
-exact, though not all pairs inside a class are listed.
+Candidates come from keys in three linear steps, none of which can lose a link:
+  1. keys of one set only are dropped;
+  2. sets that share fewer keys with others than they need are dropped, in ROUNDS rounds;
+  3. of its keys each set drops the need - 1 that most sets share. Keys have one order for all sets, so of the keys that
+     a linked pair shares the rarest is kept by both.
 
-Null text and texts without words have an empty set, linked with nothing. Rows with a null doc_id take no part in links
-(component_id null). Rows with one doc_id are judged each by their own text. Extra columns are ignored.
+Equal sets are one node of the join, named by the set's digest, so copies are never paired. In a group that shares a key
+all members are paired with one only, first the one that shares most with others; groups that still span several classes
+take another centre next. Pairs pass if sizes and the Hamming distance of short parity sketches, a bit or more for each
+shingle, allow it, and are then verified on the texts. Links found join nodes into classes.
+
+Groups may span several classes even then: documents that share a long passage, or copies each changed on its own. XOR
+of a member's sketch and its centre's is the sketch of their difference, and the difference of two members' differences is
+their own. So two members link only if what sets one apart from the centre sets the other apart too, for the most part:
+as one of them doesn't link to the centre, more than half of what sets the other apart, or so. The differences' finest
+sketches, a key for each shingle, are joined under their centre in the same three steps, those that don't link to it
+(out) among each other and with the rest. By the third step the frequent keys go, which are the centre's own shingles.
+What is left is paired across classes, so no unverified pair between classes is left: classes are exact, though not all
+pairs inside a class are listed.
+
+Null text and texts without words have an empty set, linked with nothing. Rows with a null doc_id take part in no links
+(component_id null). doc_id may have any type that has an order. Rows with one doc_id are judged each by their own text.
+Very long texts are one set each, in one task. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +53,12 @@ from opsgraph.llm.components import components
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 PART_BITS = 4096
-#: Turns in which groups are tried as stars, before all pairs across the classes left.
-TURNS = 4
+#: Turns in which groups are tried as stars before differences from a centre are joined.
+TURNS = 2
+#: Rounds in which sets are dropped that share too few keys.
+ROUNDS = 2
+#: Parts posted beyond those the pigeonhole needs, as a share of them: at most, and for the largest sets of a band.
+SPARE, LEAST_SPARE = 0.35, 0.1
 #: Longest bit sketch, in words of 64 bits, and bits for each shingle below that: the more, the nearer its distance is to the sets'.
 MOST_WORDS = 1024
 SHINGLE_BITS = 1
@@ -112,43 +130,40 @@ def band_of(n: int) -> int:
     return int(np.searchsorted(EDGES, n, side="right")) - 1
 
 
-@lru_cache
-def spare_share(num: int, den: int) -> float:
-    """Parts posted beyond those the pigeonhole needs, as a share of them: so many that empty parts seldom use them up."""
-    need = (den - num) / (den + num) * (1 + den / num)
-    for share in np.arange(0.1, 1.0, 0.05):
-        if 1.4 * (1 + share) * np.exp(-1 / (RATIO * need * (1 + share))) <= share * num / den:
-            return float(share)
-    return 1.0
+def _spare(apart: int) -> int:
+    return 2 + int(apart * SPARE)
 
 
-def _spare(need: int, num: int, den: int) -> int:
-    """It grows with `need`, so that the larger set of a pair posts all that the smaller does."""
-    return 2 + int(need * spare_share(num, den))
+@lru_cache
+def layout(band: int, num: int, den: int) -> int:
+    """Parts of a band's sketches: enough for its largest set."""
+    apart = most_apart(int(EDGES[band + 1]) - 1, num, den)
+    return apart + 1 + max(2, int(apart * LEAST_SPARE))
+
 
+@lru_cache(1 << 16)
+def posted(n: int, band: int, num: int, den: int) -> tuple[int, int]:
+    """How many parts of a band's layout a set of n shingles posts, and how many of them any linked set of the band has too.
 
-def _layout(band: int, num: int, den: int) -> int:
-    """Parts of a band's sketches: enough for its largest set."""
-    need = most_apart(int(EDGES[band + 1]) - 1, num, den) + 1
-    return need + _spare(need, num, den)
+    A set not larger than its partner posts apart + 1 + its spare ones, `apart` being the most in which they differ; the
+    partner posts those too, as both grow with size. The fewest are equal at one end of the sizes that a smaller one can have.
+    """
+    parts = layout(band, num, den)
+    low, high = max(-(-n * num // den), int(EDGES[band])), min(n, int(EDGES[band + 1]) - 1)
+    apart = most_apart(high, num, den)
+    return min(parts, apart + 1 + _spare(apart)), min(parts - apart, 1 + _spare(most_apart(low, num, den)))
 
 
-def sketch_keys(values: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys that a set of shingles posts, over its bands; none if only equal sets can link to it."""
+def sketch_keys(values: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
+    """(need, keys) that a set of shingles posts in each of its bands; none if only equal sets can link to it."""
     n = len(values)
-    apart = most_apart(n, num, den)
-    if not apart:
-        return np.zeros(0, np.uint64)
-    band = band_of(n)
-    bands = [band]
-    if band and n * num <= (int(EDGES[band]) - 1) * den:  # a partner may be in the band below
-        bands.append(band - 1)
-    need = apart + 1
-    least = _spare(most_apart(-(-n * num // den), num, den) + 1, num, den)  # of the smallest partner
+    if not most_apart(n, num, den):
+        return []
     out = []
     with np.errstate(over="ignore"):
-        for b in bands:
-            parts = _layout(b, num, den)
+        for b in range(band_of(n), band_of(-(-n * num // den)) - 1, -1):  # the bands of all smaller partners
+            parts = layout(b, num, den)
+            count, need = posted(n, b, num, den)
             part = (values >> np.uint64(20)) % np.uint64(parts)
             toggled = mix((part << np.uint64(12) | values % np.uint64(PART_BITS)) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(b + 1))
             order = np.argsort(part, kind="stable")
@@ -156,12 +171,13 @@ def sketch_keys(values: np.ndarray, num: int, den: int) -> np.ndarray:
             where = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             key = np.zeros(parts, np.uint64)
             key[part[where]] = np.bitwise_xor.reduceat(toggled[order], where)
-            # Of these parts at most need - 1 differ in a linked pair. If the equal ones could all be empty, empty ones are posted too.
-            last = min(need + _spare(need, num, den), parts)
-            key = key[:last]
-            at = np.flatnonzero(key) if last - np.count_nonzero(key) <= least else np.arange(last)
-            out.append(mix(key[at] ^ mix((at.astype(np.uint64) << np.uint64(8)) + np.uint64(b) + np.uint64(1 << 40))))
-    return np.concatenate(out)
+            key = key[:count]
+            full = np.flatnonzero(key)
+            # Without the empty parts at least `rest` shared ones are left.
+            rest = need - (count - len(full))
+            at = full if rest > 0 else np.arange(count)
+            out.append((max(rest, 1), mix(key[at] ^ mix((at.astype(np.uint64) << np.uint64(8)) + np.uint64(b) + np.uint64(1 << 40)))))
+    return out
 
 
 def bit_sketches(values: np.ndarray, begin: np.ndarray, bits: int = SHINGLE_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -194,31 +210,53 @@ def may_link(x: str, y: str, num: int, den: int) -> Column:
     return sizes & (apart * (den + num) <= (n[0] + n[1]) * (den - num))
 
 
+def _lists(flat: pa.Array, sizes: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), flat)
+
+
 def _sketches(size: int, num: int, den: int, shingle_bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document; of equal sets only the first of a task carries keys."""
-        posted: set[int] = set()
+        posted_: set[int] = set()
         for batch in slices(batches):
             values, begin = shingle_sets(filled(batch), size)
             node, check = (d.view(np.int64) for d in set_digest(values, begin))
             known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            keys: list[np.ndarray | None] = []
+            bands: list[list[tuple[int, np.ndarray]]] = []
             for r, d in enumerate(node.tolist()):
-                fresh = known[r] and begin[r] < begin[r + 1] and d not in posted
-                keys.append(sketch_keys(values[begin[r] : begin[r + 1]], num, den).view(np.int64) if fresh else None)
-                posted.add(d) if fresh else None
-            at = np.cumsum([0, *(0 if k is None else len(k) for k in keys)]).astype(np.int32)
-            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *(k for k in keys if k is not None)]))
+                fresh = known[r] and begin[r] < begin[r + 1] and d not in posted_
+                bands.append(sketch_keys(values[begin[r] : begin[r + 1]], num, den) if fresh else [])
+                posted_.add(d) if fresh else None
+            each = [x for row in bands for x in row]
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *(k.view(np.int64) for _, k in each)]))
+            keys = pa.StructArray.from_arrays([pa.array([need for need, _ in each], pa.int32()), _lists(flat, [len(k) for _, k in each])], ["need", "keys"])
             bits, bit_at = bit_sketches(values, begin, shingle_bits)
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(begin)), pa.array(node), pa.array(check), pa.ListArray.from_arrays(pa.array(bit_at), pa.array(bits)), pa.ListArray.from_arrays(pa.array(at), flat)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "node", "digest", "bits", "keys"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(begin)), pa.array(node), pa.array(check), pa.ListArray.from_arrays(pa.array(bit_at), pa.array(bits)), _lists(keys, [len(row) for row in bands])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "node", "digest", "bits", "bands"])
 
     return run
 
 
-def _verify(size: int, num: int, den: int) -> Callable:
+def _difference(centre: np.ndarray, own: np.ndarray, a: int, b: int, num: int, den: int) -> Iterator[tuple]:
+    """(node b, band, role, need, keys) of the difference of b's set from that of a. A set out of reach of a meets others so (role 0), and those within reach (1; theirs is 2)."""
+    apart = np.setxor1d(centre, own, assume_unique=True)
+    size = len(apart)
+    # Linked sets x and y share (|Dx| + |Dy| - |x ^ y|) / 2 of their differences D from the centre c at least, where
+    # |x ^ y| <= (den - num) / (den + num) * (|x| + |y|), and |Dy| is more than that share of |y| + |c| if y is out.
+    out = size * (den + num) > (den - num) * (len(centre) + len(own))
+    half = (size * (den + num) + (den - num) * (len(centre) - len(own))) // (2 * (den + num)) + 1
+    keys = mix(apart ^ mix(np.array([a], np.int64).view(np.uint64)))
+    other = mix(keys ^ np.uint64(0x452821E638D01377)).view(np.int64)
+    if out:
+        yield b, a, 0, max(1, half), keys.view(np.int64)
+        yield b, ~a, 1, max(1, size - most_apart(len(own), num, den)), other
+    else:
+        yield b, ~a, 2, max(1, half), other
+
+
+def _stars(size: int, num: int, den: int, differences: bool) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by star (a, salt), its centre first; links of members to the centre go out."""
+        """Rows come sorted by star (a, salt), its centre first. Links (a, b) of members to the centre go out, or for each member the keys of its difference."""
         star, centre = None, np.zeros(0, np.uint64)
         for frame in batches:
             if frame.empty:
@@ -226,7 +264,7 @@ def _verify(size: int, num: int, den: int) -> Callable:
             values, begin = shingle_sets(pa.array(frame["text"], pa.string()), size)
             node = set_digest(values, begin)[0].view(np.int64)
             a, salt, b = (frame[c].to_numpy() for c in ("a", "salt", "b"))
-            out = []
+            out: list[tuple] = []
             for r in range(len(frame)):
                 own = values[begin[r] : begin[r + 1]]
                 if node[r] != b[r]:  # another text than the node's
@@ -234,81 +272,136 @@ def _verify(size: int, num: int, den: int) -> Callable:
                 if a[r] == b[r]:
                     star, centre = (a[r], salt[r]), own
                 elif star == (a[r], salt[r]):
+                    if differences:
+                        out.extend(_difference(centre, own, a[r], b[r], num, den))
+                        continue
                     common = len(np.intersect1d(centre, own, assume_unique=True))
                     if den * common >= num * (len(centre) + len(own) - common) and common:
                         out.append((a[r], b[r]))
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            if differences:
+                yield pd.DataFrame(out, columns=["node", "band", "role", "need", "keys"]).astype({"node": "int64", "band": "int64", "role": "int32", "need": "int32"})
+            else:
+                yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Each star is dealt out in pieces of about STAR members, with a copy of its centre each."""
+def starred(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int, differences: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets link; or, for each, the keys (node, band, role, need, keys) of b's difference from a.
+
+    Each star is dealt out in pieces of about STAR members, with a copy of its centre each.
+    """
     pieces = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("long").alias("pieces"))
     salted = saved(pairs.join(pieces, "a").select("a", F.pmod("b", "pieces").alias("salt"), "b"), "pairs")
     routes = salted.union(salted.select("a", "salt", F.col("a").alias("b")).distinct())
     rows = routes.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", (F.col("b") != F.col("a")), "b")
-    return rows.mapInPandas(_verify(size, num, den), "a long, b long").distinct()
+    return rows.mapInPandas(_stars(size, num, den, differences), "node long, band long, role int, need int, keys array<long>" if differences else "a long, b long")
+
+
+def needed(posts: DataFrame, last: bool) -> DataFrame:
+    """Of posts (node, band, need, key) those that may still matter: keys that several nodes hold, of nodes that hold `need` of them in a band.
+
+    last: without the need - 1 that most nodes hold, and with freq, the nodes of the key. A window is one node's keys of
+    one band, so it is as large as a document.
+    """
+    keys = posts.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
+    own = Window.partitionBy("node", "band")
+    shared = posts.join(keys, "key")
+    if last:
+        return shared.withColumn("rank", F.row_number().over(own.orderBy(F.desc("freq"), "key"))).filter("rank >= need").select("node", "band", "need", "key", "freq")
+    return shared.withColumn("held", F.count("*").over(own)).filter("held >= need").select(*posts.columns)
+
+
+def shared_keys(posts: DataFrame) -> DataFrame:
+    """(node, band, need, key, freq), stored: of posts (node, band, need, key) those by which candidates are found."""
+    # Counted with copies that several tasks have posted: keys held by one node only are found in the rounds below.
+    several = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    shared = saved(posts.join(several, "key").distinct(), "shared")
+    for _ in range(ROUNDS):
+        fewer = saved(needed(shared, last=False), "shared")
+        discard(shared)
+        shared = fewer
+    kept = saved(needed(shared, last=True), "kept")
+    discard(shared)
+    return kept
 
 
 def grouped(docs: DataFrame, size: int, num: int, den: int, shingle_bits: int) -> DataFrame:
     """similar_groups with text_hash: a row is known by doc_id and the hash of its text, as a doc_id may repeat with other texts."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("text_hash"))
-    made = source.mapInArrow(_sketches(size, num, den, shingle_bits), "doc_id long, text_hash long, n_shingles long, node long, digest long, bits array<long>, keys array<long>")
-    made = saved(made, "sketches")
-    by_key = Window.partitionBy("key")
-    posts = made.select("node", F.explode("keys").alias("key"))
-    shared = posts.withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key)}).filter("lo < hi")
-    shared = saved(shared.select("key", "node", "lo").distinct(), "shared")
+    source = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("text_hash"))
+    row = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, node long, digest long, bits array<long>, bands array<struct<need:int,keys:array<long>>>"
+    made = saved(source.mapInArrow(_sketches(size, num, den, shingle_bits), row), "sketches")
+    posts = made.select("node", F.posexplode("bands").alias("band", "own")).select("node", F.col("band").cast("long").alias("band"), "own.need", F.explode("own.keys").alias("key"))
+    kept = shared_keys(posts)
     sets = saved(made.select("doc_id", "text_hash", "n_shingles", "node"), "sets")
-    held = made.filter("keys is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
     first_doc = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("node", "row.doc_id", "row.text_hash")
-    nodes = saved(first_doc.join(held, "node"), "nodes")
+    nodes = saved(first_doc, "nodes")
+    held = kept.select("node").distinct()
+    traits = made.filter(F.size("bands") > 0).join(held, "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    traits = saved(traits, "traits")
     discard(made)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) those whose sets link."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = source.join(nodes.select("node", "doc_id", "text_hash").join(ends, "node", "left_semi"), ["doc_id", "text_hash"]).select("node", "text")
-        texts = saved(texts, "texts", "zstd")
-        found = saved(verified(pairs, texts, size, num, den), "links")
-        discard(texts)
-        return found
-
-    traits = nodes.select("node", "n", "bits")
+    texts = nodes.join(traits.select("node"), "node", "left_semi").join(source, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+    texts = saved(texts, "texts", "zstd")
+    label = saved(traits.select("node", F.col("node").alias("component")), "labels")
     x, y = traits.alias("x"), traits.alias("y")
-    tried, links, label = None, None, None
-
-    def untried(pairs: DataFrame) -> DataFrame:
+    tried: DataFrame | None = None
+
+    def spanning(posts: DataFrame, order: Column) -> DataFrame:
+        """Stored members of the groups that span several classes, with the group's first in that order as its centre."""
+        members = posts.select("key", "node", "score").join(label, "node")
+        spans = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct(order.alias("o"), "node", "component")).alias("centre")).filter("low < high")
+        members = members.join(spans.select("key", "centre"), "key").select("key", "node", "score", "component", F.col("centre.node").alias("centre"), F.col("centre.component").alias("its"))
+        return saved(members, "members")
+
+    def joined(pairs: DataFrame) -> None:
+        """Verifies pairs (a, b) that weren't, and joins the classes of those that link."""
+        nonlocal tried, label
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-
-    for turn in range(TURNS + 1):
-        seen = shared.withColumn("component", F.col("node")) if label is None else shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = seen.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("h"), "node", "component")).alias("centre")).filter("low < high")
-        if turn < TURNS:  # every member with the group's centre, another one each turn
-            centre = F.when(F.lit(turn > 0), F.col("centre.node")).otherwise(F.col("lo"))
-            pairs = seen.join(mixed.select("key", "centre"), "key").select(centre.alias("a"), F.col("node").alias("b"), (F.lit(turn == 0) | (F.col("component") != F.col("centre.component"))).alias("apart"))
-            pairs = untried(pairs.filter("apart and a != b").select("a", "b"))
-            pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(may_link("x", "y", num, den)).select("a", "b")
-        else:  # all pairs across the classes that are left: after them no link between classes is untried
-            members = saved(seen.join(mixed.select("key"), "key").join(traits, "node").select("key", "node", "component", "n", "bits"), "members")
-            u, v = members.alias("x"), members.alias("y")
-            pairs = u.join(v, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & may_link("x", "y", num, den))
-            pairs = untried(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(may_link("x", "y", num, den)).select("a", "b")
         pairs = saved(pairs, "tried")
         if not pairs.limit(1).count():
-            if turn >= TURNS:
-                break
-            continue
+            return
         tried = pairs if tried is None else tried.union(pairs)
-        more = linked(pairs)
-        links = more if links is None else links.union(more)
-        label = saved(components(links).withColumnRenamed("id", "node"), "labels")
-    if label is None:
-        label = nodes.select("node", F.col("node").alias("component")).limit(0)
+        found = saved(starred(pairs, texts, size, num, den), "links")
+        if not found.limit(1).count():
+            return
+        # Links join classes: only the classes' own labels go through components.
+        ends = found.join(label.select(F.col("node").alias("a"), F.col("component").alias("u")), "a").join(label.select(F.col("node").alias("b"), F.col("component").alias("v")), "b")
+        merged = components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("root"))
+        now = saved(label.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        discard(label, found)
+        label = now
+
+    open_ = saved(kept.join(kept.groupBy("node").agg(F.sum("freq").alias("score")), "node").select("key", "node", "score"), "open")
+    discard(kept)
+    by_score = F.col("score").cast("double")
+    for turn in range(TURNS):  # every member with its group's centre, another one each turn
+        members = spanning(open_, F.xxhash64(F.lit(turn), "node").cast("double") if turn + 1 < TURNS else by_score)
+        discard(open_)
+        open_ = members
+        if not members.limit(1).count():
+            break
+        joined(members.filter("component != its").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    # Centres as in the last turn, so that every member of another class has been tried with its centre.
+    members = spanning(open_, by_score)
+    stars = members.filter("centre != node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    apart = saved(starred(stars, texts, size, num, den, differences=True), "differences")
+    kept = shared_keys(apart.select("node", "band", "need", F.explode("keys").alias("key")))
+    sizes = apart.select("node", "band", "role", F.size("keys").alias("size"))
+    left = saved(kept.join(sizes, ["node", "band"]).join(label, "node").select("key", "node", "role", "need", "size", "component"), "left")
+    discard(open_, members, apart, kept)
+    u, v = left.alias("x"), left.alias("y")
+    # Each must be able to share what the other needs.
+    fit = (F.col("x.key") == F.col("y.key")) & (F.col("x.need") <= F.col("y.size")) & (F.col("y.need") <= F.col("x.size"))
+    outside = u.filter("role = 0").join(v.filter("role = 0"), fit & (F.col("x.component") < F.col("y.component")))
+    across = u.filter("role = 1").join(v.filter("role = 2"), fit & (F.col("x.component") != F.col("y.component")))
+    ends = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
+    joined(outside.select(*ends).union(across.select(*ends)))
+    open_ = left
+    discard(open_, texts, traits)
     owned = saved(nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id"), "owned")
     first = owned.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = owned.join(first, "component").select("node", "component_id")

@@ -404,4 +404,27 @@ def test_hamming_never_loses_a_link(spark):
         a = np.unique(g.integers(0, 2**63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: int(n * 0.93)], g.integers(0, 2**63, int(n * 0.05), dtype=np.uint64)]))
         linked = 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
-        assert not linked or set(jaccard.sketch_keys(a, 80, 100).tolist()) & set(jaccard.sketch_keys(b, 80, 100).tolist())
+        posts = [jaccard.sketch_keys(v, 80, 100) for v in (a, b)]
+        common = set().union(*(k.tolist() for _, k in posts[0])) & set().union(*(k.tolist() for _, k in posts[1]))
+        least = max(min((need for need, _ in p), default=1) for p in posts)
+        assert not linked or len(common) >= least
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100), (50, 100)])
+def test_linked_sets_share_as_many_keys_as_they_need(num, den):
+    """Also at the ends of the size bands, and where one of a pair is as large as it can be."""
+    g, checked = np.random.default_rng(5), 0
+    for n in [*range(5, 60), 100, 154, 168, 169, 271, 433, 1000]:
+        for extra in {0, (n * den // num - n) // 2, n * den // num - n}:
+            lost = max(0, (den * n - num * (n + extra)) // (den + num)) if extra < n * den // num - n else 0
+            a = g.integers(0, 2**63, n, dtype=np.uint64)
+            b = np.concatenate([a[lost:], g.integers(0, 2**63, extra + lost, dtype=np.uint64)])
+            if len(b) < n or den * (n - lost) < num * (n + extra + lost) or not extra + lost:
+                continue
+            checked += 1
+            x, y = (jaccard.sketch_keys(np.sort(v), num, den) for v in (a, b))
+            small, large = jaccard.band_of(n), jaccard.band_of(len(b))
+            assert large >= small
+            (need_a, keys_a), (need_b, keys_b) = x[0], y[large - small]
+            assert len(set(keys_a.tolist()) & set(keys_b.tolist())) >= max(need_a, need_b)
+    assert checked > 60
