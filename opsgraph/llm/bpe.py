@@ -1,20 +1,83 @@
-"""A byte-pair tokenizer compiled to a transducer over segments.
+"""A byte-level byte-pair tokenizer compiled to a deterministic transducer.
 
-A segment is white space and what follows up to the next ASCII white space. The tokenizer's own pre-splitting never joins
-across the place where a segment ends, so a text's tokens are its segments' tokens one after another. The transducer
-has one state between segments; reading a segment leads back to it and emits the segment's tokens. Transitions are
-compiled with the tokenizers library as segments first occur, and thrown away when there are MAX_TRANSITIONS of them.
+A text is cut before every ASCII white space that follows a character which is surely no white space, and where letters,
+digits and signs meet; the tokenizer's pre-splitting never joins across such a place, so a text's tokens are its segments'
+tokens one after another. The transducer reads bytes. Its states are the prefixes of segments, told apart by their path hash and its check, 128 bits
+together; the transition that ends a segment leads back to the start and is annotated with the token ids it emits, and
+their number. States are determinised as texts reach them, each by one call of the tokenizers library on the segment, and
+thrown away when MAX_STATES ends are annotated. Segments of over EXACT bytes are known by their bytes instead.
+
+All segments of a batch take their transitions at once: path hashes are differences of running sums.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from functools import lru_cache
 
-#: The tokenizer's pattern treats some characters as white space that Python's doesn't and the other way round; at the ones listed here a segment goes on.
-SEGMENT = re.compile("\\s*\\S+(?:[\x1c-\x1f\x85\xa0  -     　]\\s*\\S*)*|\\s+")
-MAX_TRANSITIONS = 400_000
+import numpy as np
+import pyarrow as pa
+
+from opsgraph.llm.common import hashed_runs, offsets, raw
+
+MAX_STATES = 1 << 20
+EXACT = 64
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def after_space(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is, or may count as, white space."""
+    last = data[place - 1]
+    two, three = data[np.maximum(place - 2, 0)], data[np.maximum(place - 3, 0)]
+    # Unicode's white space beyond ASCII in UTF-8, and the ASCII separators on which libraries differ.
+    found = (last >= 0x1C) & (last <= 0x1F)
+    found |= (two == 0xC2) & ((last == 0x85) | (last == 0xA0))
+    found |= (three == 0xE1) & (((two == 0x9A) & (last == 0x80)) | ((two == 0xA0) & (last == 0x8E)))
+    found |= (three == 0xE2) & (two == 0x80) & ((last <= 0x8A) & (last >= 0x80) | np.isin(last, [0xA8, 0xA9, 0xAF]))
+    found |= (three == 0xE2) & (two == 0x81) & (last == 0x9F)
+    found |= (three == 0xE3) & (two == 0x80) & (last == 0x80)
+    return found
+
+
+def sure_ends(kind: str | None, special: list[bytes]) -> np.ndarray:
+    """[last byte, next byte]: whether a segment surely ends between the two, for byte-level pre-splitting or any other (None).
+
+    Before white space always, if `after_space` agrees. Byte-level splitting also ends runs of letters, digits and other
+    signs where one meets another in ASCII, but for an apostrophe before a letter. Never where two bytes stand in a
+    special token, which is one piece.
+    """
+    char = np.arange(256)
+    out = np.zeros((256, 256), bool)
+    out[np.ix_(~SPACE, SPACE)] = True
+    if kind == "ByteLevel":
+        letter = ((char | 32) >= 97) & ((char | 32) <= 122) & (char < 128)
+        digit = (char >= 48) & (char <= 57)
+        sign = (char > 32) & (char < 127) & ~letter & ~digit
+        for x in (letter, digit, sign):
+            for y in (letter, digit, sign):
+                if x is not y:
+                    out[np.ix_(x, y)] = True
+        out[ord("'")] = SPACE
+    for token in special:
+        for x, y in zip(token, token[1:], strict=False):
+            out[x, y] = False
+    return out
+
+
+def segment_starts(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the segments of the texts data[at[i]:at[i + 1]] begin."""
+    mark = np.zeros(len(data) + 1, bool)
+    if len(data):
+        pair = data[:-1].astype(np.uint16)
+        pair <<= 8
+        pair |= data[1:]
+        mark[1:-1] = ends.ravel()[pair]
+        # What may be white space beyond ASCII is decided on the places after such bytes only.
+        odd = np.flatnonzero(mark[1:-1] & ((data[:-1] >= 0x80) | (data[:-1] < 0x20))) + 1
+        mark[odd[after_space(data, odd)]] = False
+    mark[at] = True
+    return np.flatnonzero(mark[: len(data)])
 
 
 class Transducer:
@@ -25,32 +88,107 @@ class Transducer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.count: dict[str, int] = {}
-        self.ids: dict[str, bytes] = {}
-
-    def _new(self, known: dict, parts: list[str]) -> tuple[list[str], list]:
-        if len(known) > MAX_TRANSITIONS:
-            known.clear()
-            fresh = list(set(parts))
-        else:
-            fresh = list(set(parts).difference(known))
-        return fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False) if fresh else []
-
-    def counts(self, texts: list[str]) -> list[int]:
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        split = made.get("pre_tokenizer") or {}
+        level = split.get("type") if split.get("use_regex", True) and not split.get("add_prefix_space") and not made.get("normalizer") else None
+        self.ends = sure_ends(level, [t["content"].encode() for t in made.get("added_tokens", [])])
+        self._clear()
+
+    def _clear(self) -> None:
+        self.n = 0
+        self.key, self.check = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.uint64)
+        self.begin = np.zeros((1 << 10) + 1, np.int64)  # of each end's token ids
+        self.ids = np.zeros(1 << 12, np.uint32)
+        self.slots = np.full(1 << 12, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+
+    def _reached(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each segment's end state; -1: not there yet."""
+        mask = len(self.slots) - 1
+        slot = (key & np.uint64(mask)).astype(np.int64)
+        out = np.full(len(key), -1, np.int32)
+        left = np.arange(len(key))
+        while len(left):
+            e = self.slots[slot[left]]
+            hit = (e >= 0) & (self.key[e] == key[left]) & (self.check[e] == check[left])
+            out[left[hit]] = e[hit]
+            left = left[(e >= 0) & ~hit]
+            slot[left] = (slot[left] + 1) & mask
+        return out
+
+    def _annotate(self, segments: list[bytes]) -> np.ndarray:
+        """New ends with the token ids that they emit."""
+        coded = self.tokenizer.encode_batch_fast([s.decode() for s in segments], add_special_tokens=False)
+        ids = [c.ids for c in coded]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        first, stop = int(self.begin[self.n]), self.n + len(segments)
+        while len(self.key) < stop:
+            self.key, self.check = np.concatenate([self.key, np.zeros_like(self.key)]), np.concatenate([self.check, np.zeros_like(self.check)])
+            self.begin = np.concatenate([self.begin, np.zeros(len(self.begin) - 1, np.int64)])
+        while len(self.ids) < first + sizes.sum():
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[first : first + int(sizes.sum())] = np.fromiter((i for c in ids for i in c), np.uint32, int(sizes.sum()))
+        self.begin[self.n + 1 : stop + 1] = first + np.cumsum(sizes)
+        new = np.arange(self.n, stop)
+        self.n = stop
+        return new
+
+    def _place(self, states: np.ndarray) -> None:
+        """States into the slots, which are twice as many at least."""
+        if 2 * self.n > len(self.slots):
+            self.slots = np.full(1 << (2 * self.n).bit_length(), -1, np.int32)
+            states = np.arange(self.n)
+            states = states[(self.key[states] != 0) | (self.check[states] != 0)]  # those known by their bytes have no slot
+        mask = len(self.slots) - 1
+        for e, slot in zip(states.tolist(), (self.key[states] & np.uint64(mask)).tolist(), strict=True):
+            while self.slots[slot] >= 0:
+                slot = (slot + 1) & mask
+            self.slots[slot] = e
+
+    def run(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The end state of every segment of the texts, and where each text's segments begin (one more entry)."""
+        if self.n > MAX_STATES:
+            self._clear()
+        data, at = raw(text), offsets(text)
+        starts = segment_starts(data, at, self.ends)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        with np.errstate(over="ignore"):
+            key, check = hashed_runs(data, starts, ends, 1), hashed_runs(data, starts, ends, 2)
+        state = np.full(len(starts), -1, np.int32)
+        buffer = data.tobytes() if len(data) else b""
+        size = ends - starts
+        long = np.flatnonzero(size > EXACT)
+        for i in long.tolist():
+            segment = buffer[starts[i] : ends[i]]
+            if segment not in self.long:
+                self.long[segment] = int(self._annotate([segment])[0])
+            state[i] = self.long[segment]
+        short = np.flatnonzero(size <= EXACT)
+        while len(short):
+            state[short] = self._reached(key[short], check[short])
+            short = short[state[short] < 0]
+            if len(short):
+                fresh = short[np.unique(key[short], return_index=True)[1]]
+                new = self._annotate([buffer[starts[i] : ends[i]] for i in fresh.tolist()])
+                self.key[new], self.check[new] = key[fresh], check[fresh]
+                self._place(new)
+        return state, np.searchsorted(starts, at)
+
+    def counts(self, text: pa.Array) -> np.ndarray:
         """The number of tokens of each text."""
-        split = [SEGMENT.findall(t) for t in texts]
-        fresh, coded = self._new(self.count, [p for s in split for p in s])
-        self.count.update(zip(fresh, map(len, coded), strict=True))
-        get = self.count.__getitem__
-        return [sum(map(get, s)) for s in split]
-
-    def coded(self, texts: list[str]) -> list[bytes]:
-        """The token ids of each text, two bytes little-endian each."""
-        split = [SEGMENT.findall(t) for t in texts]
-        fresh, coded = self._new(self.ids, [p for s in split for p in s])
-        self.ids.update((p, b"".join(i.to_bytes(2, "little") for i in c.ids)) for p, c in zip(fresh, coded, strict=True))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        state, first = self.run(text)
+        total = np.concatenate([[0], np.cumsum(self.begin[state + 1] - self.begin[state])])
+        return total[first[1:]] - total[first[:-1]]
+
+    def coded(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of all texts, one after another, and where each text's begin (one more entry)."""
+        state, first = self.run(text)
+        begin = self.begin[state]
+        size = self.begin[state + 1] - begin
+        total = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
+        return self.ids[place], total[first]
 
 
 @lru_cache(4)

@@ -3,7 +3,9 @@
 Documents are dealt to tasks by ranges of doc_id and written in ascending order. A shard holds whole documents, about
 SHARD tokens, or one document where that is longer. Its file row has the document ids and lengths and the matrix: 16
 bit-planes, most significant bit first, each in the stable order of the planes above it, with a count of set bits before
-every BLOCK bits. Access, rank (occurrences before a place) and select (place of an occurrence) read the planes only.
+every BLOCK bits. Access, rank (occurrences before a place) and select (place of an occurrence) read the planes only:
+select goes from the symbol's run in the last plane's order up, finding in each plane the k-th bit of a kind by a search in
+the counts and one block's bits.
 
 Null text is empty: the document has only its end id. Documents with equal ids follow one another in order of text hash;
 null ids come first. Extra columns are ignored.
@@ -44,10 +46,12 @@ class WaveletMatrix:
             one = (x & np.uint16(1 << (LEVELS - 1 - level))) != 0
             packed = np.packbits(one)
             planes[level, : len(packed)] = packed
-            ranks[level, 1:] = np.cumsum(np.bitwise_count(planes[level]).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32))
-            low = x[~one]
-            zeros[level] = len(low)
-            x = np.concatenate([low, x[one]])
+            ranks[level, 1:] = np.cumsum(np.bitwise_count(planes[level].view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32))
+            sorted_ = np.empty_like(x)
+            zeros[level] = n - np.count_nonzero(one)
+            np.compress(one, x, out=sorted_[zeros[level] :])
+            np.compress(~one, x, out=sorted_[: zeros[level]])
+            x = sorted_
         return cls(n, zeros, planes, ranks)
 
     def to_bytes(self) -> bytes:
@@ -92,15 +96,37 @@ class WaveletMatrix:
             lo, at = (int(self.zeros[level]) + a, int(self.zeros[level]) + b) if symbol >> (LEVELS - 1 - level) & 1 else (lo - a, at - b)
         return at - lo
 
+    def _nth(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Where in a plane the k-th (from 0) bits of a kind are: a search in the counts, then in one block each."""
+        before = self.ranks[level].astype(np.int64)
+        if not bit:
+            before = np.arange(len(before)) * BLOCK - before
+        block = np.searchsorted(before, k, side="right") - 1
+        # The blocks' bits are unpacked some at a time.
+        out = np.empty(len(k), np.int64)
+        for i in range(0, len(k), 4096):
+            own = block[i : i + 4096]
+            bits = np.unpackbits(self.planes[level].reshape(-1, BLOCK // 8)[own], axis=1) == bit
+            met = np.cumsum(bits, axis=1, dtype=np.int16) == (k[i : i + 4096] - before[own] + 1)[:, None]
+            out[i : i + 4096] = own * BLOCK + np.argmax(met & bits, axis=1)
+        return out
+
+    def places(self, symbol: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """The places of the symbol's occurrences first to last (exclusive; None: all), ascending."""
+        lo, hi = 0, self.size
+        for level in range(LEVELS):
+            a, b = self._ones(level, lo), self._ones(level, hi)
+            lo, hi = (int(self.zeros[level]) + a, int(self.zeros[level]) + b) if symbol >> (LEVELS - 1 - level) & 1 else (lo - a, hi - b)
+        at = np.arange(lo + first, hi if last is None else min(hi, lo + last))
+        for level in range(LEVELS - 1, -1, -1):
+            bit = symbol >> (LEVELS - 1 - level) & 1
+            at = self._nth(level, bit, at - int(self.zeros[level]) if bit else at)
+        return at
+
     def select(self, symbol: int, k: int) -> int:
         """The place of the k-th occurrence, from 0; -1 if there are fewer."""
-        if k >= self.rank(symbol, self.size):
-            return -1
-        lo, hi = 0, self.size
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if self.rank(symbol, mid) <= k else (lo, mid)
-        return lo
+        at = self.places(symbol, k, k + 1)
+        return int(at[0]) if len(at) else -1
 
     def decode(self) -> np.ndarray:
         """All symbols: the planes' partitions undone from the last to the first."""
@@ -122,28 +148,38 @@ def _shards(path: str, end_id: int, shard: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each shard of this task's documents; base: the tokens of the task's shards before it."""
         coder, part = transducer(path), TaskContext.get().partitionId()
-        end = end_id.to_bytes(2, "little")
-        base, held, texts, ids = 0, 0, [], []
+        base, held = 0, 0
+        tokens: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        ids: list[pa.Array] = []
 
         def closed() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(texts), "<u2")
-            sizes = pa.array([[len(t) // 2 for t in texts]], pa.list_(pa.int64()))
-            all_ids = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.concat_arrays(ids))
-            row = [pa.array([part], pa.int32()), pa.array([base], pa.int64()), pa.array([held], pa.int64()), all_ids, sizes, pa.array([WaveletMatrix.build(tokens).to_bytes()], pa.binary())]
+            size = np.concatenate(sizes)
+            all_ids = pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), pa.concat_arrays(ids))
+            all_sizes = pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), pa.array(size))
+            row = [pa.array([part], pa.int32()), pa.array([base], pa.int64()), pa.array([held], pa.int64()), all_ids, all_sizes, pa.array([WaveletMatrix.build(np.concatenate(tokens)).to_bytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(row, ["part", "base", "n_tokens", "doc_ids", "sizes", "matrix"])
 
         for batch in slices(batches):
-            coded = coder.coded(filled(batch).to_pylist())
+            coded, at = coder.coded(filled(batch))
+            # Every document gets its end id: each of its tokens moves by the documents before it.
+            size = np.diff(at) + 1
+            at = at + np.arange(len(at))
+            out = np.full(at[-1], end_id, np.uint16)
+            out[np.arange(len(coded)) + np.repeat(np.arange(len(size)), size - 1)] = coded
             begin = 0
-            for r, c in enumerate(coded):
-                if texts and held + len(c) // 2 + 1 > shard:
-                    ids.append(batch.column("doc_id").slice(begin, r - begin))
+            while begin < len(size):
+                # As many documents as the shard has room for, one at least in an empty one.
+                stop = int(np.searchsorted(at, at[begin] + shard - held, side="right")) - 1
+                stop = max(stop, begin + 1) if not held else max(stop, begin)
+                if stop > begin:
+                    tokens.append(out[at[begin] : at[stop]]), sizes.append(size[begin:stop]), ids.append(batch.column("doc_id").slice(begin, stop - begin))
+                    held += int(at[stop] - at[begin])
+                if stop < len(size):
                     yield closed()
-                    base, held, texts, ids, begin = base + held, 0, [], [], r
-                texts.append(c + end)
-                held += len(c) // 2 + 1
-            ids.append(batch.column("doc_id").slice(begin))
-        if texts:
+                    base, held, tokens, sizes, ids = base + held, 0, [], [], []
+                begin = stop
+        if held:
             yield closed()
 
     return run
@@ -187,10 +223,9 @@ def _lookup(symbol: int) -> Callable:
         for batch in batches:
             for r in range(batch.num_rows):
                 matrix = WaveletMatrix.from_bytes(batch.column("matrix")[r].as_py())
-                n = matrix.rank(symbol, matrix.size)
-                at = [matrix.select(symbol, k) for k in range(n)]
+                at = matrix.places(symbol)
                 base = batch.column("base")[r].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("part")[r].as_py()] * n, pa.int32()), pa.array([base + x for x in at], pa.int64())], ["part", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("part")[r].as_py()] * len(at), pa.int32()), pa.array(base + at)], ["part", "place"])
 
     return run
 
