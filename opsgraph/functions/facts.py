@@ -35,10 +35,8 @@ def part(data: Column, path: str) -> Column:
 
 
 def canonical(data: Column) -> Column:
-    """JSON text whose object keys are sorted at the top two levels, for comparing snapshots; deeper levels keep their text."""
-    inner = lambda v: F.coalesce(F.to_json(F.array_sort(F.map_entries(F.from_json(v, "map<string,string>")))), v)
-    entries = F.array_sort(F.map_entries(F.from_json(data, "map<string,string>")))
-    return F.coalesce(F.to_json(F.transform(entries, lambda e: F.struct(e["key"].alias("k"), inner(e["value"]).alias("v")))), data)
+    """JSON text with the keys of all objects sorted, at any depth, for comparing snapshots; what isn't JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(data)), data)
 
 
 def labels(data: Column) -> Column:

@@ -48,21 +48,14 @@ def validation_summary(events: DataFrame) -> DataFrame:
 
 
 def prune_managed_fields(data: Column, extra: tuple[str, ...] = ()) -> Column:
-    """The snapshot without metadata.managedFields and the other metadata fields named; JSON text with the top level's fields."""
-    drop = ["managedFields", *extra]
-    inner = F.from_json(F.get_json_object(data, "$.metadata"), "map<string,string>")
-    raw = lambda m: F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), _json_value(e["value"]))), ","), F.lit("}"))
-    metadata = raw(F.map_filter(inner, lambda k, _: ~k.isin(*drop)))
-    top = F.from_json(data, "map<string,string>")
-    replaced = F.transform_values(top, lambda k, v: F.when(k == "metadata", metadata).otherwise(v))
-    return F.when(top.isNull() | inner.isNull(), data).otherwise(raw(replaced))
-
-
-def _json_value(text: Column) -> Column:
-    """A value that from_json gave as text, as JSON: objects, arrays, numbers and booleans as they are, other text quoted."""
-    quoted = F.to_json(F.array(text))
-    is_json = text.rlike(r"^(\{.*\}|\[.*\]|-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false)$")
-    return F.when(text.isNull(), F.lit("null")).when(is_json, text).otherwise(quoted.substr(F.lit(2), F.length(quoted) - 2))
+    """The snapshot without metadata.managedFields and the other metadata fields named; what isn't an object with metadata stays as it is.
+
+    Values are kept as parsed, so texts stay texts.
+    """
+    fields = "map<string,variant>"
+    top, metadata = F.from_json(data, fields), F.from_json(F.get_json_object(data, "$.metadata"), fields)
+    kept = F.parse_json(F.to_json(F.map_filter(metadata, lambda k, _: ~k.isin("managedFields", *extra))))
+    return F.when(top.isNull() | metadata.isNull(), data).otherwise(F.to_json(F.transform_values(top, lambda k, v: F.when(k == "metadata", kept).otherwise(v))))
 
 
 def enrich_involved_uid(events: DataFrame) -> DataFrame:

@@ -32,19 +32,28 @@ class Seen:
     end_ns: int
 
 
-def severity(kind: Column, type_: Column, table: dict[str, list[str]] = rules.SEVERITY) -> Column:
-    """The severity of an anomaly type; medium if no rule names it, low for a changed spec of a ReplicaSet."""
-    out = F.when((type_ == "SpecModified") & (kind == "ReplicaSet"), "low")
-    for level, types in table.items():
-        out = out.when(type_.isin(*types), level)
+def severity(category: Column, kind: Column, type_: Column) -> Column:
+    """The severity of an anomaly: that of its kind's own row, else of the category's and type's, else medium."""
+    out = None
+    for own in (True, False):  # rows of a kind first
+        for c, t, k, level in rules.SEVERITY:
+            if bool(k) == own:
+                fits = (category == c) & (type_ == t) & ((kind == k) if k else F.lit(True))
+                out = F.when(fits, level) if out is None else out.when(fits, level)
     return out.otherwise("medium")
 
 
+def reason_severity(reason: Column) -> Column:
+    """The severity of an event reason."""
+    table = F.create_map(*[F.lit(x) for row in rules.REASON_SEVERITY.items() for x in row])
+    return F.coalesce(F.element_at(table, reason), F.lit("medium"))
+
+
 def found(rows: DataFrame, category: str, type_: Column | str, summary: Column | str, ts: Column | None = None, level: Column | None = None) -> DataFrame:
     """rows as anomalies; rows with a null type are none."""
     t, s = (F.lit(x) if isinstance(x, str) else x for x in (type_, summary))
     out = rows.select("uid", "kind", F.lit(category).alias("category"), t.alias("type"), (F.col("ts_ns") if ts is None else ts).alias("ts_ns"), s.alias("summary"), (F.lit(None).cast("string") if level is None else level).alias("level"))
-    return out.filter("type is not null").select("uid", "kind", "category", "type", F.coalesce("level", severity(F.col("kind"), F.col("type"))).alias("severity"), "ts_ns", "summary")
+    return out.filter("type is not null").select("uid", "kind", "category", "type", F.coalesce("level", severity(F.col("category"), F.col("kind"), F.col("type"))).alias("severity"), "ts_ns", "summary")
 
 
 def _rules(*pairs: tuple[Column, str | Column]) -> Column:
@@ -74,7 +83,7 @@ def warning_events(w: Seen) -> DataFrame:
     rows = w.warnings.filter((F.col("type") == "Warning") & ~reason.isin(*rules.BENIGN_REASONS))
     first = F.row_number().over(Window.partitionBy("uid", "reason").orderBy("ts_ns", "id"))
     rows = rows.withColumn("nth", first).filter("nth = 1").withColumn("as_type", kind)
-    level = F.when(F.col("as_type") == reason, severity(F.lit(""), reason, rules.REASON_SEVERITY))
+    level = F.when(F.col("as_type") == reason, reason_severity(reason))
     return found(rows, "Event", F.col("as_type"), F.concat_ws(": ", "reason", "message"), level=level)
 
 

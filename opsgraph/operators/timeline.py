@@ -120,28 +120,55 @@ def duration_text(seconds: Column) -> Column:
     return F.when(minutes < 1, "< 1m").when(minutes < 60, part(minutes, "m")).when(hours < 24, hm).otherwise(dh)
 
 
+LAST = ["ts_ns", "id", "kind", "namespace", "name", "status", "message"]
+
+
+def last_status(events: DataFrame) -> DataFrame:
+    """Each resource's last event: uid, kind, namespace, name, status, message, ts_ns, n_events. One aggregation, partial before the shuffle."""
+    rows = events.groupBy("uid").agg(F.max(F.struct(*LAST)).alias("last"), F.count("*").alias("n_events"))
+    return rows.select("uid", "last.kind", "last.namespace", "last.name", "last.status", "last.message", "last.ts_ns", "n_events")
+
+
 def current_status(events: DataFrame) -> DataFrame:
-    """Each resource's last status: uid, kind, namespace, name, status, ts_ns, n_events and the time of its last change of status."""
-    last = F.max(F.struct("ts_ns", "id", "kind", "namespace", "name", "status", "message"))
+    """last_status, and since_ns, the time of the last change of status."""
     changed = events.withColumn("changed_ns", F.when(F.coalesce(F.lag("status").over(by_time()) != F.col("status"), F.lit(True)), F.col("ts_ns")))
-    rows = changed.groupBy("uid").agg(last.alias("last"), F.count("*").alias("n_events"), F.max("changed_ns").alias("since_ns"))
+    rows = changed.groupBy("uid").agg(F.max(F.struct(*LAST)).alias("last"), F.count("*").alias("n_events"), F.max("changed_ns").alias("since_ns"))
     return rows.select("uid", "last.kind", "last.namespace", "last.name", "last.status", "last.message", "last.ts_ns", "n_events", "since_ns")
 
 
+STATUSES = ("Ready", "Warning", "Error", "Terminating", "Unknown")
+
+
+def _overall(error: Column, warning: Column) -> Column:
+    return F.when(error > 0, "Critical").when(warning > 0, "Degraded").otherwise("Healthy")
+
+
 def cluster_health(events: DataFrame, listed: int = 20) -> DataFrame:
-    """Per kind: counts of the five statuses, error rate, the names of resources in error, and the kind's overall state."""
-    now = current_status(events)
+    """Per kind: counts of the five statuses, error rate, the first names of resources in error, and the kind's overall state.
+
+    Names are ranked with a limit, which Spark applies before the shuffle too, so no list is longer than `listed`.
+    """
+    now = last_status(events)
     count = lambda s: F.count_if(F.col("status") == s)
-    rows = now.groupBy("kind").agg(
-        F.count("*").alias("total"),
-        *[count(s).alias(s.lower()) for s in ("Ready", "Warning", "Error", "Terminating", "Unknown")],
-        F.array_sort(F.collect_set(F.when(F.col("status") == "Error", F.concat_ws("/", "namespace", "name")))).alias("names"),
-    )
-    more = F.greatest(F.size("names") - listed, F.lit(0))
-    text = F.concat(F.array_join(F.slice("names", 1, listed), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more, F.lit(" more)"))).otherwise(""))
+    rows = now.groupBy("kind").agg(F.count("*").alias("total"), *[count(s).alias(s.lower()) for s in STATUSES])
+    failed = now.filter("status = 'Error'").select("kind", F.concat_ws("/", "namespace", "name").alias("shown")).distinct()
+    several = failed.groupBy("kind").agg(F.count("*").alias("several"))
+    first = failed.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("shown"))).filter(F.col("nth") <= listed)
+    names = first.groupBy("kind").agg(F.array_sort(F.collect_list("shown")).alias("names"))
+    rows = rows.join(several, "kind", "left").join(names, "kind", "left")
+    more = F.col("several") - listed
+    text = F.concat(F.array_join("names", ", "), F.when(more > 0, F.concat(F.lit(" (+"), more, F.lit(" more)"))).otherwise(""))
     rate = F.round((F.col("error") + F.col("warning")) / F.col("total"), 6)
-    overall = F.when(F.col("error") > 0, "Critical").when(F.col("warning") > 0, "Degraded").otherwise("Healthy")
-    return rows.select("kind", "total", "ready", "warning", "error", "terminating", "unknown", rate.alias("error_rate"), text.alias("in_error"), overall.alias("overall"))
+    return rows.select("kind", "total", *[s.lower() for s in STATUSES], rate.alias("error_rate"), F.coalesce(text, F.lit("")).alias("in_error"), _overall(F.col("error"), F.col("warning")).alias("overall"))
+
+
+def cluster_overall(events: DataFrame) -> DataFrame:
+    """One row for the whole cluster: overall state, resources, errors, warnings, and the kinds in error, most errors first."""
+    per = last_status(events).groupBy("kind").agg(F.count("*").alias("total"), F.count_if("status = 'Error'").alias("error"), F.count_if("status = 'Warning'").alias("warning"))
+    worst = F.array_sort(F.collect_list(F.when(F.col("error") > 0, F.struct((-F.col("error")).alias("n"), "kind"))))  # one entry for each kind
+    said = F.array_join(F.transform(worst, lambda w: F.concat(w["kind"], F.lit(": "), -w["n"])), ", ")
+    rows = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "error", "warning")], said.alias("issues"))
+    return rows.select(_overall(F.col("error"), F.col("warning")).alias("overall"), "total", "error", "warning", "issues")
 
 
 def top_issues(events: DataFrame, as_of_ns: int, n: int = 10) -> DataFrame:

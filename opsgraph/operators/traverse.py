@@ -1,7 +1,7 @@
 """Walks over the resource graph, for many starting points at once.
 
-Edges are (type, src, dst). A walk is a loop of joins on a frontier, one per hop, with a bound on the hops; paths carry
-what they have visited, so cycles end.
+Edges are (type, src, dst). A walk is a loop of joins on a frontier, one per hop, with a bound on the hops; it leaves out
+what it has seen, or paths carry what they have visited, so cycles end.
 """
 
 from __future__ import annotations
@@ -26,15 +26,24 @@ def events_of(events: DataFrame, uid: str, start_ns: int, end_ns: int) -> DataFr
     return events.filter((F.col("uid") == uid) & F.col("ts_ns").between(start_ns, end_ns)).orderBy("ts_ns", "id")
 
 
+def walk(arcs: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """(uid, other, distance): what each start (uid) reaches over arcs (at, next) in at most `hops`, at its least distance; itself at 0.
+
+    A hop joins the resources that the last one found new, and is stored, so each is expanded once and no hop is computed again.
+    """
+    arcs = arcs.select("at", "next").distinct()
+    seen = front = starts.select("uid", F.col("uid").alias("other"), F.lit(0).alias("distance")).distinct()
+    for d in range(1, hops + 1):
+        step = front.join(arcs, F.col("other") == F.col("at")).select("uid", F.col("next").alias("other")).distinct()
+        front = cut(step.join(seen, ["uid", "other"], "left_anti").withColumn("distance", F.lit(d)))
+        seen = seen.union(front)
+    return seen
+
+
 def ownership_chain(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
     """(uid, owner, distance): owners up to `hops` away, each at its least distance; the start itself at 0."""
-    owns = edges.filter("type = 'OWNS'").select(F.col("dst").alias("at"), F.col("src").alias("up"))
-    front = starts.select("uid", F.col("uid").alias("owner"), F.lit(0).alias("distance"))
-    out = front
-    for d in range(1, hops + 1):
-        front = front.join(owns, F.col("owner") == F.col("at")).select("uid", F.col("up").alias("owner"), F.lit(d).alias("distance"))
-        out = out.union(front)
-    return out.groupBy("uid", "owner").agg(F.min("distance").alias("distance"))
+    owns = edges.filter("type = 'OWNS'").select(F.col("dst").alias("at"), F.col("src").alias("next"))
+    return walk(owns, starts, hops).withColumnRenamed("other", "owner")
 
 
 def managers(edges: DataFrame, uids: DataFrame, least: float = 0.5) -> DataFrame:
@@ -49,15 +58,8 @@ def blast_radius(edges: DataFrame, starts: DataFrame, events: DataFrame, window_
     starts: (uid, t_ns).
     """
     e = edges.filter(F.col("type").isin(*types)) if types else edges
-    e = e.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
-    front = starts.select("uid", "t_ns", F.col("uid").alias("affected"))
-    out = None
-    for d in range(1, hops + 1):
-        # A start's frontier holds each resource once, however many ways lead there.
-        front = front.join(e, F.col("affected") == F.col("at")).select("uid", "t_ns", F.col("next").alias("affected")).distinct()
-        step = front.withColumn("distance", F.lit(d))
-        out = step if out is None else out.union(step)
-    near = out.filter("affected != uid").groupBy("uid", "t_ns", "affected").agg(F.min("distance").alias("distance"))
+    reached = walk(e.select(F.col("src").alias("at"), F.col("dst").alias("next")), starts, hops).filter("distance > 0")
+    near = starts.select("uid", "t_ns").join(reached.withColumnRenamed("other", "affected"), "uid")
     bad = events.filter(F.col("status").isin("Warning", "Error")).select(F.col("uid").alias("affected"), "ts_ns")
     hit = near.join(bad, "affected").filter((F.col("ts_ns") > F.col("t_ns")) & (F.col("ts_ns") < F.col("t_ns") + window_ns))
     return hit.groupBy("uid", "affected", "distance").agg(F.count("*").alias("n_events"))
@@ -118,13 +120,7 @@ def related(edges: DataFrame, resources: DataFrame, incidents: DataFrame, lookba
 def reachable(edges: DataFrame, starts: DataFrame, depth: int, directed: bool = False) -> DataFrame:
     """(uid, other, distance) of all resources within `depth` edges, in either direction unless directed."""
     e = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    e = (e if directed else e.union(e.select("next", "at"))).distinct()
-    out = starts.select("uid", F.col("uid").alias("other"), F.lit(0).alias("distance"))
-    front = out
-    for d in range(1, depth + 1):
-        front = front.join(e, F.col("other") == F.col("at")).select("uid", F.col("next").alias("other")).distinct().withColumn("distance", F.lit(d))
-        out = out.union(front)
-    return out.groupBy("uid", "other").agg(F.min("distance").alias("distance"))
+    return walk(e if directed else e.union(e.select("next", "at")), starts, depth)
 
 
 def induced_subgraph(edges: DataFrame, uids: DataFrame) -> DataFrame:

@@ -44,7 +44,8 @@ def manages(managers: DataFrame, resources: DataFrame, owns: DataFrame, least: f
     """MANAGES edges with confidence and evidence.
 
     managers: uid, kind, namespace, name, target_ns, ts_ns, reconciled; resources: live ones, with uid, kind, namespace, name, labels,
-    first_ns. Candidates have no owner. They meet their manager by label, or by namespace and time bucket, never all.
+    first_ns. Candidates have no owner. They meet their manager by label, or by namespace and time bucket; those of a
+    manager that aims at no namespace by time bucket.
     """
     free = resources.join(owns.select(F.col("dst").alias("uid")).distinct(), "uid", "left_anti")
     out = None
@@ -57,8 +58,10 @@ def manages(managers: DataFrame, resources: DataFrame, owns: DataFrame, least: f
         span = window * SECOND_NS
         bucket = lambda t: F.floor(t / span)
         slots = m.withColumn("slot", F.explode(F.array(bucket(F.col("m.ts_ns")), bucket(F.col("m.ts_ns")) + 1)))
-        near = slots.join(r.withColumn("slot", bucket(F.col("r.first_ns"))), "slot").drop("slot")
-        near = near.filter(((F.col("m.target_ns") == "") | (F.col("m.target_ns") == F.col("r.namespace"))) & (F.col("r.first_ns") - F.col("m.ts_ns")).between(0, span))
+        timed = r.withColumn("slot", bucket(F.col("r.first_ns")))
+        aimed = slots.filter("m.target_ns != ''").withColumn("ns", F.col("m.target_ns")).join(timed.withColumn("ns", F.col("r.namespace")), ["slot", "ns"])
+        anywhere = slots.filter("m.target_ns = ''").join(timed, "slot")
+        near = aimed.select("m", "r").union(anywhere.select("m", "r")).filter((F.col("r.first_ns") - F.col("m.ts_ns")).between(0, span))
         if kind == "Application":  # candidates carry the instance label
             near = near.filter(label.isNotNull())
         pairs = by_label.union(near).filter("m.uid != r.uid")

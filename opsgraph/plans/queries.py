@@ -805,3 +805,6 @@ def causal_paths(spark: SparkSession, d: str) -> DataFrame:
     found = kinds(customers.filter("c_acctbal < 0"), uid("c", "c_custkey"), "Deployment", "ImageChanged", "Change").union(kinds(table(spark, d, "nation").filter("n_nationkey % 2 = 0"), uid("n", "n_nationkey"), "HelmRelease", "ValuesChanged", "Change"))
     ranked = causal.rank_paths(causal.causal_paths(edges, resources, found, incidents))
     return causal.explained(causal.dedupe_by_root(ranked)).select("incident_id", "rank", "root", "root_kind", "confidence", "path_id", "explanation")
+
+
+from opsgraph.plans import snapshot_queries  # noqa: E402, F401  registers its queries with those above

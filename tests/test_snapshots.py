@@ -7,7 +7,7 @@ import json
 import pytest
 from opsgraph.functions import json_diff as jd
 from opsgraph.functions import status as st
-from opsgraph.functions.facts import facts
+from opsgraph.functions.facts import canonical, facts
 from opsgraph.operators import changes, significance
 from pyspark.sql import functions as F
 
@@ -100,6 +100,21 @@ def test_detect_changes(spark):
     assert got == {"1": (False, True), "2": (True, True), "3": (False, True), "4": (False, False), "5": (False, True), "6": (False, False), "7": (True, False)}
 
 
+def test_order_of_keys_is_no_change(spark):
+    """At any depth, while other types, orders of arrays and texts that look like numbers are."""
+    pairs = [
+        ('{"a": {"b": {"x": 1, "y": [{"p": 1, "q": 2}]}}}', '{"a": {"b": {"y": [{"q": 2, "p": 1}], "x": 1}}}', True),
+        ('{"a": [1, 2]}', '{"a": [2, 1]}', False),
+        ('{"a": "1"}', '{"a": 1}', False),
+        ('{"a": 1.0}', '{"a": 1}', True),
+        ('{"a": null}', "{}", False),
+        ("bad", "bad", True),
+    ]
+    df = spark.createDataFrame([(i, *p[:2]) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = dict(df.select("i", canonical(F.col("a")).eqNullSafe(canonical(F.col("b")))).collect())
+    assert got == {i: p[2] for i, p in enumerate(pairs)}
+
+
 def test_change_categories(spark):
     rows = [event(1, "p", "Pod", "CREATE", 1, OLD), event(2, "p", "Pod", "UPDATE", 2, NEW)]
     got = changes.change_categories(spark.createDataFrame(rows, EVENT)).orderBy("id").collect()
@@ -107,9 +122,16 @@ def test_change_categories(spark):
 
 
 def test_resource_patterns(spark):
-    rows = [("u", "Pod", "1", 1, "status.containerStatuses[name=a].lastState.terminated.exitCode", "replace", "0", "137"), ("u", "Pod", "2", 1, "status.unavailableReplicas", "replace", "0", "2"), ("u", "Pod", "3", 1, "spec.x", "add", None, "1")]
+    rows = [("u", "Pod", "1", 1, "status.containerStatuses[name=a].state.terminated.exitCode", "replace", "0", "137"), ("u", "Deployment", "2", 1, "status.unavailableReplicas", "replace", "0", "2"), ("u", "Pod", "4", 1, "status.containerStatuses[name=b].state.waiting.reason", "add", None, '"VolumeMountError"'), ("u", "Pod", "5", 1, "status.conditions[type=Ready].reason", "replace", '"x"', '"LivenessProbe: ReadinessProbe"'), ("u", "Pod", "6", 1, "status.containerStatuses[name=c].state.terminated.reason", "add", None, '"Completed"'), ("u", "Pod", "7", 1, "status.initContainerStatuses[name=c].state.running", "remove", "{}", None), ("u", "Pod", "3", 1, "spec.x", "add", None, "1")]
     df = spark.createDataFrame(rows, "uid string, kind string, id string, ts_ns long, path string, op string, old string, new string")
-    got = {r["id"]: (r["type"], r["container"], r["severity"]) for r in significance.resource_patterns(df).collect()}
-    assert got == {"1": ("OOMKill", "a", 0.5), "2": ("ReplicasUnavailable", "", 0.3)}
+    got = sorted((r["id"], r["type"], r["container"], r["severity"]) for r in significance.resource_patterns(df).collect())
+    assert got == [
+        ("1", "ContainerOOMKilled", "a", 0.5),
+        ("2", "ReplicasUnavailable", "", 0.35),
+        ("4", "VolumeMountFailed", "b", 0.35),
+        ("5", "LivenessProbeFailure", "", 0.4),
+        ("5", "ReadinessProbeFailure", "", 0.3),
+        ("7", "ContainerTerminated", "c", 0.3),
+    ]
     score = spark.range(1).select(significance.event_significance(F.lit(True), F.lit(True), F.lit(True), F.lit(0.5), F.lit(1), F.lit(True), F.lit("DELETE"))["score"]).first()[0]
     assert score == pytest.approx(0.9)

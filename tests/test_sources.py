@@ -42,10 +42,10 @@ def test_read_events(spark, tmp_path):
 
 
 def test_prune(spark):
-    data = json.dumps({"kind": "Pod", "metadata": {"name": 'a"b', "managedFields": [{"x": 1}], "labels": {"k": "v"}, "n": 1}, "spec": {"z": True}})
+    data = json.dumps({"kind": "Pod", "metadata": {"name": 'a"b', "managedFields": [{"x": 1}], "labels": {"k": "123", "on": "true"}, "n": 1}, "spec": {"z": True, "version": "123", "none": None}})
     df = spark.createDataFrame([(data,), (None,), ("bad",)], "data string")
     got = [r[0] for r in df.select(validate.prune_managed_fields(F.col("data"))).collect()]
-    assert json.loads(got[0]) == {"kind": "Pod", "metadata": {"name": 'a"b', "labels": {"k": "v"}, "n": 1}, "spec": {"z": True}}
+    assert json.loads(got[0]) == {"kind": "Pod", "metadata": {"name": 'a"b', "labels": {"k": "123", "on": "true"}, "n": 1}, "spec": {"z": True, "version": "123", "none": None}}
     assert got[1:] == [None, "bad"]
 
 
