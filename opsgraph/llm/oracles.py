@@ -38,7 +38,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 def op8() -> str:
     """All rules one after another: splitting at the expression gives the gaps between its matches."""
     parts = []
-    for number, (kind, (pattern, group, least, _, _)) in enumerate(RULES.items()):
+    for number, (kind, (pattern, group, least)) in enumerate(RULES.items()):
         p = pattern.replace("'", "''")
         parts.append(
             f"SELECT doc_id, {number} AS k, '{kind}' AS kind, a, a + length(m[i]) AS z FROM ("

@@ -1,16 +1,20 @@
 """Secret scans with a trigram index, in DataFrame functions only.
 
-Each rule's regular expression gives a Boolean query over trigrams that every match must hold: an OR of ANDs. The index
-has a posting (trigram, row) for each needed trigram a text holds; a rule's candidates are found by joining the query's
-terms with the postings and counting, per row, the terms of an alternative that were met. Only candidates are verified
-with the expression. A rule without mandatory trigrams, such as a run of hex digits, scans every text.
+Each rule's regular expression is parsed into a Boolean query over trigrams that every match must hold: an OR of ANDs.
+Concatenated literals and small classes make runs of characters, alternation and options make alternatives, anything
+else is a gap; a run's trigrams are all there in a match. The index has a posting (trigram, row) for each trigram of the
+rules' queries that a text holds, found in one pass. A rule's candidates are found by intersecting the postings: per row,
+the trigrams met are a mask, and one alternative's trigrams must all be in it. Only candidates are verified with the
+expression. A rule without mandatory trigrams, such as a run of hex digits, scans every text.
 
 Offsets are code points, ends exclusive. Null counts as empty. Row identity is (doc_id, text hash), so repeated rows get
-the same result each and null ids are kept. Extra columns are ignored.
+the same result each and null ids are kept. Very long texts are a row like others. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re._constants as regex
+import re._parser
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,33 +22,79 @@ from pyspark.sql import functions as F
 
 from opsgraph.llm.common import lower_ascii, saved
 
-#: kind: (expression, group whose length counts, its least length, alternatives of literals a match holds, case matters).
-RULES: dict[str, tuple[str, int, int, list[list[str]], bool]] = {
-    "assign": (
-        r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        2,
-        12,
-        [["password"], ["passwd"], ["secret"], ["token"], ["api", "key"]],
-        False,
-    ),
-    "access": (r"AKIA[A-Z0-9]+", 0, 18, [["AKIA"]], True),
+#: kind: (expression, group whose length counts, its least length).
+RULES: dict[str, tuple[str, int, int]] = {
+    "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "access": (r"AKIA[A-Z0-9]+", 0, 18),
     # A greedy run of 16 or more is the longer runs of `[0-9a-f]+`: a shorter run never holds one.
-    "hex": (r"[0-9a-f]{16,}", 0, 16, [], True),
-    "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, [["ghp_"], ["gho_"], ["ghu_"], ["ghs_"], ["ghr_"]], True),
-    "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, [["xoxa-"], ["xoxb-"], ["xoxp-"], ["xoxr-"], ["xoxs-"]], True),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 24, [["eyJ", ".eyJ"]], True),
-    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20, [["-----BEGIN ", "PRIVATE KEY-----"]], True),
+    "hex": (r"[0-9a-f]{16,}", 0, 16),
+    "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
+    "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 24),
+    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
 }
+#: Characters of a class that are tried one by one, and alternatives that a part of an expression may have; beyond, it is a gap.
+CLASS, ALTERNATIVES = 8, 64
 BASE = ("assign", "access", "hex")
 
 
+#: What a match may look like: runs of characters with gaps between.
+Runs = tuple[str, ...]
+GAP: set[Runs] = {("", "")}
+
+
+def _joined(a: set[Runs], b: set[Runs]) -> set[Runs]:
+    """Every alternative of a followed by every one of b: the last run of one and the first of the other are one."""
+    if len(a) * len(b) > ALTERNATIVES:
+        b = GAP
+    return {(*x[:-1], x[-1] + y[0], *y[1:]) for x in a for y in b}
+
+
+def _alternatives(parsed: re._parser.SubPattern) -> set[Runs]:
+    """The alternatives of a parsed expression."""
+    out: set[Runs] = {("",)}
+    for op, value in parsed:
+        here = GAP
+        if op is regex.LITERAL:
+            here = {(chr(value),)}
+        elif op is regex.IN and value[0][0] is not regex.NEGATE:
+            chars = [chr(c) for o, v in value if o in (regex.LITERAL, regex.RANGE) for c in ([v] if o is regex.LITERAL else range(v[0], min(v[1], v[0] + CLASS) + 1))]
+            if len(chars) <= CLASS and all(o in (regex.LITERAL, regex.RANGE) for o, _ in value):
+                here = {(c,) for c in chars}
+        elif op is regex.SUBPATTERN:
+            here = _alternatives(value[-1])
+        elif op is regex.BRANCH:
+            here = set().union(*map(_alternatives, value[1]))
+        elif op in (regex.MAX_REPEAT, regex.MIN_REPEAT):
+            least, most, part = value
+            once = _alternatives(part)
+            if (least, most) == (0, 1):
+                here = once | {("",)}
+            elif least:  # the first and the last are there, with anything between
+                here = once if (least, most) == (1, 1) else _joined(_joined(once, GAP), once)
+        elif op is regex.AT:
+            here = {("",)}
+        out = _joined(out, here if len(here) <= ALTERNATIVES else GAP)
+    return out
+
+
 def trigrams(literal: str) -> set[str]:
     return {literal[i : i + 3] for i in range(len(literal) - 2)}
 
 
+def trigram_query(pattern: str) -> list[set[str]]:
+    """The alternatives of an expression's Boolean query, each a set of lower-case trigrams that a match must all hold; none: scan all.
+
+    An alternative that asks for all that another asks for, and more, adds nothing.
+    """
+    wanted = {frozenset(t for run in runs for t in trigrams(run.lower())) for runs in _alternatives(re._parser.parse(pattern))}
+    least = [set(w) for w in wanted if not any(other < w for other in wanted)]
+    return sorted(least, key=sorted) if all(least) else []
+
+
 def queries(rules: dict = RULES) -> dict[str, list[set[str]]]:
-    """Per rule the alternatives of its Boolean query, each a set of lower-case trigrams that must all be there; none: scan all."""
-    return {kind: [set().union(*(trigrams(x.lower()) for x in alternative)) for alternative in literals] for kind, (_, _, _, literals, _) in rules.items()}
+    """Each rule's query."""
+    return {kind: trigram_query(rule[0]) for kind, rule in rules.items()}
 
 
 def postings(texts: DataFrame, needed: list[str]) -> DataFrame:
@@ -77,7 +127,7 @@ def spans(text: Column, kind: str, rules: dict = RULES) -> Column:
 
     Splitting at the expression gives the pieces between the matches; lengths added up give the offsets.
     """
-    pattern, group, least, _, _ = rules[kind]
+    pattern, group, least = rules[kind]
     between = F.split(text, pattern, -1)
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else match
@@ -105,9 +155,9 @@ def scan(docs: DataFrame, rules: dict = RULES) -> DataFrame:
     joined = t.join(c, F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.h") == F.col("c.h")), "left").select("t.doc_id", "t.text", "c.kinds")
     none = F.array().cast("array<struct<start:int,kind_no:int,kind:string,stop:int>>")
     each = []
-    for kind, rule in rules.items():
+    for kind, wanted in queries(rules).items():
         here = spans(F.col("text"), kind, rules)
-        each.append(F.when(F.array_contains("kinds", kind), here).otherwise(none) if rule[3] else here)
+        each.append(F.when(F.array_contains("kinds", kind), here).otherwise(none) if wanted else here)
     return joined.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
 
 
