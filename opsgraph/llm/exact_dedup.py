@@ -2,7 +2,9 @@
 
 Keys are 64-bit hashes of the normalised text. The directory says how many leading key bits each bucket owns: starting
 at depth 0, a bucket with more than `capacity` distinct keys is split by one more bit, and the directory doubles while
-any bucket needs it, up to MAX_DEPTH. Keys that no bit can tell apart stay together in a chain of overflow entries.
+any bucket needs it. It has two levels: the first is MAX_DEPTH bits deep at most, as it passes through the driver; a
+bucket still overfull there has a directory of its own, doubled as often as its keys ask for, and its keys' next bits
+are the place in it. Keys that no bit can tell apart stay together in a chain of overflow entries.
 
 Texts themselves meet in a grouping by (bucket, key, text): copies collapse within each input task before anything is
 shuffled, so a text that a third of all rows hold is a few rows per task. Grouping compares whole texts byte by byte;
@@ -15,13 +17,17 @@ rows count each. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsgraph.llm.common import saved
 
-#: Depth at which the directory ends; it has 2**MAX_DEPTH slots at most, whatever the input.
+#: Depth of the first level of the directory at most; it has 2**MAX_DEPTH slots then.
 MAX_DEPTH = 16
+#: Buckets of an owner task, where there are more buckets than shuffle partitions.
+OWNED = 64
 CAPACITY = 4096
 
 
@@ -35,8 +41,8 @@ def slot(key: Column, depth: int = MAX_DEPTH) -> Column:
     return F.shiftrightunsigned(key, 64 - depth).cast("int")
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[list[int], int]:
-    """Bucket number of every slot, and the number of buckets, for keys (key).
+def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[list[int], list[int]]:
+    """Bucket number of every slot, and for every bucket the bits of its own directory (0: it has none), for keys (key).
 
     What comes to the driver is one count for each of at most 2**max_depth slots.
     """
@@ -56,34 +62,42 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
             (over if below[hi] - below[lo] > capacity and d < max_depth else done).append((d, prefix))
         depth += bool(over)
         whole = [(d + 1, 2 * prefix + bit) for d, prefix in over for bit in (0, 1)]
-    slots = [0] * 2**depth
+    slots, bits = [0] * 2**depth, []
     for number, (d, prefix) in enumerate(sorted(done, key=lambda x: x[1] << (max_depth - x[0]))):
         for at in range(prefix << (depth - d), (prefix + 1) << (depth - d)):
             slots[at] = number
-    return slots, len(done)
+        held = below[(prefix + 1) << (max_depth - d)] - below[prefix << (max_depth - d)]
+        # As the keys are hashes, a directory of so many slots has buckets of about half the capacity or less.
+        bits.append(min(31, math.ceil(math.log2(held / capacity)) + 1) if held > capacity else 0)
+    return slots, bits
 
 
-def bucket_of(key: Column, slots: list[int]) -> Column:
-    """The bucket that owns a key."""
-    if len(slots) == 1:
-        return F.lit(slots[0])
+def bucket_of(key: Column, slots: list[int], bits: list[int], max_depth: int = MAX_DEPTH) -> Column:
+    """The bucket that owns a key: that of its slot, and its place in the bucket's own directory."""
     depth = len(slots).bit_length() - 1
-    return F.element_at(F.lit(slots), slot(key, depth) + 1)
+    first = F.element_at(F.lit(slots), slot(key, depth) + 1) if depth else F.lit(slots[0])
+    if not any(bits):
+        return first.cast("long")
+    deeper = F.element_at(F.lit(bits), first + 1)
+    # Shifts by the bits of a column are not shifts by 64, so no bits is a case of its own.
+    place = F.when(deeper > 0, F.call_function("shiftrightunsigned", F.shiftleft(key, max_depth), F.lit(64) - deeper)).otherwise(F.lit(0))
+    return first.cast("long") * F.lit(1 << 32) + place
 
 
-def build_index(keyed: DataFrame, slots: list[int], n_buckets: int) -> DataFrame:
+def build_index(keyed: DataFrame, slots: list[int], bits: list[int], max_depth: int = MAX_DEPTH) -> DataFrame:
     """The stored index (bucket, key, chain, keep_id, group_size, text_sha256) of (doc_id, key, norm): one entry for each different text."""
-    texts = keyed.withColumn("bucket", bucket_of(F.col("key"), slots)).groupBy("bucket", "key", "norm")
+    texts = keyed.withColumn("bucket", bucket_of(F.col("key"), slots, bits, max_depth)).groupBy("bucket", "key", "norm")
     entries = texts.agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     entries = entries.select("bucket", "key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    owners = max(1, min(n_buckets, 4096))
-    entries = entries.repartition(owners, "bucket")
+    n_buckets = sum(1 << b for b in bits)
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = entries.repartition(max(min(n_buckets, parts), n_buckets // OWNED), "bucket")
     # A chain has the different texts of one key; it is one entry long unless 64-bit keys collide.
     chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256"))
     return saved(entries.withColumn("chain", chain), "index")
 
 
-def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Per document: doc_id, keep_id (the smallest doc_id with an equal text), group_size, kept, text_sha256.
 
     Of rows that share the smallest id and the text, all are marked kept: they are one document delivered twice.
@@ -92,8 +106,8 @@ def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
     keyed = norm.withColumn("key", F.xxhash64("norm"))
     rows = saved(keyed.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), "keys")
-    slots, n_buckets = directory(rows, capacity)
-    index = build_index(keyed, slots, n_buckets)
+    slots, bits = directory(rows, capacity, max_depth)
+    index = build_index(keyed, slots, bits, max_depth)
     # Where a key has one text, the key alone names the entry; in longer chains the digest of the text does.
     alone = index.groupBy("key").agg(F.max("chain").alias("n")).filter("n > 1")
     collided = alone.limit(1).count() > 0
