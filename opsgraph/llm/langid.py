@@ -3,10 +3,12 @@
 Each language has a distribution over hashed character trigrams, counted over all labelled texts. A document's trigrams
 are taken as drawn from a mixture of those distributions; expectation-maximisation estimates the proportions. The set of
 languages is chosen by penalised likelihood: starting from all, the language with the smallest share goes as long as
-the likelihood lost is worth less than PENALTY * log(number of trigrams). The predicted language has the largest share,
+the likelihood lost is worth less than PENALTY * log(number of trigrams); likelihoods are those that
+expectation-maximisation converges to. The predicted language has the largest share,
 which is the score.
 
-The model is 2**BITS counts for each language, whatever the size of the corpus. Null texts and texts without a letter
+The model is 2**BITS counts for each language, whatever the size of the corpus; it passes through the driver, so `lang`
+must have a bounded number of values. Very long texts are counted like others, repeated rows each. Null texts and texts without a letter
 are `und` with score 0, as is everything if no text is labelled. Extra columns are ignored.
 """
 
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from opsgraph.llm.common import mix, slices
 
 BITS = 14
-ROUNDS = 8
+#: Rounds of expectation-maximisation end when one adds less to the log likelihood.
+TOLERANCE = 1e-3
 PENALTY = 2.0
 UNKNOWN = "und"
 
@@ -84,8 +87,8 @@ def mixture(count: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     out = np.zeros(p.shape[1])
     live = np.arange(p.shape[1])
     shares, likelihood = _maximised(count, p, live)
-    # All languages together can't be beaten by fewer; if they don't beat the best single one, it is alone.
-    if likelihood - single[best] <= PENALTY * np.log(total) * 1.0:
+    # No set can be likelier than all languages together; if they don't pay for one more than the best single one, it is alone.
+    if likelihood - single[best] <= PENALTY * np.log(total):
         out[best] = 1.0
         return out
     while len(live) > 1:
@@ -102,10 +105,14 @@ def _maximised(count: np.ndarray, p: np.ndarray, live: np.ndarray) -> tuple[np.n
     """Shares by expectation-maximisation, and their log likelihood."""
     q = p[:, live]
     share = np.full(len(live), 1 / len(live))
-    total = count.sum()
-    for _ in range(ROUNDS):
-        share = share * ((count / (q @ share)) @ q) / total
-    return share, float(count @ np.log(q @ share))
+    total, last = count.sum(), -np.inf
+    while True:
+        seen = q @ share
+        likelihood = float(count @ np.log(seen))
+        if likelihood - last < TOLERANCE:  # it never falls
+            return share, likelihood
+        last = likelihood
+        share = share * ((count / seen) @ q) / total
 
 
 def _predict(langs: list[str], log_p: np.ndarray) -> Callable:
