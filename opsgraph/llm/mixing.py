@@ -106,11 +106,17 @@ def placements(docs: DataFrame, max_repeats: float | None = 1.5, entropy: float
 
 
 def mixed(docs: DataFrame, **options: float | int | None) -> DataFrame:
-    """docs as often as the mix has them, with their own columns only."""
+    """docs as often as the mix has them, with their own columns only.
+
+    Equal rows were placed each: their placements are dealt out to them in turn, so none is lost or added.
+    """
     times = placements(docs, **options).groupBy("row").agg(F.count("*").alias("__times"))
-    # Equal rows were placed each; every one of them gets its part of their number.
     same = docs.select(F.xxhash64("doc_id", "text").alias("__row"), "*")
-    alike = same.groupBy("__row").agg(F.count("*").alias("__alike"))
-    times = times.join(alike, F.col("row") == F.col("__row")).select("row", F.greatest(F.lit(1), F.floor(F.col("__times") / F.col("__alike"))).cast("int").alias("__times"))
-    out = same.join(times, F.col("__row") == F.col("row")).withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    several = same.groupBy("__row").agg(F.count("*").alias("__alike"))
+    each = several.join(times, F.col("__row") == F.col("row")).select("row", "__times", "__alike")
+    out = same.join(each, F.col("__row") == F.col("row"))
+    alone = out.filter("__alike = 1").withColumn("__n", F.col("__times"))
+    nth = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0)))
+    shared = out.filter("__alike > 1").withColumn("__nth", nth).withColumn("__n", F.floor(F.col("__times") / F.col("__alike")) + (F.col("__nth") <= F.col("__times") % F.col("__alike")).cast("long")).drop("__nth")
+    placed = alone.unionByName(shared).filter("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns])
