@@ -16,7 +16,7 @@ The results of a step are used in the next: only buckets still mixed go on. Iden
 (bucket and name), so that a chance equality isn't to be expected at any corpus size in question.
 
 Null text counts as empty. Texts of under LENGTH bytes stay as they are. Row identity is a hash of doc_id and text, so
-repeated rows are occurrences of their own. Extra columns are ignored.
+repeated rows are occurrences of their own, whose spans are kept once. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -235,7 +235,7 @@ def _kept_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    spans = repeated_starts(texts.select("row", "text")).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = repeated_starts(texts.select("row", "text")).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     none = F.array().cast("array<struct<first:int,last:int>>")
     return texts.join(spans, "row", "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
 
