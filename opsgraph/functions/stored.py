@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +17,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path that isn't there yet, in spark.checkpoint.dir; where that is unset, in a new folder under /tmp."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def smallest_reached(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each end of the undirected links (a, b) reaches. One join and one checkpoint a round."""
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())

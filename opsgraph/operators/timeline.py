@@ -164,7 +164,7 @@ def cluster_health(events: DataFrame, listed: int = 20) -> DataFrame:
 
 def cluster_overall(events: DataFrame) -> DataFrame:
     """One row for the whole cluster: overall state, resources, errors, warnings, and the kinds in error, most errors first."""
-    per = last_status(events).groupBy("kind").agg(F.count("*").alias("total"), F.count_if("status = 'Error'").alias("error"), F.count_if("status = 'Warning'").alias("warning"))
+    per = last_status(events).groupBy("kind").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "Error").alias("error"), F.count_if(F.col("status") == "Warning").alias("warning"))
     worst = F.array_sort(F.collect_list(F.when(F.col("error") > 0, F.struct((-F.col("error")).alias("n"), "kind"))))  # one entry for each kind
     said = F.array_join(F.transform(worst, lambda w: F.concat(w["kind"], F.lit(": "), -w["n"])), ", ")
     rows = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "error", "warning")], said.alias("issues"))

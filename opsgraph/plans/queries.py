@@ -807,4 +807,4 @@ def causal_paths(spark: SparkSession, d: str) -> DataFrame:
     return causal.explained(causal.dedupe_by_root(ranked)).select("incident_id", "rank", "root", "root_kind", "confidence", "path_id", "explanation")
 
 
-from opsgraph.plans import snapshot_queries  # noqa: E402, F401  registers its queries with those above
+from opsgraph.plans import snapshot_queries, upkeep_queries  # noqa: E402, F401  they register their queries with those above
