@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opsgraph.functions import validate
 from opsgraph.functions.facts import api_group, api_version, to_seconds
 from opsgraph.functions.stored import scratch
-from opsgraph.operators import alerts, incident, metrics, timeline, traverse
+from opsgraph.operators import alerts, changes, incident, metrics, timeline, traverse
 from opsgraph.plans import maintain, management, nodes
 from opsgraph.plans.queries import A_SQL, AS_OF, DAY, E_SQL, END, HOUR, START, query
 from opsgraph.sources import events as ev
@@ -44,6 +44,14 @@ def exported_window(spark: SparkSession, d: str) -> DataFrame:
     return ev.import_report(ev.read_audit_log(spark, path))
 
 
+@query(f"SELECT id, ts_ns AS timestamp, type, uid, data FROM v_events WHERE ts_ns BETWEEN {START} AND {END} AND id::BIGINT % 11 > 0", E_SQL)
+def exported_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a window's events, imported again; an event without id is left out as invalid."""
+    path = scratch(spark, "documents")
+    ev.export_documents(_import_rows(spark, d), START, END, path, most=50)
+    return ev.read_events(spark, path).select("id", "timestamp", "type", "resource.uid", "data")
+
+
 @query("SELECT namespace, pod, container, ts_ns, message FROM (SELECT role AS namespace, 'pod-' || (conv_id % 20) AS pod, 'c' || (turn % 3) AS container, (1704844800 + conv_id * 60 + turn) * 1000000000 AS ts_ns, coalesce(text, '') AS message FROM conversations)")
 def read_logs(spark: SparkSession, d: str) -> DataFrame:
     path, c = scratch(spark, "logs"), table(spark, d, "conversations")
@@ -139,6 +147,31 @@ def cluster_overall(spark: SparkSession, d: str) -> DataFrame:
     return timeline.cluster_overall(views.resource_events(spark, d)).drop("issues")
 
 
+_TIMELINE_SQL = """v_asked AS (SELECT DISTINCT 'u' || c_custkey AS uid FROM customer),
+v_steps AS (SELECT uid, id, ts_ns, lag(status) OVER w AS from_status, status AS to_status, lag(data::JSON ->> '$.k') OVER w AS a, data::JSON ->> '$.k' AS b FROM v_events WINDOW w AS (PARTITION BY uid ORDER BY ts_ns, id)),
+v_shown AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts_ns DESC, id DESC) AS nth FROM v_steps WHERE a IS NOT NULL AND (a <> b OR from_status <> to_status))"""
+
+
+@query(
+    """
+    SELECT q.uid, q.uid IN (SELECT uid FROM v_events) AS found, nth::INT AS nth, id, ts_ns, from_status, to_status, CASE WHEN nth IS NOT NULL THEN (a <> b)::INT END AS n_diffs FROM v_asked q LEFT JOIN v_shown s ON q.uid = s.uid AND nth <= 50
+    """,
+    E_SQL,
+    _TIMELINE_SQL,
+)
+def resource_timeline_changes(spark: SparkSession, d: str) -> DataFrame:
+    """For as many uids as there are customers, most of which no event is about."""
+    asked = table(spark, d, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("uid"))
+    rows = changes.resource_timeline_changes(views.resource_events(spark, d), asked)
+    return rows.withColumn("n_diffs", F.when(F.col("nth").isNotNull(), F.size("diffs"))).drop("diffs")
+
+
+@query("SELECT count(*) AS requested, count(*) FILTER (uid IN (SELECT uid FROM v_events)) AS found, (SELECT count(DISTINCT s.uid) FROM v_shown s JOIN v_asked USING (uid)) AS changed, (SELECT count(*) FROM v_shown s JOIN v_asked USING (uid) WHERE nth <= 50) AS shown FROM v_asked", E_SQL, _TIMELINE_SQL)
+def timeline_change_summary(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("uid"))
+    return changes.timeline_change_summary(changes.resource_timeline_changes(views.resource_events(spark, d), asked))
+
+
 # --- management ------------------------------------------------------------------------------------------------
 
 _LABELS = {kind: rule[0] for kind, rule in management.MANAGERS.items()}

@@ -67,6 +67,17 @@ def export_events(events: DataFrame, start_ns: int, end_ns: int, path: str) -> N
     inside.sort("timestamp", "id").write.option("compression", "gzip").json(path)
 
 
+def export_documents(events: DataFrame, start_ns: int, end_ns: int, path: str, most: int = 10_000) -> None:
+    """The events of a window as documents {"events": [...]} that read_events reads: for each hour as many files as it has `most` events, gzipped."""
+    hour = F.floor(F.col("timestamp") / 3_600_000_000_000)
+    inside = events.filter(F.col("timestamp").between(start_ns, end_ns)).withColumn("hour", hour)
+    files = inside.groupBy("hour").agg(F.ceil(F.count("*") / most).alias("files"))
+    dealt = inside.join(files, "hour").withColumn("part", F.pmod(F.xxhash64("id", "timestamp"), F.col("files")))
+    fields = ["timestamp", "id", "type", "resource", "data", "dataSize", "compressedSize"]
+    documents = dealt.groupBy("hour", "part").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("events"))
+    documents.write.partitionBy("hour", "part").option("compression", "gzip").json(path)
+
+
 def import_report(events: DataFrame) -> DataFrame:
     """One row: events, distinct hours, first and last time."""
     hour = F.floor(F.col("timestamp") / 3_600_000_000_000)
