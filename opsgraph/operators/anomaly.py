@@ -256,6 +256,14 @@ def missing_targets(edges: DataFrame, resources: DataFrame, ts_ns: int) -> DataF
     return found(rows, "State", kind, F.concat(F.lit("missing "), F.col("dst")), F.lit(ts_ns))
 
 
+def missing_references(missing: DataFrame, resources: DataFrame, ts_ns: int) -> DataFrame:
+    """Resources that mount, run as or read something of a name that no resource has: references (src, type, kind, namespace, name) left over when edges are built."""
+    rows = missing.filter(F.col("type").isin("MOUNTS", "USES_SERVICE_ACCOUNT", "REFERENCES_SPEC")).withColumnRenamed("kind", "wanted").withColumnRenamed("type", "edge")
+    rows = rows.join(resources.select(F.col("uid").alias("src"), "kind"), "src").withColumnRenamed("src", "uid")
+    kind = F.when(F.col("edge") == "USES_SERVICE_ACCOUNT", "ServiceAccountMissing").otherwise("SecretMissing")
+    return found(rows, "State", kind, F.concat(F.lit("missing "), F.concat_ws("/", "wanted", "namespace", "name")), F.lit(ts_ns))
+
+
 def expired_certificates(latest: DataFrame, as_of_ns: int) -> DataFrame:
     until = F.unix_micros(F.to_timestamp(part(F.col("data"), "status.notAfter"))) * 1000
     return found(latest.filter("kind = 'Certificate'").withColumn("until", until).filter(F.col("until") < as_of_ns), "State", "CertExpired", "the certificate has expired", F.lit(as_of_ns))

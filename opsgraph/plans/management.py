@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,14 +88,24 @@ def revalidated(edges: DataFrame, resources: DataFrame, as_of_ns: int) -> DataFr
     """Scored edges (src, dst, confidence, evidence, validated_ns) between live resources with decayed confidence and a state.
 
     Over 6 hours old: x 0.9, over 24 hours: x 0.7, at least 0.1, but a confidence of 1 stays; stale after 7 days. After an hour
-    the namespace evidence is looked at again: valid, or invalid if it no longer holds; else pending.
+    the evidence is looked at again: valid, or invalid if some of it no longer holds; else pending. Evidence of the
+    namespace holds if both ends share it; of a label or annotation, if the target still has a value like it; of
+    ownership, if the source is among the target's owners. resources: uid, namespace, deleted, and as far as they are
+    known labels, annotations (maps) and owners (array of uids).
     """
-    live = resources.filter("not deleted").select("uid", "namespace")
-    ends = edges.join(live.select(F.col("uid").alias("src"), F.col("namespace").alias("src_ns")), "src").join(live.select(F.col("uid").alias("dst"), F.col("namespace").alias("dst_ns")), "dst")
+    live = resources.filter("not deleted")
+    known = [c for c in ("labels", "annotations", "owners") if c in resources.columns]
+    source = live.select(F.col("uid").alias("src"), F.col("namespace").alias("src_ns"))
+    target = live.select(F.col("uid").alias("dst"), F.col("namespace").alias("dst_ns"), *[F.col(c).alias(f"dst_{c}") for c in known])
+    ends = edges.join(source, "src").join(target, "dst")
     hours = (F.lit(as_of_ns) - F.col("validated_ns")) / (3600 * SECOND_NS)
     decayed = F.when(F.col("confidence") >= 1.0, F.col("confidence")).when(hours > 24, F.greatest(F.lit(0.1), F.col("confidence") * 0.7)).when(hours > 6, F.greatest(F.lit(0.1), F.col("confidence") * 0.9)).otherwise(F.col("confidence"))
-    needs_ns = F.exists("evidence", lambda e: e["type"] == "namespace")
-    state = F.when(hours > 24 * 7, "stale").when(hours <= 1, "pending").when(needs_ns & (F.col("src_ns") != F.col("dst_ns")), "invalid").otherwise("valid")
+    has = lambda c, v: F.coalesce(F.array_contains(F.map_values(c), v), F.lit(False))
+    checks = {"namespace": lambda e: F.col("src_ns") == F.col("dst_ns"), "label": lambda e: has("dst_labels", e["value"]), "annotation": lambda e: has("dst_annotations", e["value"]), "ownership": lambda e: F.coalesce(F.array_contains("dst_owners", F.col("src")), F.lit(False))}
+    needs = {"label": "labels", "annotation": "annotations", "ownership": "owners"}
+    usable = {kind: holds for kind, holds in checks.items() if needs.get(kind, kind) in (*known, "namespace")}
+    broken = F.exists("evidence", lambda e: reduce(Column.__or__, [(e["type"] == kind) & ~holds(e) for kind, holds in usable.items()]))
+    state = F.when(hours > 24 * 7, "stale").when(hours <= 1, "pending").when(broken, "invalid").otherwise("valid")
     return ends.select("src", "dst", decayed.alias("confidence"), state.alias("state"))
 
 

@@ -320,7 +320,7 @@ def filter_resources(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-    WITH s AS (SELECT i AS selector, 'tier' AS k, 't' || i AS v FROM range(3) t(i)), p AS (SELECT c_custkey AS c, 't' || (c_custkey % 4) AS tier, c_mktsegment AS segment FROM customer)
+    WITH s AS (SELECT i AS selector, 'tier' AS k, 't' || i AS v FROM (SELECT r_regionkey AS i FROM region)), p AS (SELECT c_custkey AS c, 't' || (c_custkey % 4) AS tier, c_mktsegment AS segment FROM customer)
     SELECT selector, c AS customer FROM s JOIN p ON p.tier = s.v AND (selector <> 2 OR segment = 'BUILDING')
     """
 )
@@ -330,7 +330,7 @@ def selects_edges(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("r_regionkey")
     pair = F.create_map(F.lit("tier"), F.concat(F.lit("t"), i))
     selector = F.when(i == 2, F.map_concat(pair, F.create_map(F.lit("segment"), F.lit("BUILDING")))).otherwise(pair)
-    selectors = table(spark, d, "region").filter("r_regionkey < 3").select(i.cast("string").alias("uid"), F.lit("a").alias("namespace"), selector.alias("selector"))
+    selectors = table(spark, d, "region").select(i.cast("string").alias("uid"), F.lit("a").alias("namespace"), selector.alias("selector"))
     return selector_edges(selectors, pods).select(F.col("src").cast("long").alias("selector"), F.col("dst").cast("long").alias("customer"))
 
 
@@ -510,14 +510,14 @@ def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-    WITH u AS (SELECT src AS a, dst AS b FROM v_edges WHERE type <> 'MOUNTS' UNION SELECT dst, src FROM v_edges WHERE type <> 'MOUNTS'), s AS (SELECT 'n' || n_nationkey AS uid FROM nation),
+    WITH u AS (SELECT src AS a, dst AS b FROM v_edges UNION SELECT dst, src FROM v_edges), s AS (SELECT 'n' || n_nationkey AS uid FROM nation),
     d1 AS (SELECT DISTINCT uid, b AS other FROM s JOIN u ON a = uid), d2 AS (SELECT DISTINCT uid, b AS other FROM d1 JOIN u ON a = other)
     SELECT uid, other, min(k) AS distance FROM (SELECT uid, uid AS other, 0 AS k FROM s UNION ALL SELECT *, 1 FROM d1 UNION ALL SELECT *, 2 FROM d2) GROUP BY uid, other
     """,
     R_SQL,
 )
 def reachable(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.reachable(views.relation_edges(spark, d).filter("type != 'MOUNTS'"), table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("uid")), 2)
+    return traverse.reachable(views.relation_edges(spark, d), table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("uid")), 2)
 
 
 @query(

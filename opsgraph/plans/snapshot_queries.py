@@ -243,6 +243,18 @@ def missing_references(spark: SparkSession, d: str) -> DataFrame:
     return edges.missing_references(cluster(spark, d)).select("src", "type", "kind", "namespace", "name")
 
 
+@query(
+    f"""
+    SELECT DISTINCT w.src AS uid, CASE w.type WHEN 'USES_SERVICE_ACCOUNT' THEN 'ServiceAccountMissing' ELSE 'SecretMissing' END AS type, 'critical' AS severity, 'missing ' || w.kind || '/' || w.ns || '/' || w.name AS summary, {END}::BIGINT AS ts_ns
+    FROM v_wanted w LEFT JOIN v_there t ON w.kind = t.kind AND w.ns = t.ns AND w.name = t.name WHERE t.name IS NULL AND w.type IN ('MOUNTS', 'USES_SERVICE_ACCOUNT', 'REFERENCES_SPEC')
+    """,
+    CLUSTER_SQL,
+)
+def missing_reference_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    latest = cluster(spark, d)
+    return anomaly.missing_references(edges.missing_references(latest), latest, END).select("uid", "type", "severity", "summary", "ts_ns")
+
+
 # --- dashboards ------------------------------------------------------------------------------------------------
 
 

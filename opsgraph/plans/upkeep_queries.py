@@ -13,7 +13,7 @@ from opsgraph.plans import maintain, management, nodes
 from opsgraph.plans.queries import A_SQL, AS_OF, DAY, E_SQL, END, HOUR, START, query
 from opsgraph.sources import events as ev
 from opsgraph.sources import views
-from opsgraph.sources.snapshots import SNAPSHOTS_SQL, dashboards, resource_snapshots
+from opsgraph.sources.snapshots import SNAPSHOTS_SQL, WARNINGS_SQL, dashboards, resource_snapshots, warning_snapshots
 from opsgraph.sources.views import table
 
 SECOND = 1_000_000_000
@@ -223,16 +223,20 @@ def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Scored edges from nations to customers, and both as resources."""
     k = F.col("c_custkey")
     customers, uid = table(spark, d, "customer"), lambda p, c: F.concat(F.lit(p), F.col(c))
-    evidence = F.when(k % 2 == 0, F.array(F.struct(F.lit("namespace").alias("type"), F.lit("").alias("value"), F.lit(0.1).alias("weight")))).otherwise(F.array().cast(management.EVIDENCE))
+    item = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.cast("string").alias("value"), F.lit(0.1).alias("weight"))
+    evidence = F.when(k % 4 == 0, F.array(item("namespace", F.lit("")))).when(k % 4 == 1, F.array(item("label", k % 5))).when(k % 4 == 2, F.array(item("ownership", F.lit("")))).otherwise(F.array().cast(management.EVIDENCE))
     edges = customers.select(uid("n", "c_nationkey").alias("src"), uid("c", "c_custkey").alias("dst"), F.when(k % 3 == 0, 1.0).when(k % 3 == 1, 0.8).otherwise(0.12).alias("confidence"), evidence.alias("evidence"), (F.lit(AS_OF) - (k % 200) * HOUR).alias("validated_ns"))
-    resources = customers.select(uid("c", "c_custkey").alias("uid"), F.concat(F.lit("ns"), k % 3).alias("namespace"), (k % 10 == 0).alias("deleted")).union(table(spark, d, "nation").select(uid("n", "n_nationkey"), F.concat(F.lit("ns"), F.col("n_nationkey") % 3), F.lit(False)))
+    owners = F.when(k % 8 == 2, F.array(uid("n", "c_nationkey"))).otherwise(F.array(F.lit("other")))
+    resources = customers.select(uid("c", "c_custkey").alias("uid"), F.concat(F.lit("ns"), k % 3).alias("namespace"), (k % 10 == 0).alias("deleted"), F.create_map(F.lit("x"), (k % 7).cast("string")).alias("labels"), owners.alias("owners"))
+    nations = table(spark, d, "nation").select(uid("n", "n_nationkey").alias("uid"), F.concat(F.lit("ns"), F.col("n_nationkey") % 3).alias("namespace"), F.lit(False).alias("deleted"), F.create_map().cast("map<string,string>").alias("labels"), F.array().cast("array<string>").alias("owners"))
+    resources = resources.union(nations)
     return edges, resources
 
 
 @query(
     """
     SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst, round((CASE WHEN c >= 1 THEN c WHEN h > 24 THEN greatest(0.1, c * 0.7) WHEN h > 6 THEN greatest(0.1, c * 0.9) ELSE c END)::DOUBLE, 6) AS confidence,
-      CASE WHEN h > 168 THEN 'stale' WHEN h <= 1 THEN 'pending' WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> c_nationkey % 3 THEN 'invalid' ELSE 'valid' END AS state
+      CASE WHEN h > 168 THEN 'stale' WHEN h <= 1 THEN 'pending' WHEN (c_custkey % 4 = 0 AND c_custkey % 3 <> c_nationkey % 3) OR (c_custkey % 4 = 1 AND c_custkey % 5 <> c_custkey % 7) OR (c_custkey % 4 = 2 AND c_custkey % 8 <> 2) THEN 'invalid' ELSE 'valid' END AS state
     FROM (SELECT *, c_custkey % 200 AS h, [1.0, 0.8, 0.12][c_custkey % 3 + 1] AS c FROM customer WHERE c_custkey % 10 <> 0)
     """
 )
@@ -293,6 +297,27 @@ def incident_explanation(spark: SparkSession, d: str) -> DataFrame:
     return incident.explanation(line, names)
 
 
+@query("SELECT uid, count(*)::INT AS n, arg_min(reason, ts_ns) AS first, min(ts_ns) AS first_ns FROM v_warnings GROUP BY uid", WARNINGS_SQL)
+def with_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """The warning events of each resource."""
+    warnings = nodes.build_k8s_events(warning_snapshots(spark, d)).withColumnRenamed("uid", "involved_uid")
+    uids = views.resource_events(spark, d).select("uid").distinct()
+    rows = timeline.with_warnings(uids, warnings)
+    return rows.select("uid", F.size("warnings").alias("n"), F.get("warnings", F.lit(0))["reason"].alias("first"), F.get("warnings", F.lit(0))["ts_ns"].alias("first_ns"))
+
+
+@query("SELECT kind, name, uid, (SELECT count(DISTINCT uid) FROM v_events WHERE namespace = 'ns2' AND (kind, name) > ('Deployment', 'name-1')) > 5 AS has_more FROM (SELECT DISTINCT kind, name, uid FROM v_events WHERE namespace = 'ns2' AND (kind, name) > ('Deployment', 'name-1')) ORDER BY kind, name LIMIT 5", E_SQL)
+def namespace_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of a namespace's resources after a cursor of kind and name."""
+    rows = views.resource_events(spark, d).filter("namespace = 'ns2'").select("kind", "name", "uid").distinct()
+    return timeline.page(rows, ["kind", "name"], ("Deployment", "name-1"), 5)
+
+
+@query("SELECT DISTINCT kind, namespace, name, uid FROM v_events", E_SQL)
+def grouped_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.grouped_by_kind(views.resource_events(spark, d).select("kind", "namespace", "name", "uid").distinct())
+
+
 @query(
     """
     SELECT id, CASE WHEN issues = 'OOMKilled' THEN 'OOMKilled' WHEN issues = 'CrashLoopBackOff' THEN 'CrashLoop' WHEN issues = 'ImagePullBackOff' THEN 'ImagePullError' WHEN event_id % 4 = 1 THEN 'SchedulingFailure' WHEN event_id % 4 = 2 THEN 'Timeout'

@@ -1,7 +1,8 @@
 """Structured Streaming jobs over the same operators.
 
-Time policy: interval joins, windows and dirty sets have a watermark of ten minutes on event time. State per uid or alert,
-and keyed writes, take events however late they are, ordered by ts_ns.
+Time policy: interval joins, windows and dirty sets have a watermark of ten minutes on event time. State per uid or alert
+is kept for a number of days of event time, which is its watermark: it is dropped when nothing came for so long, and events
+later than that are left out. Keyed writes take events however late they are.
 """
 
 from __future__ import annotations
@@ -45,9 +46,9 @@ def log_sink(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, n: batch.write.mode("overwrite").json(f"{path}/batch={n}")
 
 
-def with_time(events: DataFrame, column: str = "ts_ns") -> DataFrame:
+def with_time(events: DataFrame, column: str = "ts_ns", late: str = LATE) -> DataFrame:
     """events with the timestamp ts, and the watermark on it."""
-    return events.withColumn("ts", F.timestamp_micros(F.floor(F.col(column) / 1000))).withWatermark("ts", LATE)
+    return events.withColumn("ts", F.timestamp_micros(F.floor(F.col(column) / 1000))).withWatermark("ts", late)
 
 
 def triggered_by(causes: DataFrame, effects: DataFrame, max_lag_s: int = 300) -> DataFrame:
@@ -58,34 +59,53 @@ def triggered_by(causes: DataFrame, effects: DataFrame, max_lag_s: int = 300) ->
     return c.join(e, inside).select("src", "dst", F.floor((F.col("ts_ns") - F.col("c_at")) / 1_000_000).alias("lag_ms"))
 
 
-def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    old = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values(["ts_ns", "id"])
-    out = []
-    for r in rows.itertuples():
-        out.append((r.uid, r.id, r.ts_ns, old is not None and r.type == "UPDATE" and r.data != old, old is None))
-        if r.type in ("CREATE", "UPDATE"):
-            old = r.data
-    if old is not None:
-        state.update((old,))
-    yield pd.DataFrame(out, columns=["uid", "id", "ts_ns", "changed", "first"])
+DAY_MS = 86_400_000
 
 
-def detect_changes(events: DataFrame) -> DataFrame:
-    """Does an event's data differ from the resource's snapshot before? The snapshot is the state of its uid."""
-    return events.select("uid", "id", "ts_ns", "type", "data").groupBy("uid").applyInPandasWithState(_changes, "uid string, id string, ts_ns long, changed boolean, first boolean", "data string", "append", GroupStateTimeout.NoTimeout)
+def _keep(state: GroupState, value: tuple, last_ns: int, keep_days: int) -> None:
+    """Updates a state and lets it go when keep_days have passed since its last event."""
+    state.update(value)
+    state.setTimeoutTimestamp(max(int(last_ns) // 1_000_000, state.getCurrentWatermarkMs()) + keep_days * DAY_MS + 1)
 
 
-def _transitions(keep_ns: int) -> Callable[..., Iterator[pd.DataFrame]]:
+def _changes(keep_days: int) -> Callable[..., Iterator[pd.DataFrame]]:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        old = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["ts_ns", "id"])
+        out = []
+        for r in rows.itertuples():
+            out.append((r.uid, r.id, r.ts_ns, old is not None and r.type == "UPDATE" and r.data != old, old is None))
+            if r.type in ("CREATE", "UPDATE"):
+                old = r.data
+        if old is not None:
+            _keep(state, (old,), rows["ts_ns"].max(), keep_days)
+        yield pd.DataFrame(out, columns=["uid", "id", "ts_ns", "changed", "first"])
+
+    return run
+
+
+def detect_changes(events: DataFrame, keep_days: int = 30) -> DataFrame:
+    """Does an event's data differ from the resource's snapshot before? The snapshot is the state of its uid, for keep_days."""
+    rows = with_time(events.select("uid", "id", "ts_ns", "type", "data"), late=f"{keep_days} days")
+    return rows.groupBy("uid").applyInPandasWithState(_changes(keep_days), "uid string, id string, ts_ns long, changed boolean, first boolean", "data string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _transitions(keep_days: int) -> Callable[..., Iterator[pd.DataFrame]]:
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # what the alert was is unknown by now
+            state.remove()
+            return
         known: tuple[Any, Any] = state.get if state.exists else (None, None)
         out = []
         for r in pd.concat(list(frames)).sort_values(["ts_ns", "seq"]).itertuples():
-            before = known[0] if known[0] is not None and r.ts_ns - known[1] <= keep_ns else "unknown"
+            before = known[0] if known[0] is not None and r.ts_ns - known[1] <= keep_days * DAY_MS * 1_000_000 else "unknown"
             if before != r.state:
                 out.append((r.alert, before, r.state, r.ts_ns, r.seq))
             known = (r.state, r.ts_ns)
-        state.update(known)
+        _keep(state, known, known[1], keep_days)
         yield pd.DataFrame(out, columns=["alert", "from_state", "to_state", "ts_ns", "seq"])
 
     return run
@@ -93,8 +113,8 @@ def _transitions(keep_ns: int) -> Callable[..., Iterator[pd.DataFrame]]:
 
 def alert_transitions(states: DataFrame, keep_days: int = 7) -> DataFrame:
     """Changes of alert states (alert, state, ts_ns, seq); a state is known for keep_days."""
-    run = _transitions(keep_days * 86_400_000_000_000)
-    return states.groupBy("alert").applyInPandasWithState(run, "alert string, from_state string, to_state string, ts_ns long, seq long", "state string, ts_ns long", "append", GroupStateTimeout.NoTimeout)
+    rows = with_time(states.select("alert", "state", "ts_ns", "seq"), late=f"{keep_days} days")
+    return rows.groupBy("alert").applyInPandasWithState(_transitions(keep_days), "alert string, from_state string, to_state string, ts_ns long, seq long", "state string, ts_ns long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def template_counts(logs: DataFrame) -> DataFrame:
