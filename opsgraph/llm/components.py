@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgraph.llm.common import saved
+from opsgraph.llm.common import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,8 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(least.select("u", F.col("m").alias("v")))
         small = saved(small.distinct(), "arcs")
         changed = small.join(arcs, ["u", "v"], "left_anti").limit(1).count() or arcs.join(small, ["u", "v"], "left_anti").limit(1).count()
+        discard(arcs, large)
         arcs = small
         if not changed:
             break
     roots = arcs.select("v").distinct()
-    return saved(arcs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select(F.col("v").alias("id"), F.col("v").alias("component"))), "components")
+    out = saved(arcs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select(F.col("v").alias("id"), F.col("v").alias("component"))), "components")
+    discard(arcs)
+    return out

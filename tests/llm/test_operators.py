@@ -437,6 +437,37 @@ def test_jaccard_null_ids(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in rows) == [(0, 0), (0, 0), (7, 7), (7, 7)]
 
 
+def test_jaccard_text_ids(spark):
+    rows = spark.createDataFrame([("b", BASE[0]), ("a", BASE[0] + " more"), ("c", BASE[1]), (None, BASE[1])], "doc_id string, text string")
+    assert sorted((r["doc_id"] or "", r["component_id"] or "") for r in jaccard.similar_groups(rows, 4, 70, 100).collect()) == [("", ""), ("a", "a"), ("b", "a"), ("c", "c")]
+
+
+def test_copies_changed_each_on_its_own(spark):
+    """Many copies of a text with other changes each, of which few link to each other: joined by their differences from a centre."""
+    base, passage = prose(60, [f"t{i}" for i in range(300)]).split(), prose(40, [f"p{i}" for i in range(90)]).split()
+    texts = []
+    for i in range(90):
+        v = list(base)
+        for j in rnd.sample(range(len(v)), 1 + i % 4):
+            v[j] = f"c{rnd.randrange(8) if i % 3 else i}"
+        texts.append(" ".join(v))
+        texts.append(" ".join([*passage, *(f"o{i}x{k}" for k in range(10 + i % 9))]))
+    for num in (70, 85):
+        want = brute_groups(texts, 4, num, 100)
+        assert by_id(jaccard.similar_groups(frame(spark, texts), 4, num, 100)) == want
+        assert len({c for _, c in want.values()}) > 20
+
+
+def test_very_long_texts(spark):
+    """One text much longer than the others: languages and contamination of all of it."""
+    long = " ".join([prose(120_000), BASE[1], prose(60_000)])
+    rows = spark.createDataFrame([(1, long, "en"), (2, BASE[2], "en"), (3, None, "en"), (3, BASE[2], "en")], "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(0, BASE[1])], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_items"]) for r in decontaminate.contamination(rows, bench).filter("doc_id < 3").collect()}
+    assert got == {1: (len(words(long)), 1), 2: (len(words(BASE[2])), 0)}
+    assert {(r["doc_id"], r["lang_pred"]) for r in langid.identified(rows).collect()} == {(1, "en"), (2, "en"), (3, "en"), (3, "und")}
+
+
 def test_jaccard_repeated_ids(spark):
     """Rows with one doc_id and different texts are judged each by their own."""
     base = [prose(n, [f"t{i}" for i in range(300)]).split() for n in (30, 45, 60, 90, 120)]
