@@ -37,13 +37,14 @@ made: list[str] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, a lost executor loses nothing, and the job's shuffle files go."""
+def saved(df: DataFrame, name: str, codec: str = "snappy", by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, a lost executor loses nothing, and the job's shuffle files go. by: a column with a folder for each value."""
     spark = df.sparkSession
     path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        writer = df.write.option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     made.append(path)

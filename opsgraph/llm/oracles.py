@@ -102,4 +102,46 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON least_.a = d.doc_id
 """
 
-ORACLE_SQL = {"op1_decontaminate": OP1, "op3_exact_dedup": OP3, "op8_secret_scan": op8(), "op9_url_filter": op9(), "op10_jaccard_join": OP10}
+OP11 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) AS t(i)
+), e AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>') AS shown,
+    replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), ':', '\:') AS name
+  FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ') + length(name) + length(': ') + length(shown) + length('</turn>') + 1)::BIGINT AS formatted_chars, true AS mask_agrees
+FROM e GROUP BY conv_id
+"""
+
+
+def op13() -> str:
+    """Three assignments and two updates over all parts, plainly; lists stand for parts."""
+    steps = []
+    for r in range(3):
+        dist = "list_sum(list_transform(list_zip(q.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT q.row, q.p, min((d, e)) AS best FROM (SELECT q.row, q.p, b.e, {dist} AS d FROM q JOIN b{r} b ON q.p = b.p) q GROUP BY ALL)")
+        if r < 2:
+            means = f"SELECT q.p, a.best[2] AS e, i, floor(sum(q.v[i])::DOUBLE / count(*))::BIGINT AS m FROM q JOIN a{r} a ON q.row = a.row AND q.p = a.p, range(1, 1 + len(q.v)) AS t(i) GROUP BY ALL"
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM b{r} b LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS v FROM ({means}) GROUP BY ALL) n ON n.p = b.p AND n.e = b.e)")
+    chain = ",\n".join(steps).replace("min((d, e))", "min([d, e])")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS MATERIALIZED (SELECT row, p, x[1 + p * len(x) // 16 : (p + 1) * len(x) // 16] AS v FROM k, range(16) AS t(p)
+), b0 AS MATERIALIZED (SELECT p, row - 1 AS e, v FROM q WHERE row <= 64),
+{chain}, s AS (
+  SELECT row, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM a2 GROUP BY row
+), h AS (
+  SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM b2)
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN s USING (row), h
+"""
+
+
+ORACLE_SQL = {"op1_decontaminate": OP1, "op3_exact_dedup": OP3, "op8_secret_scan": op8(), "op9_url_filter": op9(), "op10_jaccard_join": OP10, "op11_chat_format": OP11, "op13_vector_codes": op13()}

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opsgraph.llm import decontaminate, exact_dedup, jaccard, langid, mixing, secret_scan, suffix_dedup, token_count, url_filter, wavelet
+from opsgraph.llm import chat, decontaminate, exact_dedup, jaccard, langid, mixing, secret_scan, suffix_dedup, token_count, url_filter, vector_codes, wavelet, whitening
 from opsgraph.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -55,6 +56,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts look like the template's marks."""
+    texts = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(texts)
+    return chat.report(chat.formatted(rows))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_exact_dedup, op4_suffix_dedup, op5_token_counts, op6_token_output, op7_mixing, op8_secret_scan, op9_url_filter, op10_jaccard_join)
+    f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_exact_dedup, op4_suffix_dedup, op5_token_counts, op6_token_output, op7_mixing, op8_secret_scan, op9_url_filter, op10_jaccard_join, op11_chat_format, op12_whitening, op13_vector_codes)
 }
