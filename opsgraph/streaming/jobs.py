@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from opsgraph.plans.incremental import GraphTables
 from opsgraph.operators.logs import aggressive_mask, folded, preprocess, template_id
 
 LATE = "10 minutes"
@@ -41,6 +42,11 @@ def keyed_writer(path: str, build: Callable[[DataFrame], dict[str, DataFrame]])
     return write
 
 
+def graph_updater(tables: GraphTables) -> Callable[[DataFrame, int], None]:
+    """A batch writer that merges each batch of flat events into the stored graph; a batch done again changes nothing."""
+    return lambda batch, n: tables.apply(batch, n)
+
+
 def log_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Log lines of a batch as JSON lines."""
     return lambda batch, n: batch.write.mode("overwrite").json(f"{path}/batch={n}")
