@@ -1,12 +1,17 @@
 """Causal paths: from each incident's symptom upstream over the graph to what most likely started it.
 
-All incidents of a job walk together: one join per depth on a frontier of paths, each an array of steps. Whether a walk
-stops at a node depends on the node's anomalies and on the incident's first failure; both are columns made before the
-loop.
+All incidents of a job walk together, one join a depth. What walks are labels, one for a way from a symptom to a node:
+where it has been, its cause edges, its worst severity and its earliest anomaly. Of the ways that meet at a node only
+those are kept from which a best path can still come (see `worth_keeping`), so at most `most_labels` walk on for each
+incident and node however many ways there are. Of the paths that end at a root the best one is kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import comb
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +20,15 @@ from opsgraph.operators import rules
 from opsgraph.operators.traverse import reachable
 
 SECOND_NS = 1_000_000_000
-STEP = "array<struct<uid:string,kind:string,edge:string,edge_kind:string>>"
+#: Lags from which a lead over the failure fits best, no longer fits best, and gets no worse (s); least score.
+BEST_FROM_S, BEST_TO_S, WORST_FROM_S, LEAST = 30, 300, 300 + 400, 0.6
+#: What a message of a failed image pull says if the image, the login or the network is to blame.
+IMAGE_MISSING = "manifest unknown|not found|does not exist|name unknown"
+LOGIN_FAILED = "unauthorized|forbidden|authentication required|access denied|no basic auth credentials|x509"
+NO_NETWORK = "i/o timeout|context deadline exceeded|connection refused|no such host|network unreachable"
+PULL = ["ImagePullBackOff", "ErrImagePull"]
+PRESSURE = ["DiskPressure", "NodeDiskPressure", "NodeMemoryPressure", "MemoryPressure", "NodePIDPressure", "PIDPressure", "NodeNetworkPressure", "NodeNotReady"]
+FAILURE_REASONS = "(?i)Failed|BackOff|ErrImagePull|Evicted|OOMKilled"
 
 
 def upstream_edges(edges: DataFrame) -> DataFrame:
@@ -26,110 +39,280 @@ def upstream_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.when(reverse, F.col("dst")).otherwise(F.col("src")).alias("at"), F.when(reverse, F.col("src")).otherwise(F.col("dst")).alias("up"), F.col("type").alias("edge"), cause.alias("cause")).distinct()
 
 
+def severity_score(severity: Column) -> Column:
+    return F.when(severity == "critical", 1.0).when(severity == "high", 0.75).when(severity == "medium", 0.5).otherwise(0.25)
+
+
+def pull_failure(summary: Column) -> Column:
+    """What a failed image pull is by its message: ImageNotFound, RegistryAuthFailed, ImagePullTimeout, or ImagePullBackOff, which has its cause elsewhere."""
+    said = F.lower(F.coalesce(summary, F.lit("")))
+    return F.when(said.rlike(IMAGE_MISSING), "ImageNotFound").when(said.rlike(LOGIN_FAILED), "RegistryAuthFailed").when(said.rlike(NO_NETWORK), "ImagePullTimeout").otherwise("ImagePullBackOff")
+
+
 def node_context(anomalies: DataFrame) -> DataFrame:
-    """Per node (incident_id, uid) what its anomalies (incident_id, uid, kind, category, type, severity, ts_ns, first_failure_ns) mean."""
-    before = F.col("ts_ns") <= F.col("first_failure_ns")
-    introduces = F.col("type").isin(*rules.CAUSE_INTRODUCING) | (F.col("category") == "Change")
-    reconciled = F.col("type").isin(*rules.RECONCILED_TYPES) & F.col("kind").isin(*rules.RECONCILED_KINDS)
-    rank = F.when(F.col("severity") == "critical", 1.0).when(F.col("severity") == "high", 0.75).when(F.col("severity") == "medium", 0.5).otherwise(0.25)
-    return anomalies.groupBy("incident_id", "uid").agg(
-        F.bool_or(introduces & before).alias("has_cause"),
-        F.bool_or(F.col("type").isin(*rules.DEFINITIVE) & before).alias("definitive"),
-        F.bool_and(F.col("type").isin(*rules.DERIVED)).alias("only_derived"),
-        F.bool_and(F.col("type").isin(*rules.INTERMEDIATE)).alias("only_intermediate"),
-        F.bool_or(reconciled).alias("reconciled"),
-        F.min("ts_ns").alias("first_ns"),
-        F.max(rank).alias("severity"),
+    """Per node (uid, and incident_id if the anomalies have it) what its anomalies say about causes.
+
+    anomalies: uid, category, type, severity, ts_ns, and summary if known. The times are those of the first anomaly that
+    can be a cause: whether it is one depends on the incident's failure, and for evictions and image pulls on what else
+    happened around it. `soft` ones (creations) are causes with others behind them.
+    """
+    type_, ts = F.col("type"), F.col("ts_ns")
+    cause = (F.coalesce(F.col("category") == "Change", F.lit(False))) | type_.isin(*rules.CAUSE_INTRODUCING)
+    soft = type_.isin(*rules.INTERMEDIATE)
+    pull = type_.isin(*PULL)
+    pulled = pull & pull_failure(F.col("summary") if "summary" in anomalies.columns else F.lit("")).isin(*rules.CAUSE_INTRODUCING)
+    own = cause & ~type_.isin(*rules.DERIVED) & ~pull & (type_ != "Evicted")
+    first = lambda which, name: F.min(F.when(which, ts)).alias(name)
+    keys = [c for c in ("incident_id", "uid") if c in anomalies.columns]
+    return anomalies.groupBy(*keys).agg(
+        first(cause, "any_cause_ns"),
+        first(own, "cause_ns"),
+        first(own & ~soft, "hard_ns"),
+        first(type_ == "Evicted", "evicted_ns"),
+        first(pulled, "pulled_ns"),
+        (F.count_if(cause) == 0).alias("only_derived"),
+        ((F.count_if(cause) > 0) & (F.count_if(cause & ~soft) == 0)).alias("only_soft"),
+        F.count_if(type_.isin(*rules.DEFINITIVE)).cast("boolean").alias("definitive"),
+        F.min("ts_ns").alias("node_first_ns"),
+        F.max(severity_score(F.col("severity"))).alias("node_severity"),
     )
 
 
 def first_failures(incidents: DataFrame, anomalies: DataFrame) -> DataFrame:
     """incidents with first_failure_ns: the symptom's earliest anomaly, else the incident's time."""
-    first = anomalies.groupBy(F.col("uid")).agg(F.min("ts_ns").alias("first"))
-    return incidents.join(first, "uid", "left").select(*incidents.columns, F.coalesce("first", "t_ns").alias("first_failure_ns"))
+    keys = [c for c in ("incident_id", "uid") if c in anomalies.columns]
+    first = anomalies.groupBy(*keys).agg(F.min("ts_ns").alias("first"))
+    return incidents.join(first, keys, "left").select(*incidents.columns, F.coalesce("first", "t_ns").alias("first_failure_ns"))
+
+
+def surroundings(edges: DataFrame, anomalies: DataFrame, incidents: DataFrame, depth: int) -> DataFrame:
+    """(incident_id, pressure, image_changed): is a node under pressure, or was an image changed, in what the incident's walk can reach?
+
+    Only evictions and image pulls ask for it; without any, nothing is walked.
+    """
+    if not anomalies.filter(F.col("type").isin("Evicted", *PULL)).limit(1).count():
+        return incidents.select("incident_id", F.lit(False).alias("pressure"), F.lit(False).alias("image_changed")).distinct()
+    told = anomalies.select(*[c for c in ("incident_id", "uid") if c in anomalies.columns], F.col("type").isin(*PRESSURE).alias("pressure"), (F.col("type") == "ImageChanged").alias("image_changed")).filter("pressure or image_changed")
+    if "incident_id" in anomalies.columns:
+        near = told
+    else:
+        arcs = upstream_edges(edges).select(F.col("at").alias("src"), F.col("up").alias("dst"))
+        reached = reachable(arcs, incidents.select("uid").distinct(), depth, directed=True)
+        near = incidents.select("incident_id", "uid").join(reached, "uid").select("incident_id", F.col("other").alias("uid")).join(told.distinct(), "uid")
+    found = near.groupBy("incident_id").agg(F.bool_or("pressure").alias("pressure"), F.bool_or("image_changed").alias("image_changed"))
+    known = incidents.select("incident_id").distinct().join(found, "incident_id", "left")
+    return known.select("incident_id", F.coalesce("pressure", F.lit(False)).alias("pressure"), F.coalesce("image_changed", F.lit(False)).alias("image_changed"))
+
+
+def temporal_score(lag_ns: Column) -> Column:
+    """How well the lead of the first anomaly over the failure fits: little below 5 s, best from 30 s to 5 min, then slowly less, 0.6 at least."""
+    s = lag_ns / SECOND_NS
+    return F.when(s < 0, 0.0).when(s < 5, 0.3 + 0.2 * s / 5).when(s < BEST_FROM_S, 0.5 + 0.5 * (s - 5) / 25).when(s <= BEST_TO_S, 1.0).otherwise(F.greatest(F.lit(LEAST), 1.0 - 0.3 * (s - BEST_TO_S) / 300))
+
+
+def confidence(lag_ns: Column, hops: Column, severity: Column, kind: Column, definitive: Column) -> Column:
+    """Time .40, distance .35 (full for a definitive root), severity .25, and what kind of root it is; 1 at most."""
+    distance = F.when(definitive, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - hops / 5))
+    boost = F.when(kind.isin(*rules.INTENT_KINDS), 0.05).otherwise(0.0) + F.when(kind.isin(*rules.GITOPS_KINDS), 0.05).otherwise(0.0) + F.when(definitive, 0.15).otherwise(0.0)
+    return F.round(F.least(F.lit(1.0), 0.40 * temporal_score(lag_ns) + 0.35 * distance + 0.25 * severity + boost), 9)
+
+
+# --- labels ------------------------------------------------------------------------------------------------------
+
+
+def most_labels(depth: int, at: int) -> int:
+    """How many labels of an incident can be at a node at most, `at` steps from the symptom, in walks of `depth` steps: 4 severities, `at` + 1 numbers of cause edges and 4 ranges of time, with so many ways each."""
+    return 16 * (at + 1) * comb(depth - 1, at - 1) if at < depth else 0
+
+
+def worth_keeping(kept: list[frozenset], way: frozenset, left: int) -> bool:
+    """Can a walk of at most `left` more nodes go on from this way, but from none of the better ones that are kept?
+
+    It can if there are `left` nodes, none on this way, of which every better way has one. So for every continuation the
+    best way that it can follow is kept; and no more than binomial(nodes on the way + left, left) are.
+    """
+    for other in kept:
+        return left > 0 and any(worth_keeping([k for k in kept if node not in k], way, left - 1) for node in other - way)
+    return True
+
+
+def _pruned(labels: DataFrame, left: Column, shuffled: bool) -> DataFrame:
+    """The labels worth keeping of each incident, node and class; of those in a task only unless shuffled."""
+    rows = labels.withColumn("left", left)
+    rows = rows.repartition("incident_id", "at") if shuffled else rows
+    order = ["incident_id", "at", "hops", "severity", "age", "better", "path"]
+    schema = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, []
+        for b in batches:
+            own = zip(*(b.column(c).to_pylist() for c in order[:5]), strict=True)
+            mask = []
+            for k, way, more in zip(own, b.column("between").to_pylist(), b.column("left").to_pylist(), strict=True):
+                if k != key:
+                    key, kept = k, []
+                way = frozenset(way)
+                mask.append(worth_keeping(kept, way, more))
+                if mask[-1]:
+                    kept.append(way)
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    return rows.sortWithinPartitions(*order).mapInArrow(run, schema).drop("left")
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    """Labels (incident_id, failure_ns, pressure, image_changed, most, at, hops, severity, first_ns, path) with their class and order.
+
+    Within a class (cause edges, severity, age) the order says which of two ways is at least as good whatever follows. A
+    lead that fits best, or doesn't yet, gets better as it grows; one beyond it gets worse; one at the least score, and
+    one after the failure, are as good as others, and the earlier anomaly is shown.
+    """
+    s = (F.col("failure_ns") - F.col("first_ns")) / SECOND_NS
+    age = F.when(F.col("first_ns").isNull() | (s < 0), 0).when(s <= BEST_TO_S, 1).when(s < WORST_FROM_S, 2).otherwise(3)
+    never = F.lit(2**63 - 1)
+    between = F.transform(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0))), lambda x: x["uid"])
+    return rows.withColumn("age", age).withColumn("better", F.when(F.col("age") == 2, -F.col("first_ns")).otherwise(F.coalesce("first_ns", never))).withColumn("between", between)
+
+
+def _step(uid: Column, kind: Column, edge: Column, edge_kind: Column) -> Column:
+    return F.struct(uid.alias("uid"), kind.alias("kind"), edge.alias("edge"), edge_kind.alias("edge_kind"))
 
 
 def causal_paths(edges: DataFrame, resources: DataFrame, anomalies: DataFrame, incidents: DataFrame, depth: int = 5) -> DataFrame:
-    """(incident_id, root, path, first_ns, severity, definitive) of every path that ends at a possible cause.
+    """The best path of each incident and root: incident_id, symptom, root, root_kind, path (symptom first), first_ns, first_failure_ns, hops, severity, definitive, confidence.
 
-    incidents: incident_id, uid, t_ns. A definitive cause ends a walk, unless the node refers to something further up; other
-    causes are noted and, over materializing edges or nodes with only derived or intermediate anomalies, walked past.
+    edges: type, src, dst; resources: uid, kind; anomalies: see node_context, of an incident each if they have incident_id;
+    incidents: incident_id, uid, t_ns. A node is a root if it has a cause at or before the symptom's first failure. A walk
+    ends at one, unless it only materializes the symptom, is managed, refers to something, or has nothing but creations;
+    it goes on over materializing edges and nodes without causes of their own. Best is the longest path, then the most
+    confident, then that with the earliest anomaly. An incident whose symptom is a Service without ready endpoints walks
+    from the pods that it selects (`service_starts`).
     """
-    incidents = first_failures(incidents, anomalies)
     depth = max(1, min(depth, 10))
-    # Anomalies without an incident stand for every incident whose window they were found in: the walk joins them by node.
-    seen = anomalies if "incident_id" in anomalies.columns else anomalies.join(reachable_in(edges, incidents, depth), "uid")
-    context = cut(node_context(seen.join(incidents.select("incident_id", "first_failure_ns").distinct(), "incident_id")))
+    incidents = first_failures(incidents, anomalies)
+    per_incident = "incident_id" in anomalies.columns
+    context = node_context(anomalies)
+    kinds = resources.select("uid", "kind")
     up = upstream_edges(edges)
     traits = up.groupBy("at").agg(F.bool_or(F.col("edge") == "MANAGES").alias("managed"), F.bool_or(F.col("edge") == "REFERENCES_SPEC").alias("refers")).withColumnRenamed("at", "uid")
-    kinds = resources.select("uid", "kind")
-    start = incidents.select("incident_id", "uid").join(kinds, "uid", "left")
-    front = start.select("incident_id", F.col("uid").alias("at"), F.array(F.struct(F.col("uid"), F.col("kind"), F.lit("").alias("edge"), F.lit("").alias("edge_kind"))).alias("path"))
-    traits, up = cut(traits), cut(up)
-    out = None
+    nodes = kinds.join(traits, "uid", "left")
+    nodes = cut(nodes if per_incident else nodes.join(context, "uid", "left"))
+    arcs = up.join(nodes.withColumnRenamed("uid", "up"), "up")
+    if per_incident:
+        context = cut(context)
+    arcs = cut(arcs)
+    around = surroundings(edges, anomalies, incidents, depth)
+    starts, done = service_starts(edges, nodes, anomalies, incidents)
+    know = (lambda df: df.join(context, ["incident_id", "uid"], "left")) if per_incident else (lambda df: df)
+    seeds = starts.join(around, "incident_id").join(nodes, "uid")
+    seeds = know(seeds)
+    itself = _step(F.col("uid"), F.col("kind"), F.lit(""), F.lit(""))
+    service = _step(F.col("service"), F.lit("Service"), F.lit(""), F.lit(""))
+    pod = _step(F.col("uid"), F.col("kind"), F.lit("SELECTS"), F.lit("materialization"))
+    front = seeds.select(
+        "incident_id", F.col("first_failure_ns").alias("failure_ns"), "pressure", "image_changed", (F.lit(depth) - F.when(F.col("service").isNotNull(), 1).otherwise(0)).alias("most"), F.col("uid").alias("at"), F.lit(0).alias("hops"),
+        F.greatest(F.coalesce("node_severity", F.lit(0.25)), F.coalesce("service_severity", F.lit(0.25))).alias("severity"), F.least("node_first_ns", "service_first_ns").alias("first_ns"),
+        F.when(F.col("service").isNotNull(), F.array(service, pod)).otherwise(F.array(itself)).alias("path"),
+    )
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    out = None
     for d in range(1, depth + 1):
-        step = front.join(up, "at").filter(~F.exists("path", lambda s: s["uid"] == F.col("up")))
-        step = step.select("incident_id", F.col("up").alias("uid"), "path", "edge", "cause").join(kinds, "uid", "left").join(context, ["incident_id", "uid"], "left").join(traits, "uid", "left")
+        step = front.filter(F.col("most") >= d).join(arcs, "at").filter(~F.exists("path", lambda s: s["uid"] == F.col("up"))).drop("at").withColumnRenamed("up", "uid")
+        step = know(step)
+        before = lambda t: F.coalesce(t <= F.col("failure_ns"), F.lit(False))
+        around_it = before(F.when(~F.col("pressure"), F.col("evicted_ns"))) | before(F.when(~F.col("image_changed"), F.col("pulled_ns")))
+        hard, any_ = before(F.col("hard_ns")) | around_it, before(F.col("cause_ns")) | around_it
         counts = F.col("cause") | F.lit(d > 1)  # a materializing edge right at the symptom introduces nothing
-        stop = yes("has_cause") & yes("definitive") & counts & ~yes("managed") & ~yes("reconciled")
-        top = F.col("managed").isNull()  # nothing upstream
-        emit = stop | (yes("has_cause") & counts) | (top & yes("has_cause"))
-        past = ~F.col("cause") | yes("only_derived") | yes("only_intermediate")
-        go_on = F.when(stop, yes("refers")).otherwise(past)
-        kind = F.when(F.col("cause"), "cause").otherwise("materialization")
-        step = step.withColumn("path", F.concat("path", F.array(F.struct("uid", "kind", "edge", kind.alias("edge_kind"))))).withColumn("emit", emit).withColumn("go_on", go_on)
-        step = cut(step)  # both what ends here and what goes on come from it
-        ends = step.filter("emit").select("incident_id", F.col("uid").alias("root"), F.col("kind").alias("root_kind"), "path", "first_ns", "severity", yes("definitive").alias("definitive"))
+        stop = hard & counts & ~yes("managed")
+        go_on = F.when(stop, yes("refers")).otherwise(~F.col("cause") | F.coalesce("only_derived", F.lit(True)) | yes("only_soft"))
+        top = F.col("managed").isNull() & go_on & before(F.col("any_cause_ns")) & (F.col("most") > d)  # nothing upstream
+        emit = stop | (any_ & ~hard & counts) | top
+        edge_kind = F.when(F.col("cause"), "cause").otherwise("materialization")
+        step = step.select(
+            "incident_id", "failure_ns", "pressure", "image_changed", "most", F.col("uid").alias("at"), "kind",
+            F.col("hops").alias("root_hops"), (F.col("hops") + F.col("cause").cast("int")).alias("hops"), F.greatest("severity", F.coalesce("node_severity", F.lit(0.25))).alias("severity"), F.least("first_ns", "node_first_ns").alias("first_ns"),
+            F.concat("path", F.array(_step(F.col("uid"), F.col("kind"), F.col("edge"), edge_kind))).alias("path"), yes("definitive").alias("definitive"), emit.alias("emit"), (go_on & (F.col("most") > d)).alias("go_on"),
+        )
+        step = cut(step.filter("emit or go_on"))  # both what ends here and what goes on come from it
+        score = confidence(F.col("failure_ns") - F.col("first_ns"), F.col("root_hops"), F.col("severity"), F.col("kind"), F.col("definitive"))
+        shown = F.struct(score.alias("confidence"), "first_ns", F.col("root_hops").alias("hops"), "severity", "path", "definitive", F.col("kind").alias("root_kind"), F.col("failure_ns").alias("first_failure_ns"))
+        order = F.struct(-score, F.coalesce("first_ns", F.lit(2**63 - 1)), "root_hops", -F.col("severity"), "path")
+        ends = step.filter("emit").groupBy("incident_id", F.col("at").alias("root")).agg(F.min_by(shown, order).alias("best")).select("incident_id", "root", F.lit(d).alias("steps"), "best.*")
         out = ends if out is None else out.union(ends)
-        front = step.filter("go_on").select("incident_id", F.col("uid").alias("at"), "path")
-    return out.join(incidents.select("incident_id", F.col("uid").alias("symptom"), "first_failure_ns"), "incident_id")
+        if d < depth:
+            labels = _labelled(step.filter("go_on").select("incident_id", "failure_ns", "pressure", "image_changed", "most", "at", "hops", "severity", "first_ns", "path"))
+            left = F.col("most") - F.lit(d)
+            front = _pruned(_pruned(labels, left, shuffled=False), left, shuffled=True).drop("age", "better", "between")
+    longest = Window.partitionBy("incident_id", "root").orderBy(F.desc("steps"))
+    best = out.withColumn("nth", F.row_number().over(longest)).filter("nth = 1").drop("nth", "steps")
+    if done is not None:
+        best = with_service_roots(best, done, nodes if not per_incident else know(done.select("incident_id", "uid", "service").join(nodes, "uid", "left")), per_incident)
+    return best.join(incidents.select("incident_id", F.col("uid").alias("symptom")), "incident_id")
 
 
-def reachable_in(edges: DataFrame, incidents: DataFrame, depth: int) -> DataFrame:
-    """(incident_id, uid) of the nodes that an incident's walk can reach."""
-    near = reachable(upstream_edges(edges).select(F.col("at").alias("src"), F.col("up").alias("dst")), incidents.select("uid").distinct(), depth, directed=True)
-    return incidents.select("incident_id", "uid").join(near, "uid").select("incident_id", F.col("other").alias("uid")).distinct()
+# --- services ----------------------------------------------------------------------------------------------------
 
 
-def temporal_score(lag_ns: Column) -> Column:
-    """How well a root's lead over the failure fits: little below 5 s, best from 30 s to 5 min, then slowly less, 0.6 at least."""
-    s = lag_ns / SECOND_NS
-    return F.when(s < 0, 0.0).when(s < 5, 0.3 + 0.2 * s / 5).when(s < 30, 0.5 + 0.5 * (s - 5) / 25).when(s <= 300, 1.0).otherwise(F.greatest(F.lit(0.6), 1.0 - 0.4 * (s - 300) / 3300))
+def service_starts(edges: DataFrame, nodes: DataFrame, anomalies: DataFrame, incidents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(where the walks start, paths that are there without one).
 
+    A walk starts at the symptom. If that is a Service with a NoReadyEndpoints anomaly, it starts at each pod that the
+    service selects, with the service as its symptom (service, service_first_ns, service_severity); but if it selects none,
+    or all of them are healthy, the service is the only node of its path. A pod is unhealthy if it has an anomaly of a
+    failed pod or a warning that speaks of one. The second table, None if there is no such incident, has (incident_id, uid,
+    service, first_failure_ns, service_first_ns, service_severity): services alone, and selected pods in case that no
+    walk from them finds anything.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    plain = incidents.select("incident_id", "uid", "first_failure_ns", none("string").alias("service"), none("long").alias("service_first_ns"), none("double").alias("service_severity"))
+    keys = [c for c in ("incident_id", "uid") if c in anomalies.columns]
+    bare = anomalies.groupBy(*keys).agg(F.count_if(F.col("type") == "NoReadyEndpoints").alias("n"), F.min("ts_ns").alias("service_first_ns"), F.max(severity_score(F.col("severity"))).alias("service_severity")).filter("n > 0").drop("n")
+    bare = incidents.join(nodes.filter("kind = 'Service'").select("uid"), "uid").join(bare, keys)
+    bare = cut(bare.select("incident_id", F.col("uid").alias("service"), "first_failure_ns", "service_first_ns", "service_severity"))
+    if not bare.limit(1).count():
+        return plain, None
+    chosen = bare.join(edges.filter("type = 'SELECTS'").select(F.col("src").alias("service"), F.col("dst").alias("uid")).distinct(), "service").join(nodes.filter("kind = 'Pod'").select("uid"), "uid")
+    failed = F.col("type").isin(*rules.POD_FAILURES) | ((F.col("category") == "Event") & F.col("type").rlike(FAILURE_REASONS))
+    sick = anomalies.filter(failed).select(*keys).distinct().withColumn("sick", F.lit(True))
+    chosen = chosen.join(sick, keys, "left")
+    ill = chosen.groupBy("incident_id").agg(F.bool_or(F.coalesce("sick", F.lit(False))).alias("ill")).filter("ill").select("incident_id")
+    pods = cut(chosen.join(ill, "incident_id", "left_semi").select("incident_id", "uid", "first_failure_ns", "service", "service_first_ns", "service_severity"))
+    alone = bare.join(ill, "incident_id", "left_anti").select("incident_id", F.col("service").alias("uid"), "first_failure_ns", "service", "service_first_ns", "service_severity")
+    starts = plain.join(bare.select("incident_id"), "incident_id", "left_anti").unionByName(pods)
+    return starts, alone.unionByName(pods)
+
+
+def with_service_roots(best: DataFrame, done: DataFrame, known: DataFrame, per_incident: bool) -> DataFrame:
+    """best, with services that are their own root, and pods with anomalies from which no walk found a path."""
+    walked = best.select("incident_id", F.get("path", F.lit(1))["uid"].alias("uid")).distinct()
+    keys = ["incident_id", "uid"] if per_incident else ["uid"]
+    info = known.select(*keys, "node_first_ns", "node_severity", "definitive").distinct()
+    rows = done.join(walked, ["incident_id", "uid"], "left_anti").join(info, keys, "left")
+    own = F.col("uid") == F.col("service")
+    rows = rows.filter(own | F.col("node_first_ns").isNotNull())
+    first, severity = F.least("node_first_ns", "service_first_ns"), F.greatest(F.coalesce("node_severity", F.lit(0.25)), F.coalesce("service_severity", F.lit(0.25)))
+    kind, definitive = F.when(own, "Service").otherwise("Pod"), F.coalesce("definitive", F.lit(False))
+    service = _step(F.col("service"), F.lit("Service"), F.lit(""), F.lit(""))
+    path = F.when(own, F.array(service)).otherwise(F.array(service, _step(F.col("uid"), F.lit("Pod"), F.lit("SELECTS"), F.lit("materialization"))))
+    score = confidence(F.col("first_failure_ns") - first, F.lit(0), severity, kind, definitive)
+    return best.unionByName(rows.select("incident_id", F.col("uid").alias("root"), score.alias("confidence"), first.alias("first_ns"), F.lit(0).alias("hops"), severity.alias("severity"), path.alias("path"), definitive.alias("definitive"), kind.alias("root_kind"), "first_failure_ns"))
 
-def rank_paths(paths: DataFrame) -> DataFrame:
-    """paths with confidence (temporal .40, distance .35, severity .25, and what kind of root it is), their rank in the incident, and an id."""
-    hops = F.size(F.filter("path", lambda s: s["edge_kind"] == "cause"))
-    distance = F.when(F.col("definitive"), 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - hops / 5))
-    boost = F.when(F.col("root_kind").isin(*rules.INTENT_KINDS), 0.05).otherwise(0.0) + F.when(F.col("root_kind").isin(*rules.GITOPS_KINDS), 0.05).otherwise(0.0) + F.when(F.col("definitive"), 0.15).otherwise(0.0)
-    time = temporal_score(F.col("first_failure_ns") - F.col("first_ns"))
-    score = F.least(F.lit(1.0), 0.40 * time + 0.35 * distance + 0.25 * F.col("severity") + boost)
-    name = F.array_join(F.transform("path", lambda s: F.concat_ws("|", s["uid"], s["edge"])), ">")
-    rows = paths.withColumn("confidence", F.round(score, 6)).withColumn("path_id", F.substring(F.sha2(name, 256), 1, 16))
-    order = Window.partitionBy("incident_id").orderBy(F.desc("confidence"), F.desc("definitive"), "first_ns", F.desc(F.size("path")), "path_id")
-    return rows.withColumn("rank", F.row_number().over(order))
 
+# --- ranking -----------------------------------------------------------------------------------------------------
 
-def dedupe_by_root(ranked: DataFrame, n: int = 5) -> DataFrame:
-    """The longest, then most confident path of each root, with all symptoms the root leads to; the n best of an incident (20 at most)."""
-    order = Window.partitionBy("incident_id", "root").orderBy(F.desc(F.size("path")), F.desc("confidence"), "path_id")
-    one = ranked.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth", "rank")
-    symptoms = ranked.groupBy("root").agg(F.array_sort(F.collect_set("symptom")).alias("affected"))
-    best = Window.partitionBy("incident_id").orderBy(F.desc("confidence"), F.desc("definitive"), "first_ns", "path_id")
-    return one.join(symptoms, "root").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= min(n, 20))
+
+def rank_paths(paths: DataFrame, n: int = 5) -> DataFrame:
+    """The n best roots of each incident (20 at most) with rank, path_id, and all symptoms that the root leads to."""
+    name = F.array_join(F.transform(F.reverse("path"), lambda s: F.concat_ws("|", s["uid"], s["edge"])), ">")
+    affected = paths.groupBy("root").agg(F.count_distinct("symptom").alias("n_affected"))
+    order = Window.partitionBy("incident_id").orderBy(F.desc("confidence"), F.desc("definitive"), F.asc_nulls_last("first_ns"), F.desc(F.size("path")), "root")
+    top = paths.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= min(n, 20)).withColumn("path_id", F.substring(F.sha2(name, 256), 1, 16))
+    return top.join(affected, "root")
 
 
 def explained(ranked: DataFrame) -> DataFrame:
     """paths with a sentence on the path and one on its confidence."""
     steps = F.array_join(F.transform(F.reverse("path"), lambda s: F.concat_ws(" ", s["kind"], s["uid"])), " -> ")
     lead = (F.col("first_failure_ns") - F.col("first_ns")) / SECOND_NS
-    why = F.format_string("confidence %.2f: first sign %.0f s before the failure, severity %.2f, %d steps%s", "confidence", lead, "severity", F.size("path") - 1, F.when(F.col("definitive"), ", definitive").otherwise(""))
+    why = F.format_string("confidence %.2f: first sign %.0f s before the failure, severity %.2f, %d cause edges, %d steps%s", "confidence", lead, "severity", "hops", F.size("path") - 1, F.when(F.col("definitive"), ", definitive").otherwise(""))
     return ranked.withColumn("explanation", F.concat(F.lit("caused by "), steps)).withColumn("ranking", why)
-
-
-def with_service_symptoms(incidents: DataFrame, resources: DataFrame, edges: DataFrame) -> DataFrame:
-    """incidents whose symptom is a Service also once for each pod that it selects, under the same incident_id."""
-    services = incidents.join(resources.filter("kind = 'Service'").select("uid"), "uid")
-    pods = services.join(edges.filter("type = 'SELECTS'"), F.col("uid") == F.col("src")).select("incident_id", F.col("dst").alias("uid"), "t_ns")
-    return incidents.select("incident_id", "uid", "t_ns").union(pods)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +34,13 @@ def query(sql: str = "", *views_: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            head = "WITH " + ", ".join(v.strip() for v in views_) if views_ else ""
             body = sql.strip()
-            if body.upper().startswith("WITH "):
-                body = body[5:]
-                head = head + ", " if head else "WITH "
-            ORACLE_SQL[f.__name__] = f"{head}{'' if head.endswith((', ', 'WITH ')) or not head else ' '}{body}"
+            start = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(w)), "")
+            head = (start or "WITH ") + ", ".join(v.strip() for v in views_) if views_ else ""
+            if start:
+                body = body[len(start) :]
+                head = head + ", " if head else start
+            ORACLE_SQL[f.__name__] = f"{head}{'' if head.endswith((', ', 'WITH ', 'RECURSIVE ')) or not head else ' '}{body}"
         return f
 
     return add
@@ -793,18 +795,70 @@ def rebalance_templates(spark: SparkSession, d: str) -> DataFrame:
     return logs.rebalance(logs.mine_templates(views.access_lines(spark, d)), least=2)
 
 
-@query()
+_CAUSAL_SQL = f"""
+v_up AS (SELECT DISTINCT CASE type WHEN 'REFERENCES_SPEC' THEN src ELSE dst END AS below, CASE type WHEN 'REFERENCES_SPEC' THEN dst ELSE src END AS up, type = 'REFERENCES_SPEC' AS cause FROM v_edges
+), v_nodes AS (
+  SELECT 'r' || r_regionkey AS uid, 'Namespace' AS kind FROM region UNION ALL SELECT 'n' || n_nationkey, 'HelmRelease' FROM nation UNION ALL SELECT 'c' || c_custkey, 'Deployment' FROM customer
+  UNION ALL SELECT 'o' || o_orderkey, 'Pod' FROM orders UNION ALL SELECT 's' || s_suppkey, 'ConfigMap' FROM supplier UNION ALL SELECT 'p' || p_partkey, 'PersistentVolumeClaim' FROM part
+), v_anomalies AS (
+  SELECT 'c' || c_custkey AS uid, true AS cause, false AS definitive, {START} - c_custkey % 700 * 1000000000 AS ts, 0.75 AS severity FROM customer WHERE c_acctbal < 0
+  UNION ALL SELECT 'n' || n_nationkey, true, false, {START} - 60000000000, 0.75 FROM nation WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT 's' || s_suppkey, true, true, {START} - s_suppkey % 900 * 1000000000, 0.5 FROM supplier WHERE s_acctbal < 0
+  UNION ALL SELECT 'o' || o_orderkey, false, false, {START} - o_orderkey % 50 * 1000000000, 1.0 FROM orders WHERE o_orderpriority = '1-URGENT'
+), v_info AS (
+  SELECT n.uid, n.kind, a.cause_ns, a.first_ns, coalesce(a.severity, 0.25) AS severity, coalesce(a.definitive, false) AS definitive, coalesce(a.cause_ns IS NULL, true) AS derived, t.refers
+  FROM v_nodes n LEFT JOIN (SELECT uid, min(ts) FILTER (cause) AS cause_ns, min(ts) AS first_ns, max(severity) AS severity, bool_or(definitive) AS definitive FROM v_anomalies GROUP BY uid) a USING (uid)
+  LEFT JOIN (SELECT below AS uid, bool_or(cause) AS refers FROM v_up GROUP BY below) t USING (uid)
+), v_incidents AS (
+  SELECT id AS incident_id, uid AS symptom, coalesce(first_ns, {START}) AS failure, first_ns, severity
+  FROM (SELECT 'i' || o_orderkey AS id, 'o' || o_orderkey AS uid FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT 'p' || p_partkey, 'p' || p_partkey FROM part WHERE p_size = 50) JOIN v_info USING (uid)
+)"""
+
+
+@query(
+    """
+    WITH RECURSIVE walk AS (
+      SELECT incident_id, failure, symptom AS below, 0 AS d, 0 AS hops, 0 AS root_hops, severity, first_ns, [symptom] AS path, false AS emit, true AS go_on FROM v_incidents
+      UNION ALL
+      SELECT incident_id, failure, up, d + 1, hops + cause::INT, hops, greatest(w_severity, severity), least(w_first, first_ns), list_append(path, up), stop OR (refers IS NULL AND on_ AND has AND d + 1 < 5), on_
+      FROM (
+        SELECT *, CASE WHEN stop THEN coalesce(refers, false) ELSE NOT cause OR derived END AS on_
+        FROM (
+          SELECT w.incident_id, w.failure, w.d, w.hops, w.path, w.severity AS w_severity, w.first_ns AS w_first, u.up, u.cause, i.severity, i.first_ns, i.refers, i.derived,
+            coalesce(i.cause_ns <= w.failure, false) AS has, coalesce(i.cause_ns <= w.failure, false) AND (u.cause OR w.d > 0) AS stop
+          FROM walk w JOIN v_up u ON w.below = u.below JOIN v_info i ON i.uid = u.up WHERE w.go_on AND w.d < 5 AND NOT list_contains(w.path, u.up)
+        )
+      )
+    ), ends AS (
+      SELECT incident_id, below AS root, kind, d, w.first_ns, root_hops, w.severity, definitive, (failure - w.first_ns) / 1e9 AS s FROM walk w JOIN v_info i ON i.uid = w.below WHERE emit
+    ), scored AS (
+      SELECT *, round(least(1.0, 0.40 * CASE WHEN s < 0 THEN 0.0 WHEN s < 5 THEN 0.3 + 0.2 * s / 5 WHEN s < 30 THEN 0.5 + 0.5 * (s - 5) / 25 WHEN s <= 300 THEN 1.0 ELSE greatest(0.6, 1.0 - 0.3 * (s - 300) / 300) END
+        + 0.35 * CASE WHEN definitive THEN 1.0 ELSE greatest(0.0, 1.0 - root_hops / 5) END + 0.25 * severity + CASE kind WHEN 'HelmRelease' THEN 0.10 WHEN 'ConfigMap' THEN 0.05 WHEN 'PersistentVolumeClaim' THEN 0.05 ELSE 0 END + CASE WHEN definitive THEN 0.15 ELSE 0 END)::DOUBLE, 9) AS c
+      FROM ends
+    ), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY incident_id, root ORDER BY d DESC, c DESC, first_ns, root_hops, severity DESC) = 1
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY c DESC, definitive DESC, first_ns, d DESC, root)::INT AS rank, count(*) OVER (PARTITION BY root) AS n_affected FROM best)
+    SELECT incident_id, rank, root, kind AS root_kind, round(c, 6) AS confidence, d AS steps, first_ns, n_affected FROM ranked WHERE rank <= 5
+    """,
+    R_SQL,
+    _CAUSAL_SQL,
+)
 def causal_paths(spark: SparkSession, d: str) -> DataFrame:
-    """From costly orders up through customers, nations and regions; poor customers and nations count as changed."""
-    edges = views.relation_edges(spark, d).filter("type != 'MOUNTS'")
+    """From costly orders and large parts up through orders, customers, nations, their suppliers and regions; poor customers, every other nation and poor suppliers changed."""
     uid = lambda p, c: F.concat(F.lit(p), F.col(c)).alias("uid")
-    customers = table(spark, d, "customer")
-    resources = table(spark, d, "region").select(uid("r", "r_regionkey"), F.lit("Namespace").alias("kind")).union(table(spark, d, "nation").select(uid("n", "n_nationkey"), F.lit("HelmRelease"))).union(customers.select(uid("c", "c_custkey"), F.lit("Deployment"))).union(table(spark, d, "orders").select(uid("o", "o_orderkey"), F.lit("Pod")))
-    incidents = table(spark, d, "orders").filter("o_totalprice > 300000").select(F.concat(F.lit("i"), F.col("o_orderkey")).alias("incident_id"), uid("o", "o_orderkey"), F.lit(START).alias("t_ns"))
-    kinds = lambda df, u, kind, type_, cat: df.select(u, F.lit(kind).alias("kind"), F.lit(cat).alias("category"), F.lit(type_).alias("type"), F.lit("high").alias("severity"), F.lit(START - 60_000_000_000).alias("ts_ns"))
-    found = kinds(customers.filter("c_acctbal < 0"), uid("c", "c_custkey"), "Deployment", "ImageChanged", "Change").union(kinds(table(spark, d, "nation").filter("n_nationkey % 2 = 0"), uid("n", "n_nationkey"), "HelmRelease", "ValuesChanged", "Change"))
-    ranked = causal.rank_paths(causal.causal_paths(edges, resources, found, incidents))
-    return causal.explained(causal.dedupe_by_root(ranked)).select("incident_id", "rank", "root", "root_kind", "confidence", "path_id", "explanation")
+    region, nation, customer, orders, supplier, part = (table(spark, d, t) for t in ("region", "nation", "customer", "orders", "supplier", "part"))
+    named = [(region, "r", "r_regionkey", "Namespace"), (nation, "n", "n_nationkey", "HelmRelease"), (customer, "c", "c_custkey", "Deployment"), (orders, "o", "o_orderkey", "Pod"), (supplier, "s", "s_suppkey", "ConfigMap"), (part, "p", "p_partkey", "PersistentVolumeClaim")]
+    resources = reduce(DataFrame.union, [df.select(uid(p, c), F.lit(kind).alias("kind")) for df, p, c, kind in named])
+    at = lambda s: (F.lit(START) - s.cast("long") * 1_000_000_000).cast("long").alias("ts_ns")
+    found = lambda df, u, category, type_, severity, ts: df.select(u, F.lit(category).alias("category"), F.lit(type_).alias("type"), F.lit(severity).alias("severity"), at(ts))
+    anomalies = reduce(DataFrame.union, [
+        found(customer.filter("c_acctbal < 0"), uid("c", "c_custkey"), "Change", "ImageChanged", "high", F.col("c_custkey") % 700),
+        found(nation.filter("n_nationkey % 2 = 0"), uid("n", "n_nationkey"), "Change", "ValuesChanged", "high", F.lit(60)),
+        found(supplier.filter("s_acctbal < 0"), uid("s", "s_suppkey"), "Change", "ResourceDeleted", "medium", F.col("s_suppkey") % 900),
+        found(orders.filter("o_orderpriority = '1-URGENT'"), uid("o", "o_orderkey"), "State", "ErrorStatus", "critical", F.col("o_orderkey") % 50),
+    ])
+    incidents = orders.filter("o_totalprice > 300000").select(F.concat(F.lit("i"), "o_orderkey").alias("incident_id"), uid("o", "o_orderkey")).union(part.filter("p_size = 50").select(F.concat(F.lit("p"), "p_partkey"), uid("p", "p_partkey"))).withColumn("t_ns", F.lit(START))
+    ranked = causal.rank_paths(causal.causal_paths(views.relation_edges(spark, d), resources, anomalies, incidents))
+    return ranked.select("incident_id", "rank", "root", "root_kind", F.round("confidence", 6).alias("confidence"), (F.size("path") - 1).alias("steps"), "first_ns", "n_affected")
 
 
 from opsgraph.plans import snapshot_queries, upkeep_queries  # noqa: E402, F401  they register their queries with those above

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from opsgraph.functions import status as st
 from opsgraph.functions import validate
 from opsgraph.functions.facts import facts
+from opsgraph.functions.stored import scratch
 from opsgraph.operators import anomaly, lineage, significance
 from opsgraph.plans import edges, nodes
+from opsgraph.plans.incremental import GraphTables
 from opsgraph.plans.queries import END, query
 from opsgraph.sources.snapshots import CLUSTER_SQL, SNAPSHOTS_SQL, WARNINGS_SQL, cluster, dashboards, resource_snapshots, warning_snapshots
 from opsgraph.sources.views import table
@@ -225,19 +227,40 @@ def highest_pattern(spark: SparkSession, d: str) -> DataFrame:
 # --- edges -----------------------------------------------------------------------------------------------------
 
 
-@query(
-    """
+_EDGES_SQL = """
     SELECT DISTINCT w.type, w.src, CASE WHEN w.ns = '' THEN w.kind || '//' || w.name ELSE w.kind || '/' || w.ns || '/' || w.name END AS dst FROM v_wanted w JOIN v_there t ON w.kind = t.kind AND w.ns = t.ns AND w.name = t.name
     UNION ALL SELECT 'OWNS', 'c' || c, uid FROM v_pods
     UNION ALL SELECT 'SELECTS', 'Service/ns' || (n_nationkey % 7) || '/svc-' || n_nationkey, uid FROM nation JOIN v_pods ON c % 50 = n_nationkey AND ns = 'ns' || (n_nationkey % 7)
-    """,
-    CLUSTER_SQL,
-)
+"""
+
+
+@query(_EDGES_SQL, CLUSTER_SQL)
 def snapshot_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges by owner, selector and all references by name."""
     return edges.build_edges(cluster(spark, d)).select("type", "src", "dst")
 
 
+@query(
+    f"""
+    WITH v_left AS (SELECT * FROM v_there WHERE NOT (kind = 'PersistentVolumeClaim' AND name LIKE '%3'))
+    SELECT 'edge' AS part, * FROM ({_EDGES_SQL.replace("v_there", "v_left")})
+    UNION ALL SELECT DISTINCT 'missing', w.type, w.src, concat_ws('/', w.kind, w.ns, w.name) FROM v_wanted w LEFT JOIN v_left t ON w.kind = t.kind AND w.ns = t.ns AND w.name = t.name WHERE t.name IS NULL
+    """,
+    CLUSTER_SQL,
+)
+def batched_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges, and the references that lack a target, after three batches: two halves of the cluster, then some claims deleted."""
+    none = F.lit(None).cast("string")
+    events = cluster(spark, d).select(F.concat(F.lit("c-"), "uid").alias("id"), "uid", "kind", none.alias("group"), none.alias("version"), "namespace", "name", none.alias("involved_uid"), F.lit("CREATE").alias("type"), (F.lit(END) - F.pmod(F.xxhash64("uid"), F.lit(21_600)) * 1_000_000_000).alias("ts_ns"), "data")
+    half = F.pmod(F.xxhash64("uid"), F.lit(2))
+    gone = events.filter("kind = 'PersistentVolumeClaim' and name like '%3'").withColumn("id", F.concat(F.lit("d-"), "uid")).withColumn("type", F.lit("DELETE")).withColumn("ts_ns", F.lit(END + MINUTE))
+    store = GraphTables(spark, scratch(spark, "graph"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for n, batch in enumerate((events.filter(half == 1), events.filter(half == 0), gone)):
+        store.apply(batch, n)
+    missing = store.missing_references().select(F.lit("missing").alias("part"), "type", "src", F.concat_ws("/", "kind", "namespace", "name").alias("dst"))
+    return store.tables()["edges"].select(F.lit("edge").alias("part"), "type", "src", "dst").union(missing)
+
+
 @query("SELECT DISTINCT w.src, w.type, w.kind, w.ns AS namespace, w.name FROM v_wanted w LEFT JOIN v_there t ON w.kind = t.kind AND w.ns = t.ns AND w.name = t.name WHERE t.name IS NULL", CLUSTER_SQL)
 def missing_references(spark: SparkSession, d: str) -> DataFrame:
     return edges.missing_references(cluster(spark, d)).select("src", "type", "kind", "namespace", "name")
