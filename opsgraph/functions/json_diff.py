@@ -1,85 +1,147 @@
-"""Structural differences of two JSON documents."""
+"""Structural differences of two JSON documents, as columns.
+
+Both documents become VARIANT once. A row holds the pairs of values that are still to be compared, each with its path; a
+round replaces every pair of objects, and every pair of arrays, by the pairs of their members, and leaves the others as
+they are. There are as many rounds as the flatter document has levels. All of it is expressions on the row's own values,
+so nothing is shuffled, and equal parts are dropped as soon as they are met.
+"""
 
 from __future__ import annotations
 
-import json
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values.
 ARRAY_KEYS = ["name", "containerPort", "port", "type", "key"]
 NOISY = ["metadata.managedFields", "metadata.resourceVersion", "metadata.generation", "metadata.uid", "metadata.creationTimestamp", "status.observedGeneration"]
 NOT_SPEC = ["status", "metadata.managedFields", "metadata.resourceVersion", "metadata.generation", "metadata.uid", "metadata.creationTimestamp"]
+SECTIONS = ["status.conditions", "status.containerStatuses", "status.initContainerStatuses", "metadata.labels", "metadata.annotations"]
+CONDITION_FIELDS = ["status", "reason", "message", "lastTransitionTime"]
+#: Maps and arrays of more entries are shown with their size.
+LARGE = 10
+
+DIFF = "array<struct<path:string,op:string,old:string,new:string>>"
+PAIR = "array<struct<path:string,op:string,old:variant,new:variant,open:boolean>>"
+
+
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value stands once in the expression however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _array(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def document(text: Column) -> Column:
+    """The text as a VARIANT; an empty object if it isn't a JSON object."""
+    v = F.try_parse_json(text)
+    return F.when(_object(v).isNotNull(), v).otherwise(F.parse_json(F.lit("{}")))
+
+
+def levels(v: Column) -> Column:
+    """How deep objects and arrays lie in each other; 0 for a plain value."""
+    plain = F.regexp_replace(F.regexp_replace(F.to_json(v), r"\\.", ""), '"[^"]*"', "")
+    brackets = F.split(F.regexp_replace(plain, r"[^\[\]{}]", ""), "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, b: Column) -> Column:
+        now = s["now"] + F.when(b.isin("{", "["), 1).when(b.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(brackets, zero, step, lambda s: s["most"])
+
+
+def same(old: Column, new: Column) -> Column:
+    """Are two values equal? The order of keys doesn't matter, nor how a number is written."""
+    a, b = F.to_json(old), F.to_json(new)
+    number = lambda t: F.when(t.rlike(r"^-?[0-9]"), t.try_cast("double"))
+    return (a == b) | F.coalesce(number(a) == number(b), F.lit(False))
+
+
+def _pair(path: Column, old: Column, new: Column, has_old: Column, has_new: Column, in_array: bool) -> Column:
+    """A pair to compare: null if the values are equal. Open: its members are to be compared; arrays right in arrays are whole."""
+
+    def made(p: Column) -> Column:
+        both = (p["op"] == "replace") & ~same(p["old"], p["new"])
+        inside = _object(p["old"]).isNotNull() & _object(p["new"]).isNotNull()
+        if not in_array:
+            inside |= _array(p["old"]).isNotNull() & _array(p["new"]).isNotNull()
+        pair = F.struct(p["path"].alias("path"), p["op"].alias("op"), p["old"].alias("old"), p["new"].alias("new"), (both & inside).alias("open"))
+        return F.when((p["op"] != "replace") | both, pair)
+
+    op = F.when(~has_old, "add").when(~has_new, "remove").otherwise("replace")
+    return _with(F.struct(path.alias("path"), op.alias("op"), old.alias("old"), new.alias("new")), made)
 
-DIFF = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("path", "op", "old", "new")]))
 
+def _all_have(items: Column, field: str) -> Column:
+    return (F.size(items) > 0) & F.forall(items, lambda e: F.coalesce(F.map_contains_key(_object(e), field), F.lit(False)))
 
-def _parsed(text: str | None) -> Any:
-    try:
-        return json.loads(text) if text else {}
-    except ValueError:
-        return {}
 
+def _keyed(path: Column, x: Column, y: Column, field: str) -> Column:
+    """The pairs of two arrays' elements by a key field; of elements with the same key the last."""
+    name = lambda e: F.coalesce(F.try_variant_get(e, f"$.{field}", "string"), F.lit("<nil>"))
+    names = lambda items: F.transform(items, name)
+    last = lambda items, k: F.get(F.reverse(F.filter(items, lambda e: name(e) == k)), F.lit(0))
+    label = lambda k: F.concat(path, F.lit(f"[{field}="), k, F.lit("]"))
+    return F.transform(F.array_union(names(x), names(y)), lambda k: _pair(label(k), last(x, k), last(y, k), F.array_contains(names(x), k), F.array_contains(names(y), k), True))
 
-def _key(old: list, new: list) -> str | None:
-    """The first key field that every element of both arrays has."""
-    every = old + new
-    if not every or not all(isinstance(x, dict) for x in every):
-        return None
-    return next((k for k in ARRAY_KEYS if all(k in x for x in every)), None)
 
+def _members(p: Column) -> Column:
+    """The pairs of an open pair's members: of objects by key, of arrays by the first key field that all elements have, else by index."""
+    under = lambda k: F.when(p["path"] == "", k).otherwise(F.concat(p["path"], F.lit("."), k))
+    at = lambda i: F.concat(p["path"], F.lit("["), i.cast("string"), F.lit("]"))
 
-def _walk(path: str, old: Any, new: Any, out: list[tuple]) -> None:
-    if isinstance(old, dict) and isinstance(new, dict):
-        for k in old.keys() | new.keys():
-            _member(f"{path}.{k}" if path else k, old, new, k, out)
-    elif isinstance(old, list) and isinstance(new, list):
-        field = _key(old, new)
-        if field:
-            a, b = ({json.dumps(x[field]).strip('"'): x for x in side} for side in (old, new))
-            for k in a.keys() | b.keys():
-                _member(f"{path}[{field}={k}]", a, b, k, out)
-        else:
-            a, b = (dict(enumerate(side)) for side in (old, new))
-            for k in a.keys() | b.keys():
-                _member(f"{path}[{k}]", a, b, k, out)
-    elif old != new or isinstance(old, bool) != isinstance(new, bool):
-        out.append((path, "replace", old, new))
+    def members(s: Column) -> Column:
+        a, b, x, y = s["a"], s["b"], s["x"], s["y"]
+        of_object = F.transform(F.array_union(F.map_keys(a), F.map_keys(b)), lambda k: _pair(under(k), F.try_element_at(a, k), F.try_element_at(b, k), F.map_contains_key(a, k), F.map_contains_key(b, k), False))
+        places = F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1)
+        of_array = F.transform(places, lambda i: _pair(at(i), F.get(x, i), F.get(y, i), i < F.size(x), i < F.size(y), True))
+        for field in reversed(ARRAY_KEYS):
+            of_array = F.when(_all_have(x, field) & _all_have(y, field), _keyed(p["path"], x, y, field)).otherwise(of_array)
+        return F.when(a.isNotNull(), of_object).otherwise(of_array)
 
+    return _with(F.struct(_object(p["old"]).alias("a"), _object(p["new"]).alias("b"), _array(p["old"]).alias("x"), _array(p["new"]).alias("y")), members)
 
-def _member(path: str, old: dict, new: dict, k: Any, out: list[tuple]) -> None:
-    if k not in old:
-        out.append((path, "add", None, new[k]))
-    elif k not in new:
-        out.append((path, "remove", old[k], None))
-    else:
-        _walk(path, old[k], new[k], out)
 
+def simplified(v: Column) -> Column:
+    """A value as JSON text; maps and arrays of over ten entries with their size."""
+    text = F.to_json(v)
+    large = lambda kind, what, n: F.concat(F.lit(f'{{"_type":"{kind}","{what}":'), n.cast("string"), F.lit(',"_value":'), text, F.lit("}"))
+    keys, items = F.size(_object(v)), F.size(_array(v))
+    return F.when(keys > LARGE, large("object", "_keys", keys)).when(items > LARGE, large("array", "_length", items)).otherwise(text)
 
-def simplified(value: Any) -> Any:
-    """Maps and arrays of over ten entries as a summary."""
-    if isinstance(value, dict) and len(value) > 10:
-        return {"_type": "object", "_keys": len(value)}
-    if isinstance(value, list) and len(value) > 10:
-        return {"_type": "array", "_length": len(value)}
-    return value
 
+def json_diff(old: Column | str, new: Column | str) -> Column:
+    """(path, op add/remove/replace, old, new) sorted by path. What isn't a JSON object counts as an empty one."""
+    a, b = (document(F.col(c) if isinstance(c, str) else c) for c in (old, new))
 
-def diff_rows(old: str | None, new: str | None) -> list[dict]:
-    out: list[tuple] = []
-    _walk("", _parsed(old), _parsed(new), out)
-    text = lambda v, op, skip: None if op == skip else json.dumps(simplified(v), sort_keys=True)
-    return [{"path": p, "op": op, "old": text(a, op, "add"), "new": text(b, op, "remove")} for p, op, a, b in sorted(out, key=lambda x: x[0])]
+    def step(pairs: Column, _: Column) -> Column:
+        opened = F.transform(pairs, lambda p: F.when(p["open"], F.filter(_members(p), lambda m: m.isNotNull()).cast(PAIR)).otherwise(F.array(p).cast(PAIR)))
+        return F.flatten(opened).cast(PAIR)
 
+    def shown(p: Column) -> Column:
+        return F.struct(p["path"].alias("path"), p["op"].alias("op"), F.when(p["op"] != "add", simplified(p["old"])).alias("old"), F.when(p["op"] != "remove", simplified(p["new"])).alias("new"))
 
-@F.pandas_udf(DIFF)
-def json_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """(path, op add/remove/replace, old, new) sorted by path. Text that isn't JSON counts as an empty object."""
-    return pd.Series([diff_rows(a, b) for a, b in zip(old, new, strict=True)])
+    def compared(d: Column) -> Column:
+        start = F.array(F.struct(F.lit("").alias("path"), F.lit("replace").alias("op"), d["a"].alias("old"), d["b"].alias("new"), F.lit(True).alias("open"))).cast(PAIR)
+        rounds = F.sequence(F.lit(1), F.least(levels(d["a"]), levels(d["b"])))
+        return F.when(same(d["a"], d["b"]), F.array().cast(DIFF)).otherwise(F.array_sort(F.transform(F.aggregate(rounds, start, step), shown)).cast(DIFF))
+
+    return _with(F.struct(a.alias("a"), b.alias("b")), compared)
+
+
+def event_diff(old: Column | str, new: Column | str, quiet: bool = True) -> Column:
+    """(snapshot, diffs) of a single event: its own snapshot if there is none before, else the differences, without noise if quiet."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (old, new))
+    diffs = json_diff(a, b)
+    return F.struct(F.when(a.isNull(), b).alias("snapshot"), F.when(a.isNotNull(), without_noise(diffs) if quiet else diffs).alias("diffs"))
 
 
 def _under(path: Column, prefixes: list[str]) -> Column:
@@ -101,16 +163,70 @@ def status_only(diffs: Column) -> Column:
     return F.filter(diffs, lambda d: _under(d["path"], ["status"]))
 
 
+def section(path: Column) -> Column:
+    """The special section that a path lies in, else its first part."""
+    out = F.substring_index(path, ".", 1)
+    for s in SECTIONS:
+        out = F.when((path == s) | path.startswith(f"{s}.") | path.startswith(f"{s}["), s).otherwise(out)
+    return out
+
+
+def shown_value(json: Column) -> Column:
+    """A value in a unified diff: texts and objects cut to 100 characters, arrays as their length."""
+
+    def made(j: Column) -> Column:
+        return _with(F.struct(j.alias("j"), F.try_parse_json(j).alias("v")), lambda s: text(s["j"], s["v"]))
+
+    def text(j: Column, v: Column) -> Column:
+        plain = F.try_variant_get(v, "$", "string")
+        quoted = F.concat(F.lit('"'), F.when(F.length(plain) > 100, F.concat(F.substring(plain, 1, 97), F.lit("..."))).otherwise(plain), F.lit('"'))
+        cut = F.when(F.length(j) > 100, F.concat(F.substring(j, 1, 97), F.lit("..."))).otherwise(j)
+        return F.when(j.isNull(), "null").when(j.startswith('"'), quoted).when(_array(v).isNotNull(), F.concat(F.lit("["), F.size(_array(v)).cast("string"), F.lit(" items]"))).otherwise(cut)
+
+    return made(json)
+
+
+def _condition_lines(d: Column) -> Column:
+    """A status.conditions that was replaced as a whole, by type of condition."""
+    parse = lambda t: _with(F.try_parse_json(t), lambda v: F.coalesce(_array(F.coalesce(F.try_variant_get(v, "$._value", "variant"), v)), F.array().cast("array<variant>")))
+    kind = lambda c: F.try_variant_get(c, "$.type", "string")
+    of = lambda s, k: _object(F.get(F.reverse(F.filter(s, lambda c: kind(c) == k)), F.lit(0)))
+    none = F.array().cast("array<string>")
+
+    def field(name: str, c: Column) -> Column:
+        """The lines of a field of a condition (old, new)."""
+        values = F.struct(*[F.to_json(F.try_element_at(c[x], F.lit(name))).alias(x) for x in ("old", "new")])
+        line = lambda sign, v: F.when(v.isNotNull(), F.concat(F.lit(f"{sign}  {name}: "), shown_value(v)))
+        return _with(values, lambda v: F.when(v["old"].eqNullSafe(v["new"]), none).otherwise(F.array_compact(F.array(line("-", v["old"]), line("+", v["new"])))))
+
+    def block(k: Column, s: Column) -> Column:
+        head = F.array(F.concat(F.lit("@@ status.conditions[type="), k, F.lit("] @@")))
+        found = lambda c: F.concat(*[field(f, c) for f in CONDITION_FIELDS])
+        shown = lambda c: _with(found(c), lambda x: F.when((F.size(x) > 0) | c["old"].isNull() | c["new"].isNull(), F.concat(head, x)).otherwise(none))
+        return _with(F.struct(of(s["a"], k).alias("old"), of(s["b"], k).alias("new")), shown)
+
+    types = lambda s: F.array_sort(F.array_compact(F.array_union(F.transform(s["a"], kind), F.transform(s["b"], kind))))
+    return _with(F.struct(parse(d["old"]).alias("a"), parse(d["new"]).alias("b")), lambda s: F.flatten(F.transform(types(s), lambda k: block(k, s))))
+
+
 def unified_diff(diffs: Column) -> Column:
-    """Text with a section for each first part of the paths, values cut to 100 characters."""
-    cut = lambda v: F.when(F.length(v) > 100, F.concat(F.substring(v, 1, 97), F.lit("..."))).otherwise(v)
-    section = lambda d: F.regexp_extract(d["path"], r"^[^.\[]*", 0)
-    sections = F.array_sort(F.array_distinct(F.transform(diffs, section)))
-
-    def lines(d: Column) -> Column:
-        minus = F.when(d["old"].isNotNull(), F.concat(F.lit("-"), d["path"], F.lit(": "), cut(d["old"])))
-        plus = F.when(d["new"].isNotNull(), F.concat(F.lit("+"), d["path"], F.lit(": "), cut(d["new"])))
+    """Text with a section for each special part, or first part, of the paths; lines end with a line end."""
+
+    def lines(s: Column, d: Column) -> Column:
+        name = F.when(d["path"].startswith(F.concat(s, F.lit("."))), F.substring(d["path"], F.length(s) + 2, F.length(d["path"]))).otherwise(d["path"])
+        minus = F.when(d["op"] != "add", F.concat(F.lit("-  "), name, F.lit(": "), shown_value(d["old"])))
+        plus = F.when(d["op"] != "remove", F.concat(F.lit("+  "), name, F.lit(": "), shown_value(d["new"])))
         return F.array_compact(F.array(minus, plus))
 
-    block = lambda s: F.concat(F.array(F.concat(F.lit("@@ "), s, F.lit(" @@"))), F.flatten(F.transform(F.filter(diffs, lambda d: section(d) == s), lines)))
-    return F.array_join(F.flatten(F.transform(sections, block)), "\n")
+    def block(s: Column, own: Column) -> Column:
+        plain = F.concat(F.array(F.concat(F.lit("@@ "), s, F.lit(" @@"))), F.flatten(F.transform(own, lambda d: lines(s, d))))
+        first = F.get(own, F.lit(0))
+        replaced = (s == "status.conditions") & (F.size(own) == 1) & (first["op"] == "replace") & (first["path"] == s)
+        return F.when(replaced, _condition_lines(first)).otherwise(plain)
+
+    def text(every: Column) -> Column:
+        sections = F.array_sort(F.array_distinct(F.transform(every, lambda d: section(d["path"]))))
+        blocks = F.transform(sections, lambda s: _with(F.filter(every, lambda d: section(d["path"]) == s), lambda own: block(s, own)))
+        return F.when(F.size(every) > 0, F.concat(F.array_join(F.flatten(blocks), "\n"), F.lit("\n"))).otherwise("")
+
+    return _with(diffs, text)

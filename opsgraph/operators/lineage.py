@@ -96,8 +96,8 @@ def label_value(labels: Column, name: str) -> Column:
 
 
 def services(query_rows: DataFrame) -> DataFrame:
-    """(query, service, cluster, namespace) from the labels app, service and job; Unknown without any."""
-    rows = query_rows.withColumn("l", promql(F.col("expr"))["labels"])
+    """(query, service, cluster, namespace) from the labels app, service and job; Unknown without any. Queries with variables have none: their labels may be templates too."""
+    rows = query_rows.withColumn("p", promql(F.col("expr"))).filter(~F.col("p.has_variables")).withColumn("l", F.col("p.labels"))
     named = F.array_distinct(F.array_compact(F.array(*[label_value(F.col("l"), k) for k in SERVICE_LABELS])))
     names = F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("Unknown")))
     return rows.select("query", F.explode(names).alias("service"), F.coalesce(label_value(F.col("l"), "cluster"), F.lit("")).alias("cluster"), F.coalesce(label_value(F.col("l"), "namespace"), F.lit("")).alias("namespace"))

@@ -362,7 +362,7 @@ def detect_changes(spark: SparkSession, d: str) -> DataFrame:
     f"""
     WITH e AS (SELECT * FROM v_events WHERE ts_ns BETWEEN {START} AND {END}),
     n AS (SELECT uid, min(ts_ns) AS from_ns, max(ts_ns) AS to_ns, arg_min(data, (ts_ns, id)) AS a, arg_max(data, (ts_ns, id)) AS b, arg_min(id, (ts_ns, id)) AS ia, arg_max(id, (ts_ns, id)) AS ib FROM e GROUP BY uid)
-    SELECT uid, from_ns, to_ns, '@@ k @@' || chr(10) || '-k: ' || (a::JSON ->> '$.k') || chr(10) || '+k: ' || (b::JSON ->> '$.k') AS diff FROM n WHERE ia <> ib AND (a::JSON ->> '$.k') <> (b::JSON ->> '$.k')
+    SELECT uid, from_ns, to_ns, '@@ k @@' || chr(10) || '-  k: ' || (a::JSON ->> '$.k') || chr(10) || '+  k: ' || (b::JSON ->> '$.k') || chr(10) AS diff FROM n WHERE ia <> ib AND (a::JSON ->> '$.k') <> (b::JSON ->> '$.k')
     """,
     E_SQL,
 )

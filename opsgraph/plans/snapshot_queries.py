@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from opsgraph.functions import status as st
 from opsgraph.functions import validate
 from opsgraph.functions.facts import facts
+from opsgraph.functions.json_diff import json_diff, without_noise
 from opsgraph.functions.stored import scratch
-from opsgraph.operators import anomaly, lineage, significance
+from opsgraph.operators import anomaly, changes, lineage, significance
 from opsgraph.plans import edges, nodes
 from opsgraph.plans.incremental import GraphTables
 from opsgraph.plans.queries import END, query
 from opsgraph.sources.snapshots import CLUSTER_SQL, SNAPSHOTS_SQL, WARNINGS_SQL, cluster, dashboards, resource_snapshots, warning_snapshots
-from opsgraph.sources.views import table
+from opsgraph.sources.views import table, ts_ns
 
 MINUTE = 60_000_000_000
 
@@ -224,6 +225,46 @@ def highest_pattern(spark: SparkSession, d: str) -> DataFrame:
     return significance.highest_pattern(significance.resource_patterns(_differences(spark, d))).select("uid", "id", "type", "severity")
 
 
+@query(
+    """
+    SELECT event_id::VARCHAR AS id, 'u' || user_id AS uid, 'status.phase' AS path, 'ContainerCrashed' AS type, 0.40::DOUBLE AS severity, 'Failed' AS detail FROM v_first WHERE event_type = 'error'
+    UNION ALL SELECT event_id::VARCHAR, 'u' || user_id, 'status.reason', 'PodEvicted', 0.45::DOUBLE, 'Evicted by ' || user_id FROM v_first WHERE event_type IN ('error', 'click') AND user_id % 2 = 0
+    """,
+    "v_first AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) = 1)",
+)
+def snapshot_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Users as pods: what their first events show of a failure; the later ones are differences and show nothing here."""
+    e = table(spark, d, "events")
+    phase = F.when(F.col("event_type") == "error", "Failed").otherwise("Running")
+    reason = F.when(F.col("event_type").isin("error", "click") & (F.col("user_id") % 2 == 0), F.concat(F.lit("Evicted by "), "user_id"))
+    rows = e.select(F.col("event_id").cast("string").alias("id"), F.concat(F.lit("u"), "user_id").alias("uid"), ts_ns(F.col("ts")).alias("ts_ns"), F.to_json(F.struct(F.struct(phase.alias("phase"), reason.alias("reason")).alias("status"))).alias("data"))
+    first = changes.events_to_diffs(rows).filter("snapshot is not null").withColumn("kind", F.lit("Pod"))
+    return significance.snapshot_patterns(first).select("id", "uid", "path", "type", "severity", "detail")
+
+
+@query(
+    """
+    WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, 'l' || l_linenumber || '-' || l_partkey || '-' || round(l_extendedprice * 100)::BIGINT AS m, l_quantity::BIGINT AS q, l_returnflag AS f FROM lineitem)
+    SELECT 'o' || o AS uid, 'spec.items[name=' || m || '].qty' AS path, 'replace' AS op, q::VARCHAR AS old, (q + 1)::VARCHAR AS new FROM l WHERE n % 2 = 0 AND f <> 'R'
+    UNION ALL SELECT 'o' || o, 'spec.items[name=' || m || '].tags[1]', 'add', NULL, '"b"' FROM l WHERE n % 3 = 0 AND f <> 'R'
+    UNION ALL SELECT 'o' || o, 'spec.items[name=' || m || ']', 'remove', '{"name":"' || m || '","qty":' || q || ',"tags":["a"]}', NULL FROM l WHERE f = 'R'
+    UNION ALL SELECT DISTINCT 'o' || o, 'spec.items[name=z]', 'add', NULL, '{"name":"z","qty":0,"tags":[]}' FROM l
+    """
+)
+def nested_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their items in two versions: items that were returned gone, some with another quantity or tag, one more, all in another order."""
+    item = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.concat_ws("-", F.concat(F.lit("l"), "l_linenumber"), "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("m"), F.col("l_quantity").cast("long").alias("q"), F.col("l_returnflag").alias("f"))
+    shape = lambda name, qty, tags: F.struct(name.alias("name"), qty.alias("qty"), tags.alias("tags"))
+    name, a = F.col("m"), F.array(F.lit("a"))
+    before = shape(name, F.col("q"), a)
+    after = F.when(F.col("f") != "R", shape(name, F.col("q") + F.when(F.col("n") % 2 == 0, 1).otherwise(0), F.when(F.col("n") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(a)))
+    more = shape(F.lit("z"), F.lit(0).cast("long"), F.array().cast("array<string>"))
+    docs = item.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(before)).alias("x"), F.reverse(F.array_sort(F.collect_list(after))).alias("y"))
+    spec = lambda items: F.to_json(F.struct(F.struct(items.alias("items")).alias("spec"), F.struct(F.rand().cast("string").alias("resourceVersion")).alias("metadata")))
+    two = docs.select(F.concat(F.lit("o"), "l_orderkey").alias("uid"), spec(F.col("x")).alias("old"), spec(F.concat(F.array(more), "y")).alias("new"))
+    return two.select("uid", F.explode(without_noise(json_diff("old", "new"))).alias("d")).select("uid", "d.*")
+
+
 # --- edges -----------------------------------------------------------------------------------------------------
 
 
@@ -293,7 +334,7 @@ def dashboard_uses(spark: SparkSession, d: str) -> DataFrame:
     return lineage.uses_edges(lineage.queries(dashboards(spark, d)))
 
 
-@query(f"SELECT DISTINCT query, service, cluster, namespace FROM v_uses UNION ALL SELECT 'd' || {_K} || '-1-B', 'Unknown', '', 'n' || ({_K} % 5) FROM part WHERE {_K} % 4 = 0", _USES_SQL)
+@query("SELECT DISTINCT query, service, cluster, namespace FROM v_uses", _USES_SQL)
 def dashboard_services(spark: SparkSession, d: str) -> DataFrame:
     return lineage.services(lineage.queries(dashboards(spark, d)))
 

@@ -172,7 +172,7 @@ def test_namespace_graph(cluster):
     graph_nodes, graph_edges = namespace.namespace_graph(cluster["resources"], cluster["events"].withColumn("status", F.lit("Ready")), cluster["edges"], "ns", 200 * S)
     got = {r["uid"]: r["diff"] for r in graph_nodes.collect()}
     assert {"pod", "cm", "node", "cr"} <= set(got) and "e" not in got
-    assert "+data.k" in got["cm"]
+    assert "+  k: " in got["cm"]
     assert graph_edges.count() == cluster["edges"].count()
     assert "cm" not in {r["uid"] for r in namespace.namespace_symptoms(graph_nodes, graph_nodes, 1).collect()}
 
