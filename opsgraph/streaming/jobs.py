@@ -7,17 +7,20 @@ later than that are left out. Keyed writes take events however late they are.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from opsgraph.plans.incremental import GraphTables
 from opsgraph.operators.logs import aggressive_mask, folded, preprocess, template_id
+from opsgraph.plans.causality import HEURISTICS, MAX_LAG_MS, MS_NS, holds, may
+from opsgraph.plans.incremental import GraphTables
 
 LATE = "10 minutes"
 
@@ -57,12 +60,73 @@ def with_time(events: DataFrame, column: str = "ts_ns", late: str = LATE) -> Dat
     return events.withColumn("ts", F.timestamp_micros(F.floor(F.col(column) / 1000))).withWatermark("ts", late)
 
 
-def triggered_by(causes: DataFrame, effects: DataFrame, max_lag_s: int = 300) -> DataFrame:
-    """(src effect, dst cause, lag_ms) of events in one namespace with 0 < lag <= max_lag, across batches: an interval join of two streams."""
-    c = with_time(causes).select(F.col("id").alias("dst"), F.col("namespace").alias("c_ns"), F.col("ts").alias("c_ts"), F.col("ts_ns").alias("c_at"))
-    e = with_time(effects).select(F.col("id").alias("src"), "namespace", "ts", "ts_ns")
-    inside = (F.col("namespace") == F.col("c_ns")) & (F.col("ts") > F.col("c_ts")) & (F.col("ts") <= F.col("c_ts") + F.expr(f"interval {max_lag_s} seconds"))
-    return c.join(e, inside).select("src", "dst", F.floor((F.col("ts_ns") - F.col("c_at")) / 1_000_000).alias("lag_ms"))
+def _seconds(spark: SparkSession, span: str) -> int:
+    """The length of an interval like `10 minutes`."""
+    return int(spark.range(1).select(F.expr(f"unix_seconds(timestamp'1970-01-01T00:00:00Z' + interval {span})")).first()[0])
+
+
+def without_late(path: str, late: str = LATE) -> Callable[[DataFrame, int], None]:
+    """A batch writer that parts flat events into path/events and path/late_events, where no stateful job would take them any more.
+
+    Late is what came more than `late` behind the newest event of all batches before; path/newest keeps that for each
+    batch, so a batch done again is parted in the same way. A job that reads path/events as a stream and has a watermark
+    of `late` loses nothing: its watermark follows the same events in the same order.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        newest = "n long, newest_ns long"
+        spark.createDataFrame([], newest).write.mode("ignore").parquet(f"{path}/newest")
+        before = spark.read.schema(newest).option("recursiveFileLookup", "true").parquet(f"{path}/newest").filter(F.col("n") < n).agg(F.max("newest_ns")).first()[0]
+        batch = batch.persist()
+        try:
+            behind = F.lit(False) if before is None else F.col("ts_ns") < before - _seconds(spark, late) * 1_000_000_000
+            batch.filter(behind).write.mode("overwrite").parquet(f"{path}/late_events/batch={n}")
+            batch.filter(~behind).write.mode("overwrite").parquet(f"{path}/events/batch={n}")
+            batch.agg(F.lit(n).cast("long").alias("n"), F.max("ts_ns").alias("newest_ns")).write.mode("overwrite").parquet(f"{path}/newest/batch={n}")
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def triggered_by(events: DataFrame, heuristics: list[tuple] = HEURISTICS, max_lag_ms: int = MAX_LAG_MS, least: float = 0.5, late: str = LATE) -> DataFrame:
+    """(src effect, dst cause, confidence, lag_ms, reason) of a stream of flat events, across its batches: infer_causality as interval joins.
+
+    Pairs of one namespace come from one join, which asks all heuristics in order; pairs of a resource with itself, of nodes
+    and of namespaces with what is in them come from one each, if they cross namespaces. So no pair comes twice. Each side
+    is kept for the largest lag beyond the watermark.
+    """
+    width = max_lag_ms * MS_NS
+    rows = with_time(events.select("id", "uid", "kind", "type", "namespace", "name", "ts_ns"), late=late)
+    lag_ns = F.col("e.ts_ns") - F.col("c.ts_ns")
+    lag_ms = F.floor(lag_ns / MS_NS)
+    inside = (F.col("e.ts") >= F.col("c.ts")) & (F.col("e.ts") <= F.col("c.ts") + F.expr(f"interval {max_lag_ms + 1} milliseconds"))
+    other = F.col("c.namespace") != F.col("e.namespace")
+
+    def joined(c: DataFrame, e: DataFrame, on: Column, rules: list[tuple], also: Column = F.lit(True)) -> DataFrame:  # noqa: B008
+        first = F.lit(None).cast("int")
+        for rule in reversed(rules):
+            first = F.when(holds(rule, lag_ms), F.lit(heuristics.index(rule))).otherwise(first)
+        met = c.filter(may(rules, 1)).alias("c").join(e.filter(may(rules, 3)).alias("e"), on & inside).filter((lag_ns > 0) & (lag_ns <= width) & also)
+        return met.select(F.col("e.id").alias("src"), F.col("c.id").alias("dst"), lag_ms.alias("lag_ms"), first.alias("rule")).filter("rule is not null")
+
+    node = [r for r in heuristics if r[5] is False]
+    cascade = [r for r in heuristics if r[0] == "namespace-cascade-delete"]
+    own = [r for r in heuristics if r[0] == "same-resource-transition"]
+    parts = [joined(rows, rows, F.col("c.namespace") == F.col("e.namespace"), heuristics)]
+    if own:
+        parts.append(joined(rows, rows, F.col("c.uid") == F.col("e.uid"), own, other))
+    if node:
+        # Nodes and evictions have no key in common but the time: an effect meets causes of its own slot and the one before.
+        slotted = rows.withColumn("slot", F.floor(F.col("ts_ns") / width))
+        parts.append(joined(slotted.withColumn("slot", F.explode(F.array("slot", F.col("slot") + 1))), slotted, F.col("c.slot") == F.col("e.slot"), node, other))
+    if cascade:
+        parts.append(joined(rows, rows, F.col("c.name") == F.col("e.namespace"), cascade, other))
+    found = reduce(DataFrame.union, parts)
+    name = F.element_at(F.array(*[F.lit(r[0]) for r in heuristics]), F.col("rule") + 1)
+    confidence = F.element_at(F.array(*[F.lit(r[8]) for r in heuristics]), F.col("rule") + 1)
+    return found.select("src", "dst", confidence.alias("confidence"), "lag_ms", name.alias("reason")).filter(F.col("confidence") >= least)
 
 
 DAY_MS = 86_400_000
@@ -130,9 +194,10 @@ def template_counts(logs: DataFrame) -> DataFrame:
     return rows.groupBy("namespace", template_id(F.col("namespace"), F.col("pattern")).alias("id"), "pattern").count()
 
 
-def dirty_namespaces(events: DataFrame, quiet: str = "5 seconds") -> DataFrame:
-    """Each namespace that has events, once for every five seconds of event time."""
-    return with_time(events).groupBy(F.window("ts", quiet), "namespace").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "namespace", "n")
+def dirty_namespaces(events: DataFrame, quiet: str = "5 seconds", late: str = LATE) -> DataFrame:
+    """Each namespace with events (first, last, n), given out once when `quiet` has passed without another one in it."""
+    rows = with_time(events, late=late).groupBy(F.session_window("ts", quiet).alias("w"), "namespace")
+    return rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).select("namespace", "first", "last", "n")
 
 
 def log_histogram(logs: DataFrame, step: str = "1 minute") -> DataFrame:
@@ -144,3 +209,38 @@ def statistics(query: StreamingQuery) -> dict[str, float]:
     """Batches, rows and the last batch's seconds of a query."""
     done = query.recentProgress
     return {"batches": len(done), "rows": sum(p["numInputRows"] for p in done), "last_s": (done[-1]["durationMs"].get("triggerExecution", 0) / 1000) if done else 0.0}
+
+
+class PipelineStatistics(StreamingQueryListener):
+    """Counts over all queries of a session, by name: batches, rows, errors, the newest event time seen and how far the clock is ahead of it.
+
+    Add it with spark.streams.addListener. lag_ms is of the last batch that had events with a time; None before.
+    """
+
+    def __init__(self) -> None:
+        self.of: dict[str, dict[str, Any]] = {}
+        self._names: dict[str, str] = {}
+
+    def _row(self, run: Any) -> dict[str, Any]:
+        return self.of.setdefault(self._names.get(str(run), str(run)), {"batches": 0, "rows": 0, "errors": 0, "last_event": None, "lag_ms": None})
+
+    def onQueryStarted(self, event: Any) -> None:  # noqa: N802
+        self._names[str(event.runId)] = event.name or str(event.id)
+        self._row(event.runId)
+
+    def onQueryProgress(self, event: Any) -> None:  # noqa: N802
+        p, row = event.progress, self._row(event.progress.runId)
+        row["batches"] += 1
+        row["rows"] += p.numInputRows
+        newest = (p.eventTime or {}).get("max")
+        if newest:
+            row["last_event"] = newest
+            at = lambda t: datetime.datetime.fromisoformat(t.replace("Z", "+00:00"))
+            row["lag_ms"] = int((at(p.timestamp) - at(newest)).total_seconds() * 1000)
+
+    def onQueryIdle(self, event: Any) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:  # noqa: N802
+        if event.exception:
+            self._row(event.runId)["errors"] += 1

@@ -170,10 +170,3 @@ def test_stream_writer_and_templates(spark, tmp_path):
     lines = spark.readStream.schema(STREAM).option("recursiveFileLookup", True).json(str(tmp_path / "in")).select("namespace", F.lit("took 5 ms").alias("message"))
     got, _ = collected(jobs.template_counts(lines), tmp_path, "l", "update")
     assert [(r["pattern"], r["count"]) for r in got] == [("took <VAR> ms", 4)]
-
-
-def test_stream_interval_join(spark, tmp_path):
-    s = stream(spark, tmp_path)
-    causes = spark.readStream.schema(STREAM).option("recursiveFileLookup", True).json(str(tmp_path / "in"))
-    got, _ = collected(jobs.triggered_by(causes, s), tmp_path, "j")
-    assert {(r["src"], r["dst"]) for r in got} == {("2", "1"), ("3", "1"), ("3", "2"), ("4", "1"), ("4", "2")}
