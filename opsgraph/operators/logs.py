@@ -233,9 +233,19 @@ def log_overview(logs: DataFrame) -> DataFrame:
     return rows.withColumn("other", F.greatest(F.lit(0).cast("long"), F.col("total") - F.col("errors") - F.col("warnings"))).orderBy(F.desc("errors"), F.desc("total"), "namespace")
 
 
-def log_search(logs: DataFrame, text: str = "", regex: str = "", n: int = 100, **equal: str) -> DataFrame:
-    """The newest n lines (500 at most) that hold the text, match the expression and have the given namespace, pod, container; truncated: there are more."""
+def level(message: Column) -> Column:
+    return F.when(message.rlike(ERROR), "error").when(message.rlike(WARNING), "warning").otherwise("info")
+
+
+def log_search(logs: DataFrame, text: str = "", regex: str = "", n: int = 100, start_ns: int | None = None, end_ns: int | None = None, of_level: str = "", **equal: str) -> DataFrame:
+    """The newest n lines (500 at most) of [start, end) that hold the text, match the expression, and have the level and the given namespace, pod, container; truncated: there are more."""
     n = max(1, min(n, 500))
+    if start_ns is not None:
+        logs = logs.filter(F.col("ts_ns") >= start_ns)
+    if end_ns is not None:
+        logs = logs.filter(F.col("ts_ns") < end_ns)
+    if of_level:
+        logs = logs.filter(level(F.col("message")) == of_level)
     for column, value in equal.items():
         logs = logs.filter(F.col(column) == value)
     if text:
@@ -255,5 +265,4 @@ def log_histogram(logs: DataFrame, step_s: int) -> DataFrame:
 
 def log_aggregate(logs: DataFrame, by: str) -> DataFrame:
     """Lines per namespace, pod, container or level."""
-    level = F.when(F.col("message").rlike(ERROR), "error").when(F.col("message").rlike(WARNING), "warning").otherwise("info")
-    return logs.withColumn("level", level).groupBy(F.col(by).alias("value")).agg(F.count("*").alias("n"))
+    return logs.withColumn("level", level(F.col("message"))).groupBy(F.col(by).alias("value")).agg(F.count("*").alias("n"))

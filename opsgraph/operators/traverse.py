@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsgraph.functions.stored import cut
+from opsgraph.functions.stored import cut, stored
 
 SECOND_NS = 1_000_000_000
 
@@ -29,13 +29,16 @@ def events_of(events: DataFrame, uid: str, start_ns: int, end_ns: int) -> DataFr
 def walk(arcs: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(uid, other, distance): what each start (uid) reaches over arcs (at, next) in at most `hops`, at its least distance; itself at 0.
 
-    A hop joins the resources that the last one found new, and is stored, so each is expanded once and no hop is computed again.
+    A hop joins the resources that the last one found new. The arcs are stored once, and so is every hop but the last, so
+    each resource is expanded once and nothing is computed again.
     """
     arcs = arcs.select("at", "next").distinct()
+    arcs = stored(arcs, "arcs") if hops > 1 else arcs
     seen = front = starts.select("uid", F.col("uid").alias("other"), F.lit(0).alias("distance")).distinct()
     for d in range(1, hops + 1):
         step = front.join(arcs, F.col("other") == F.col("at")).select("uid", F.col("next").alias("other")).distinct()
-        front = cut(step.join(seen, ["uid", "other"], "left_anti").withColumn("distance", F.lit(d)))
+        front = step.join(seen, ["uid", "other"], "left_anti").withColumn("distance", F.lit(d))
+        front = stored(front, "hop") if d < hops else front
         seen = seen.union(front)
     return seen
 

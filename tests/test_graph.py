@@ -67,6 +67,15 @@ def test_edges(cluster):
     assert mounts == {"volumeName": "d", "mountPath": "/d"}
 
 
+def test_an_extractor_that_fails_is_left_out(cluster):
+    def broken(latest):
+        raise ValueError("no")
+
+    with pytest.warns(UserWarning, match="broken left out"):
+        got = ed.build_edges(cluster["latest"], {"broken": broken, "other": lambda latest: latest.select("uid"), "owns": ed.owns})
+    assert found(got) == {("OWNS", "dep", "rs"), ("OWNS", "rs", "pod")}
+
+
 def test_missing_reference(cluster):
     got = [tuple(r[c] for c in ("src", "kind", "name")) for r in ed.missing_references(cluster["latest"]).collect()]
     assert got == [("pod", "Secret", "gone")]

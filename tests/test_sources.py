@@ -6,7 +6,7 @@ import gzip
 import json
 
 import pytest
-from opsgraph.functions import validate
+from opsgraph.functions import stored, validate
 from opsgraph.operators import alerts, lineage, logs, metrics, timeline
 from opsgraph.sources import events as ev
 from opsgraph.streaming import jobs
@@ -134,6 +134,29 @@ def test_alert_helpers(spark):
     assert [r[0] for r in d] == ["< 1m", "5m", "2h 5m", "3d4h"]
 
 
+def test_log_search_by_time_and_level(spark):
+    rows = [("n", "p", "c", t, m) for t, m in enumerate(["level=error a", "level=warn b", "c", "ERROR: d", "e"])]
+    lines = spark.createDataFrame(rows, "namespace string, pod string, container string, ts_ns long, message string")
+    show = lambda **k: [r["ts_ns"] for r in logs.log_search(lines, **k).orderBy(F.desc("ts_ns")).collect()]
+    assert show() == [4, 3, 2, 1, 0] and show(start_ns=1, end_ns=4) == [3, 2, 1]
+    assert show(of_level="error") == [3, 0] and show(of_level="warning") == [1] and show(of_level="info", n=1) == [4]
+
+
+def test_folders_of_a_cluster_have_to_be_shared(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        stored.shared_root(Session())
+    assert stored.shared_root(spark)
+
+
 STREAM = "id string, uid string, namespace string, type string, ts_ns long, data string"
 ROWS = [[("1", "u", "n", "CREATE", 10**9, "a"), ("2", "u", "n", "UPDATE", 2 * 10**9, "a")], [("3", "u", "n", "UPDATE", 3 * 10**9, "b"), ("4", "v", "n", "CREATE", 3 * 10**9, "b")]]
 
