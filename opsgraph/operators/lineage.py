@@ -61,26 +61,48 @@ def replaced(old: DataFrame, fresh: DataFrame, key: str = "dashboard") -> DataFr
     return old.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
+def well_formed(bare: Column) -> Column:
+    """Do the brackets of an expression without strings and comments close in order, and does no operator stand at its end?
+
+    A fold over the brackets with the open ones as a stack; one that doesn't fit stays there for ever.
+    """
+    brackets = F.split(F.regexp_replace(bare, r"[^()\[\]{}]", ""), "")
+
+    def step(open_: Column, b: Column) -> Column:
+        closes = F.when(b == ")", "(").when(b == "]", "[").when(b == "}", "{")
+        popped = F.when(open_.endswith(closes), F.substring(open_, F.lit(1), F.length(open_) - 1)).otherwise(F.concat(open_, F.lit("!")))
+        return F.when(closes.isNotNull(), popped).otherwise(F.concat(open_, b))
+
+    left = F.aggregate(brackets, F.lit(""), step)
+    return (left == "") & ~bare.rlike(r"^\s*$|[-+*/%^=<>!,]\s*$|\b(and|or|unless|by|without|on|ignoring|offset)\s*$")
+
+
 def promql(expr: Column) -> Column:
-    """(metrics, labels, aggregations, functions, has_variables) of a PromQL expression; metrics only where no variable stands in it.
+    """(metrics, labels, aggregations, functions, has_variables, well_formed) of a PromQL expression.
 
-    Strings, label matchers, ranges and grouping lists go first; what names are left are metrics, or functions if `(` follows.
+    Comments, strings, label matchers, ranges, grouping lists and `@` modifiers go first; what names are left are metrics,
+    or functions if `(` follows. No names come of an expression that isn't well formed, and no metrics where a variable
+    stands in it.
     """
-    bare = F.regexp_replace(expr, r"\"(\\.|[^\"\\])*\"|'(\\.|[^'\\])*'", "''")
+    # Strings first, so that a # or a bracket in one is none.
+    bare = F.regexp_replace(F.regexp_replace(expr, r"\"(\\.|[^\"\\])*\"|'(\\.|[^'\\])*'|`[^`]*`", "''"), r"#[^\n]*", " ")
+    bare = F.regexp_replace(bare, r"@\s*(?:start|end)\s*\(\s*\)|@\s*[-+]?[0-9.eE]+", " ")
+    has_variables = expr.rlike(r"\$\w|\$\{|\[\[")
+    fits = well_formed(bare) | has_variables
     selectors = F.regexp_extract_all(expr, F.lit(r"([a-zA-Z_][a-zA-Z0-9_]*)\s*(=~|!~|!=|=)\s*(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')"), F.lit(0))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"\{[^}]*\}", " "), r"\[[^\]]*\]", " "), r"\b(by|without|on|ignoring|group_left|group_right)\s*\([^)]*\)", " ")
     called = F.regexp_extract_all(plain, F.lit(r"\b([a-zA-Z_:][a-zA-Z0-9_:]*)\s*\("), F.lit(1))
     names = F.regexp_extract_all(plain, F.lit(r"(?<![\w:.$])([a-zA-Z_:][a-zA-Z0-9_:]*)\b(?!\s*\()"), F.lit(1))
-    has_variables = expr.rlike(r"\$\w|\$\{|\[\[")
     metrics = F.array_distinct(F.filter(names, lambda n: ~F.lower(n).rlike(f"^({KEYWORDS}|{AGGREGATIONS})$")))
     is_aggregation = lambda c: F.lower(c).rlike(f"^({AGGREGATIONS})$")
     none = F.array().cast("array<string>")
     return F.struct(
-        F.when(has_variables, none).otherwise(metrics).alias("metrics"),
-        selectors.alias("labels"),
-        F.array_distinct(F.filter(called, is_aggregation)).alias("aggregations"),
-        F.array_distinct(F.filter(called, lambda c: ~is_aggregation(c))).alias("functions"),
+        F.when(fits & ~has_variables, metrics).otherwise(none).alias("metrics"),
+        F.when(fits, selectors).otherwise(none).alias("labels"),
+        F.when(fits, F.array_distinct(F.filter(called, is_aggregation))).otherwise(none).alias("aggregations"),
+        F.when(fits, F.array_distinct(F.filter(called, lambda c: ~is_aggregation(c)))).otherwise(none).alias("functions"),
         has_variables.alias("has_variables"),
+        fits.alias("well_formed"),
     )
 
 

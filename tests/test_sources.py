@@ -157,6 +157,27 @@ def test_folders_of_a_cluster_have_to_be_shared(spark, monkeypatch):
     assert stored.shared_root(spark)
 
 
+PROMQL = [
+    ("up # down(x) and more\n + node_load1", ["up", "node_load1"], [], True),
+    ('rate(x{a="#b", c="}"}[5m:1m] offset 1d)', ["x"], ["rate"], True),
+    ("a @ end() / b @ 1609746000 + c @ start ()", ["a", "b", "c"], [], True),
+    ("sum(rate(x[5m])", [], [], False),
+    ("rate(x[5m)]", [], [], False),
+    ("x)", [], [], False),
+    ("a +", [], [], False),
+    ("", [], [], False),
+    ("rate($m[5m])", [], ["rate"], True),
+    ("count_values(`q(`, v)", ["v"], [], True),
+]
+
+
+def test_promql_scans_comments_modifiers_and_brackets(spark):
+    df = spark.createDataFrame([(i, e) for i, (e, *_) in enumerate(PROMQL)], "i int, expr string").select("i", lineage.promql(F.col("expr")).alias("p"))
+    got = {r["i"]: (r["p"]["metrics"], r["p"]["functions"], r["p"]["well_formed"]) for r in df.collect()}
+    for i, (expr, *want) in enumerate(PROMQL):
+        assert got[i] == tuple(want), expr
+
+
 STREAM = "id string, uid string, namespace string, type string, ts_ns long, data string"
 ROWS = [[("1", "u", "n", "CREATE", 10**9, "a"), ("2", "u", "n", "UPDATE", 2 * 10**9, "a")], [("3", "u", "n", "UPDATE", 3 * 10**9, "b"), ("4", "v", "n", "CREATE", 3 * 10**9, "b")]]
 
