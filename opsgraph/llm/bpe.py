@@ -153,8 +153,6 @@ class Transducer:
         data, at = raw(text), offsets(text)
         starts = segment_starts(data, at, self.ends)
         ends = np.append(starts[1:], len(data))[: len(starts)]
-        with np.errstate(over="ignore"):
-            key, check = hashed_runs(data, starts, ends, 1), hashed_runs(data, starts, ends, 2)
         state = np.full(len(starts), -1, np.int32)
         buffer = data.tobytes() if len(data) else b""
         size = ends - starts
@@ -165,12 +163,15 @@ class Transducer:
                 self.long[segment] = int(self._annotate([segment])[0])
             state[i] = self.long[segment]
         short = np.flatnonzero(size <= EXACT)
+        with np.errstate(over="ignore"):
+            key, check = (hashed_runs(data, starts[short], ends[short], seed) for seed in (1, 2))
         while len(short):
-            state[short] = self._reached(key[short], check[short])
-            short = short[state[short] < 0]
+            state[short] = self._reached(key, check)
+            unknown = state[short] < 0
+            short, key, check = short[unknown], key[unknown], check[unknown]
             if len(short):
-                fresh = short[np.unique(key[short], return_index=True)[1]]
-                new = self._annotate([buffer[starts[i] : ends[i]] for i in fresh.tolist()])
+                fresh = np.unique(key, return_index=True)[1]
+                new = self._annotate([buffer[starts[i] : ends[i]] for i in short[fresh].tolist()])
                 self.key[new], self.check[new] = key[fresh], check[fresh]
                 self._place(new)
         return state, np.searchsorted(starts, at)

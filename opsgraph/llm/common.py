@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -119,26 +120,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Runs of more bytes than this are hashed one by one.
+LONG_RUN = 64
+
+
 def hashed_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each run codes[start:end]; codes are small integers. Equal runs hash alike wherever they stand."""
-    table = np.random.Generator(np.random.PCG64(seed)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(table[codes] * powers(base, len(codes)), out=total[1:])
-    back = powers(np.uint64(pow(int(base), -1, 2**64)), len(codes) + 1)
-    out = (total[ends] - total[starts]) * back[starts]
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, SLICE_BYTES + 65536), base, np.uint64)]), dtype=np.uint64)
-        if n <= 8 * SLICE_BYTES:
-            _powers[int(base)] = have
-    return have[:n]
+    """A 64-bit hash of each run of bytes codes[start:end]. Equal runs hash alike wherever they stand; two seeds give independent hashes.
+
+    A run is taken eight bytes a step, each mixed into the hash so far; longer runs than LONG_RUN are BLAKE2b digests.
+    """
+    # Eight bytes from any place on, as one number.
+    padded = np.concatenate([codes, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(codes) + 1,), "<u8", padded, strides=(1,))
+    start_of, step_of = np.random.Generator(np.random.PCG64(seed)).integers(0, 2**63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + start_of)
+    at, left = starts, np.where(size <= LONG_RUN, size, 0)
+    rows = np.arange(len(size))
+    while True:
+        more = left > 0
+        if not more.all():
+            rows, at, left = rows[more], at[more], left[more]
+        if not len(rows):
+            break
+        block = eight[at] << (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64))
+        out[rows] = mix((out[rows] ^ block) * step_of)
+        at, left = at + 8, left - 8
+    for r in np.flatnonzero(size > LONG_RUN).tolist():
+        digest = hashlib.blake2b(codes[starts[r] : ends[r]].tobytes(), digest_size=8, salt=int(seed).to_bytes(8, "little")).digest()
+        out[r] = np.uint64(int.from_bytes(digest, "little"))
+    return out

@@ -1,6 +1,6 @@
 """N-gram Jaccard join with parity sketches.
 
-A document's set is its distinct word shingles, as 64-bit hashes. Each shingle toggles one bit of a long sketch, so the
+A document's set is its distinct word shingles, as 64-bit hashes, which are verified with a second one. Each shingle toggles one bit of a long sketch, so the
 sketches of two sets differ in at most as many bits as the sets differ in members. The sketch is cut into parts; two
 linked sets differ in at most d members, so of L parts at least L - d are equal (pigeonhole). A part's key is an XOR of
 one random word for each toggled bit: equal parts have equal keys.
@@ -16,7 +16,8 @@ Candidates come from keys in three linear steps, none of which can lose a link:
   3. of its keys each set drops the need - 1 that most sets share. Keys have one order for all sets, so of the keys that
      a linked pair shares the rarest is kept by both.
 
-Equal sets are one node of the join, named by the set's digest, so copies are never paired. In a group that shares a key
+Equal sets are one node of the join, so copies are never paired. It is named by a 64-bit digest of the set; should unlike
+sets have the same, which a second digest tells, they are given other names before anything is joined. In a group that shares a key
 all members are paired with one only, first the one that shares most with others; groups that still span several classes
 take another centre next. Pairs pass if sizes and the Hamming distance of short parity sketches, a bit or more for each
 shingle, allow it, and are then verified on the texts. Links found join nodes into classes.
@@ -71,6 +72,12 @@ STAR = 256
 
 def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all rows, row by row and sorted in each; and where each row's begin (one more entry)."""
+    values, _, begin = checked_sets(text, size, check=False)
+    return values, begin
+
+
+def checked_sets(text: pa.Array, size: int, check: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingle_sets with a second, independent hash of each shingle beside the first, all zero unless `check`."""
     data, at = LOWER[raw(text)], offsets(text)
     n = len(text)
     blank = SPACE[data]
@@ -81,32 +88,36 @@ def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(word & ~before)
     after = np.concatenate([word[1:] & ~row_start[1:-1], [False]]) if len(data) else np.zeros(0, bool)
     ends = np.flatnonzero(word & ~after) + 1
-    with np.errstate(over="ignore"):
-        h = hashed_runs(data, starts, ends)
-        first = np.searchsorted(starts, at)  # of each row's words
-        count = np.diff(first)
-        # Rows of fewer words than a shingle, but not none, are one shingle of their own length.
-        short = np.flatnonzero((count > 0) & (count < size))
-        total = max(0, len(h) - size + 1)
+    first = np.searchsorted(starts, at)  # of each row's words
+    count = np.diff(first)
+    # Rows of fewer words than a shingle, but not none, are one shingle of their own length.
+    short = np.flatnonzero((count > 0) & (count < size))
+    total = max(0, len(starts) - size + 1)
+    owner = np.repeat(np.arange(n), count)
+    inside = owner[:total] == owner[size - 1 :] if total else np.zeros(0, bool)
+
+    def hashed(seed: int) -> np.ndarray:
+        """A hash of every shingle, then of every short row."""
+        h = hashed_runs(data, starts, ends, seed)
         value = np.zeros(total, np.uint64)
         for k in range(size):
             value = mix(value * np.uint64(0x9E3779B97F4A7C15) + h[k : k + total])
-        owner = np.repeat(np.arange(n), count)
-        inside = owner[:total] == owner[size - 1 :] if total else np.zeros(0, bool)
-        extra = []
-        for r in short:
-            v = np.full(1, np.uint64(count[r]))
-            for k in range(first[r], first[r + 1]):
-                v = mix(v * np.uint64(0x9E3779B97F4A7C15) + h[k : k + 1])
-            extra.append(v[0])
-    value = np.concatenate([value[inside], np.array(extra, np.uint64)])
+        few = count[short].astype(np.uint64)
+        for k in range(size - 1):
+            more = np.flatnonzero(count[short] > k)
+            few[more] = mix(few[more] * np.uint64(0x9E3779B97F4A7C15) + h[first[short[more]] + k])
+        return np.concatenate([value[inside], few])
+
+    with np.errstate(over="ignore"):
+        value = hashed(1)
+        second = hashed(2) if check else np.zeros(len(value), np.uint64)
     owner = np.concatenate([owner[:total][inside], short])
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
+    order = np.lexsort((second, value, owner)) if check else np.lexsort((value, owner))
+    value, second, owner = value[order], second[order], owner[order]
     keep = np.ones(len(value), bool)
-    keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    value, owner = value[keep], owner[keep]
-    return value, np.searchsorted(owner, np.arange(n + 1))
+    keep[1:] = (value[1:] != value[:-1]) | (second[1:] != second[:-1]) | (owner[1:] != owner[:-1])
+    value, second, owner = value[keep], second[keep], owner[keep]
+    return value, second, np.searchsorted(owner, np.arange(n + 1))
 
 
 def set_digest(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,13 +228,13 @@ def _lists(flat: pa.Array, sizes: list[int]) -> pa.Array:
 def _sketches(size: int, num: int, den: int, shingle_bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document; of equal sets only the first of a task carries keys."""
-        posted_: set[int] = set()
+        posted_: set[tuple[int, int]] = set()
         for batch in slices(batches):
             values, begin = shingle_sets(filled(batch), size)
             node, check = (d.view(np.int64) for d in set_digest(values, begin))
             known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             bands: list[list[tuple[int, np.ndarray]]] = []
-            for r, d in enumerate(node.tolist()):
+            for r, d in enumerate(zip(node.tolist(), check.tolist(), strict=True)):
                 fresh = known[r] and begin[r] < begin[r + 1] and d not in posted_
                 bands.append(sketch_keys(values[begin[r] : begin[r + 1]], num, den) if fresh else [])
                 posted_.add(d) if fresh else None
@@ -257,25 +268,26 @@ def _difference(centre: np.ndarray, own: np.ndarray, a: int, b: int, num: int, d
 def _stars(size: int, num: int, den: int, differences: bool) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by star (a, salt), its centre first. Links (a, b) of members to the centre go out, or for each member the keys of its difference."""
-        star, centre = None, np.zeros(0, np.uint64)
+        star, centre, its = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for frame in batches:
             if frame.empty:
                 continue
-            values, begin = shingle_sets(pa.array(frame["text"], pa.string()), size)
-            node = set_digest(values, begin)[0].view(np.int64)
-            a, salt, b = (frame[c].to_numpy() for c in ("a", "salt", "b"))
+            values, second, begin = checked_sets(pa.array(frame["text"], pa.string()), size)
+            digest = set_digest(values, begin)[1].view(np.int64)
+            a, salt, b, named = (frame[c].to_numpy() for c in ("a", "salt", "b", "digest"))
             out: list[tuple] = []
             for r in range(len(frame)):
-                own = values[begin[r] : begin[r + 1]]
-                if node[r] != b[r]:  # another text than the node's
+                own, also = values[begin[r] : begin[r + 1]], second[begin[r] : begin[r + 1]]
+                if digest[r] != named[r]:  # another text than the node's
                     continue
                 if a[r] == b[r]:
-                    star, centre = (a[r], salt[r]), own
+                    star, centre, its = (a[r], salt[r]), own, also
                 elif star == (a[r], salt[r]):
                     if differences:
                         out.extend(_difference(centre, own, a[r], b[r], num, den))
                         continue
-                    common = len(np.intersect1d(centre, own, assume_unique=True))
+                    _, i, j = np.intersect1d(centre, own, assume_unique=True, return_indices=True)
+                    common = int(np.count_nonzero(its[i] == also[j]))
                     if den * common >= num * (len(centre) + len(own) - common) and common:
                         out.append((a[r], b[r]))
             if differences:
@@ -294,7 +306,7 @@ def starred(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int, d
     pieces = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("long").alias("pieces"))
     salted = saved(pairs.join(pieces, "a").select("a", F.pmod("b", "pieces").alias("salt"), "b"), "pairs")
     routes = salted.union(salted.select("a", "salt", F.col("a").alias("b")).distinct())
-    rows = routes.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
+    rows = routes.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "digest", "text")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", (F.col("b") != F.col("a")), "b")
     return rows.mapInPandas(_stars(size, num, den, differences), "node long, band long, role int, need int, keys array<long>" if differences else "a long, b long")
@@ -328,21 +340,35 @@ def shared_keys(posts: DataFrame) -> DataFrame:
     return kept
 
 
+def told_apart(made: DataFrame) -> DataFrame:
+    """The stored sketches with an own node for every set: where sets of unlike digests have one node, all but the least digest's get another."""
+    while True:
+        unlike = made.groupBy("node").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least < most")
+        unlike = saved(unlike.select("node", "least"), "unlike")
+        if not unlike.limit(1).count():
+            discard(unlike)
+            return made
+        other = F.when(F.col("digest") > F.col("least"), F.xxhash64("node", "digest")).otherwise(F.col("node"))
+        renamed = saved(made.join(unlike, "node", "left").withColumn("node", other).select(*made.columns), "sketches")
+        discard(made, unlike)
+        made = renamed
+
+
 def grouped(docs: DataFrame, size: int, num: int, den: int, shingle_bits: int) -> DataFrame:
     """similar_groups with text_hash: a row is known by doc_id and the hash of its text, as a doc_id may repeat with other texts."""
     source = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("text_hash"))
     row = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, node long, digest long, bits array<long>, bands array<struct<need:int,keys:array<long>>>"
-    made = saved(source.mapInArrow(_sketches(size, num, den, shingle_bits), row), "sketches")
+    made = told_apart(saved(source.mapInArrow(_sketches(size, num, den, shingle_bits), row), "sketches"))
     posts = made.select("node", F.posexplode("bands").alias("band", "own")).select("node", F.col("band").cast("long").alias("band"), "own.need", F.explode("own.keys").alias("key"))
     kept = shared_keys(posts)
     sets = saved(made.select("doc_id", "text_hash", "n_shingles", "node"), "sets")
     first_doc = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("node", "row.doc_id", "row.text_hash")
     nodes = saved(first_doc, "nodes")
     held = kept.select("node").distinct()
-    traits = made.filter(F.size("bands") > 0).join(held, "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    traits = made.filter(F.size("bands") > 0).join(held, "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("digest").alias("digest"))
     traits = saved(traits, "traits")
     discard(made)
-    texts = nodes.join(traits.select("node"), "node", "left_semi").join(source, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+    texts = nodes.join(traits.select("node", "digest"), "node").join(source, ["doc_id", "text_hash"]).select("node", "digest", "text").dropDuplicates(["node"])
     texts = saved(texts, "texts", "zstd")
     label = saved(traits.select("node", F.col("node").alias("component")), "labels")
     x, y = traits.alias("x"), traits.alias("y")
