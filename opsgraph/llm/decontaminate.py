@@ -5,8 +5,9 @@ the words around the position. A phrase is looked up from its rarest terms: thei
 offset in the phrase, are intersected on (row, start); what is left is compared word by word with the posting's context.
 
 The index is dealt by document, as the tokens are stored: building it moves no rows, and only postings of terms that
-some phrase has among its rarest ones are taken when a term list is given. A term list is broadcast up to
-BROADCAST_TERMS rows, else joined by a shuffle.
+some phrase has among its rarest ones are taken. The rarest places are dealt into blocks of about BLOCK_BYTES, whatever
+their number; each block in turn is broadcast and met with the tokens, so more phrases mean more passes over the tokens
+by one and the same plan, and no word passes a shuffle but those of postings met.
 
 Null and empty texts have no words. Row identity is an own id, so repeated rows and null or repeated ids stay apart.
 Extra columns are ignored.
@@ -14,6 +15,8 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +24,10 @@ from opsgraph.llm.common import lower_ascii, saved
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Largest term list that is sent to every executor; a row has a word and an id, about 100 bytes.
-BROADCAST_TERMS = 200_000
+#: About the most bytes of terms and phrases that are sent to every executor at a time.
+BLOCK_BYTES = 32 << 20
+#: What a row of a block takes beside its words.
+ROW_BYTES = 100
 
 
 def words(text: Column) -> Column:
@@ -36,29 +41,48 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return saved(rows, "tokens")
 
 
-def _sized(terms: DataFrame) -> DataFrame:
-    """terms, marked for broadcast if it has few enough rows."""
-    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+def in_blocks(rows: DataFrame, size: Column, most: int | None = None) -> list[DataFrame]:
+    """Stored rows, dealt by a hash into parts that hold at most about `most` bytes each by `size`; a larger row is a part of its own or nearly so.
+
+    Sizes are counted: parts are doubled until the largest fits, or until each row could have one.
+    """
+    most = BLOCK_BYTES if most is None else most
+    size = size + ROW_BYTES
+    n, total, largest = rows.select(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    parts, part = max(1, -(-total // most)), F.pmod(F.xxhash64(*rows.columns), F.lit(1))
+    while parts > 1:
+        part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+        if parts >= n or rows.groupBy(part).agg(F.sum(size).alias("s")).agg(F.max("s")).first()[0] <= max(2 * most, largest):
+            break
+        parts *= 2
+    return [rows.filter(part == k) if parts > 1 else rows for k in range(parts)]
 
 
 def term_counts(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how often each of `terms` (term) stands in the tokens; partial counts come before the shuffle."""
-    return tokens.select(F.explode("words").alias("term")).join(_sized(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n): how often each of the stored `terms` (term) stands in the tokens; partial counts come before the shuffle."""
+    blocks = in_blocks(terms, F.octet_length("term"))
+    counted = [tokens.select(F.explode("words").alias("term")).join(F.broadcast(block), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")) for block in blocks]
+    return reduce(DataFrame.union, counted)
+
+
+def build_index(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Postings (term, rid, pos) of all terms, or of the stored `terms` (term)."""
+    rows = tokens.select("rid", F.posexplode("words").alias("pos", "term")).select("term", "rid", "pos")
+    if terms is None:
+        return rows
+    return reduce(DataFrame.union, [rows.join(F.broadcast(block), "term", "left_semi") for block in in_blocks(terms, F.octet_length("term"))])
 
 
-def build_index(tokens: DataFrame, terms: DataFrame | None = None, context: int = 0) -> DataFrame:
-    """Postings (term, rid, pos, from_pos, near) of all terms, or of `terms` (term); near: the words from from_pos to pos + context.
+def postings_met(tokens: DataFrame, lead: DataFrame) -> DataFrame:
+    """(rid, win, start, rank, n) of the postings of each phrase's rarest terms, shifted by the term's offset; lead as of rarest_terms, of about BLOCK_BYTES.
 
-    With `terms` beyond BROADCAST_TERMS the context is left out, since it would pass a shuffle with every word.
+    Postings of the rarest term are kept where the words around them are the phrase's.
     """
-    if terms is None or terms.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
-        rows = tokens.select("rid", F.posexplode("words").alias("pos", "term"))
-        rows = rows if terms is None else rows.join(terms, "term", "left_semi")
-        return rows.select("term", "rid", "pos", F.lit(None).cast("int").alias("from_pos"), F.lit(None).cast("array<string>").alias("near"))
-    rows = tokens.select("rid", "words", F.posexplode("words").alias("pos", "term")).join(F.broadcast(terms), "term", "left_semi")
-    start = F.greatest(F.col("pos") - context, F.lit(0))
-    near = F.slice("words", start + 1, F.col("pos") + context + 1 - start) if context else F.lit(None).cast("array<string>")
-    return rows.select("term", "rid", "pos", start.alias("from_pos"), near.alias("near"))
+    lead = lead.select("term", "win", "off", "rank", F.size("phrase").alias("n"), F.when(F.col("rank") == 1, F.col("phrase")).alias("phrase"))
+    rows = tokens.select("rid", "words", F.posexplode("words").alias("pos", "term")).join(F.broadcast(lead), "term")
+    rows = rows.withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0")
+    same = F.slice("words", F.col("start") + 1, F.col("n")) == F.col("phrase")
+    return rows.filter((F.col("rank") > 1) | same).select("rid", "win", "start", "rank", "n")
 
 
 def phrase_table(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -82,31 +106,22 @@ def rarest_terms(phrases: DataFrame, counts: DataFrame, leads: int) -> DataFrame
 def phrase_matches(tokens: DataFrame, phrases: DataFrame, leads: int = 2) -> DataFrame:
     """Exact occurrences (rid, win, start, n) of phrases (win, phrase) in the tokens.
 
-    The posting lists of each phrase's rarest terms are intersected; the survivors' other words are compared with the
-    context of the rarest term's posting, or, without context, with the lists of all terms.
+    The posting lists of each phrase's rarest terms are intersected; the rarest term's are those whose context is the phrase.
     """
-    longest = phrases.select(F.max(F.size("phrase"))).first()[0] or 1
-    vocabulary = phrases.select(F.explode("phrase").alias("term")).distinct()
+    vocabulary = saved(phrases.select(F.explode("phrase").alias("term")).distinct(), "vocabulary")
     counts = saved(term_counts(tokens, vocabulary), "counts")
     lead = saved(rarest_terms(phrases, counts, leads), "leads")
-    terms = lead.select("term").distinct()
-    local = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    if not local:
-        lead, terms = saved(rarest_terms(phrases, counts, longest), "leads"), vocabulary
-    index = build_index(tokens, terms, longest - 1)
-    found = index.join(_sized(lead), "term").withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0")
-    if local:  # a start at which the rarest term's own context differs can't be an occurrence
-        at = F.col("start") - F.col("from_pos") + 1
-        found = found.filter((F.col("rank") > 1) | (F.slice("near", F.greatest(at, F.lit(1)), F.size("phrase")) == F.col("phrase")))
-    met = found.groupBy("rid", "win", "start").agg(F.count_distinct("rank").alias("met"), F.min("rank").alias("first"), F.first(F.size("phrase")).alias("n"))
-    return met.filter((F.col("first") == 1) & (F.col("met") == (F.least(F.col("n"), F.lit(leads)) if local else F.col("n")))).select("rid", "win", "start", "n")
+    size = F.octet_length("term") + F.octet_length("win") + F.when(F.col("rank") == 1, F.octet_length(F.concat_ws("", "phrase"))).otherwise(F.lit(0))
+    found = [saved(postings_met(tokens, block), "postings") for block in in_blocks(lead, size)]
+    met = reduce(DataFrame.union, found).groupBy("rid", "win", "start").agg(F.count_distinct("rank").alias("met"), F.min("rank").alias("first"), F.first("n").alias("n"))
+    return met.filter((F.col("first") == 1) & (F.col("met") == F.least(F.col("n"), F.lit(leads)))).select("rid", "win", "start", "n")
 
 
 def proximity_matches(tokens: DataFrame, phrases: DataFrame, slop: int = 5) -> DataFrame:
     """(rid, win, pos): places of a phrase's rarest term that have all its other terms, in any order, within size + slop words on either side."""
     places = phrases.select("win", F.size("phrase").alias("n"), F.explode(F.array_distinct("phrase")).alias("term"))
-    terms = places.select("term").distinct()
-    index = saved(build_index(tokens, terms).select("term", "rid", "pos"), "postings")
+    terms = saved(places.select("term").distinct(), "terms")
+    index = saved(build_index(tokens, terms), "postings")
     counts = index.groupBy("term").agg(F.count("*").alias("c"))
     order = Window.partitionBy("win").orderBy(F.col("c").asc_nulls_first(), "term")
     places = saved(places.join(counts, "term", "left").withColumn("rank", F.row_number().over(order)), "places")

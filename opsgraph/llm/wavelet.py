@@ -162,6 +162,8 @@ def _shards(path: str, end_id: int, shard: int) -> Callable:
 
         for batch in slices(batches):
             coded, at = coder.coded(filled(batch))
+            if len(coded) and int(coded.max()) >> LEVELS:
+                raise ValueError(f"token id {int(coded.max())} needs more than {LEVELS} bit-planes")
             # Every document gets its end id: each of its tokens moves by the documents before it.
             size = np.diff(at) + 1
             at = at + np.arange(len(at))
@@ -186,7 +188,9 @@ def _shards(path: str, end_id: int, shard: int) -> Callable:
 
 
 def write(docs: DataFrame, path: str, end_id: int = 0, shard: int = SHARD) -> DataFrame:
-    """The stored shards of docs, for the tokenizers file at `path`; ids must fit 16 bits."""
+    """The stored shards of docs, for the tokenizers file at `path`. An id that doesn't fit into LEVELS bits is an error."""
+    if not 0 <= end_id < 1 << LEVELS:
+        raise ValueError(f"end id {end_id} needs more than {LEVELS} bit-planes")
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from opsgraph.llm import decontaminate, exact_dedup, jaccard, langid, mixing, secret_scan, suffix_dedup, token_count, url_filter, wavelet
+from opsgraph.llm.common import hashed_runs, saved
 from opsgraph.llm.components import components
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -84,13 +85,26 @@ def test_contamination(spark, docs, empty):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d, x in want.items() if not x[4]}
 
 
-def test_phrase_index_without_context(spark, docs, monkeypatch):
+def test_phrase_index_in_blocks(spark, docs, monkeypatch):
+    """Many blocks give what one gives; a single row beyond the bound is no fault."""
     bench = spark.createDataFrame([(0, BASE[1]), (1, BASE[5])], "item_id long, text string")
     tokens = decontaminate.token_rows(docs)
     phrases, _ = decontaminate.phrase_table(bench)
-    near = {tuple(r) for r in decontaminate.phrase_matches(tokens, phrases).collect()}
-    monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", 3)
-    assert {tuple(r) for r in decontaminate.phrase_matches(tokens, phrases).collect()} == near and near
+    near = sorted(map(tuple, decontaminate.phrase_matches(tokens, phrases).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
+    assert sorted(map(tuple, decontaminate.phrase_matches(tokens, phrases).collect())) == near and near
+
+
+def test_blocks_hold_every_row_once(spark):
+    rows = saved(spark.createDataFrame([(f"w{i}" * (1 + i % 7),) for i in range(500)] + [("long" * 5000,)], "term string"), "terms")
+    size = F.octet_length("term")
+    for most in (1 << 30, 5000, 150):
+        parts = decontaminate.in_blocks(rows, size, most)
+        held = [[r["term"] for r in p.collect()] for p in parts[:12]] if most < 5000 else [[r["term"] for r in p.collect()] for p in parts]
+        if most >= 5000:
+            assert sorted(t for p in held for t in p) == sorted(r["term"] for r in rows.collect())
+        assert all(sum(len(t) + decontaminate.ROW_BYTES for t in p) <= max(2 * most, 20100) for p in held)
+    assert len(decontaminate.in_blocks(rows.limit(0), size)) == 1
 
 
 def test_proximity(spark):
@@ -432,6 +446,37 @@ def test_jaccard_join(spark, empty, size, num):
     assert jaccard.similar_groups(empty, size, num, 100).count() == 0
 
 
+def test_hashed_runs():
+    """Equal runs hash alike wherever they stand, unlike ones don't; a Thue-Morse word and its complement would agree under any sum of powers modulo 2**64."""
+    morse = bytes(97 + i.bit_count() % 2 for i in range(2048))
+    rng = random.Random(3)
+    runs = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, n))) for n in (4, 9, 17, 66, 200) for _ in range(200)]
+    runs += [morse, bytes(195 - x for x in morse), morse[:64], bytes(195 - x for x in morse[:64]), b"\0", b"\0\0", b"", b"a" * 64, b"a" * 65]
+    data = np.frombuffer(b"x".join(runs), np.uint8)
+    ends = np.cumsum([len(r) + 1 for r in runs]) - 1
+    starts = ends - np.array([len(r) for r in runs])
+    with np.errstate(over="ignore"):
+        one, two = (hashed_runs(data, starts, ends, seed).tolist() for seed in (1, 2))
+    for got in (one, two):
+        assert len(set(got)) == len(set(runs)) == len(set(zip(runs, got, strict=True)))
+    assert not set(one) & set(two)
+
+
+def test_jaccard_words_of_two_letters(spark):
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    texts = [morse, other, "other", f"{morse} b c d e f", f"{other} b c d e f", morse]
+    got = by_id(jaccard.similar_groups(frame(spark, texts)))
+    assert [got[i][1] for i in range(6)] == [0, 1, 2, 3, 4, 0]
+
+
+def test_jaccard_nodes_of_unlike_sets(spark):
+    """Sets that one 64-bit name would merge get names of their own; equal sets keep a common one."""
+    rows = spark.createDataFrame([(0, 5, 1), (1, 5, 1), (2, 5, 9), (3, 5, 9), (4, 5, 4), (5, 6, 9)], "doc_id long, node long, digest long")
+    name = {r["doc_id"]: r["node"] for r in jaccard.told_apart(saved(rows, "sketches")).collect()}
+    assert name[0] == name[1] == 5 and name[2] == name[3] and name[5] == 6 and len(set(name.values())) == 4
+
+
 def test_jaccard_null_ids(spark):
     rows = jaccard.similar_groups(frame(spark, [BASE[0], BASE[0], BASE[0], ""], [None, 7, 7, None])).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in rows) == [(0, 0), (0, 0), (7, 7), (7, 7)]
@@ -514,3 +559,8 @@ def test_linked_sets_share_as_many_keys_as_they_need(num, den):
             (need_a, keys_a), (need_b, keys_b) = x[0], y[large - small]
             assert len(set(keys_a.tolist()) & set(keys_b.tolist())) >= max(need_a, need_b)
     assert checked > 60
+
+
+def test_token_ids_that_need_more_planes(spark, docs):
+    with pytest.raises(ValueError, match="bit-planes"):
+        wavelet.write(docs, PATH, end_id=1 << 16)
