@@ -201,3 +201,22 @@ def test_nothing_to_find(spark):
     assert causal.causal_paths(*frame[:3], frame[3].limit(0)).count() == 0
     assert causal.causal_paths(*frame[:2], frame[2].limit(0), frame[3]).count() == 0
     assert causal.causal_paths(frame[0].limit(0), *frame[1:]).count() == 0
+
+
+def test_harmless_neighbours_of_a_hub_are_not_walked(spark, monkeypatch):
+    """200 config maps of a hub without anything upstream: only the one that changed is stored by a step."""
+    edges = [("OWNS", "hub", "pod")] + [("REFERENCES_SPEC", "hub", f"cm{i}") for i in range(200)]
+    resources = [("pod", "Pod"), ("hub", "HelmRelease")] + [(f"cm{i}", "ConfigMap") for i in range(200)]
+    anomalies = [("pod", "State", "CrashLoopBackOff", "critical", T * S, ""), ("cm7", "Change", "ImageChanged", "high", (T - 60) * S, "")]
+    stored, cut = [], causal.cut
+
+    def counted(df):
+        if "emit" in df.columns:
+            stored.append(df.count())
+        return cut(df)
+
+    monkeypatch.setattr(causal, "cut", counted)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = causal.causal_paths(frame(edges, "type string, src string, dst string"), frame(resources, "uid string, kind string"), frame(anomalies, "uid string, category string, type string, severity string, ts_ns long, summary string"), frame([("i", "pod", T * S)], "incident_id string, uid string, t_ns long"))
+    assert [(r["root"], len(r["path"])) for r in got.collect()] == [("cm7", 3)]
+    assert max(stored) == 1
