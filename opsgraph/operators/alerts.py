@@ -72,18 +72,26 @@ def state_distribution(moves: DataFrame, start_ns: int, end_ns: int) -> DataFram
 def rolling_baseline(moves: DataFrame, as_of_ns: int, days: int = 7) -> DataFrame:
     """(alert, mean, stddev, n_days) of the firing share of the last whole days; none with under 24 hours of history.
 
-    Each interval is put on the days it touches, so an alert's work grows with its transitions and days only.
+    Each interval is put on the days it touches, so an alert's work grows with its transitions and days only. Sums and
+    squares of nanoseconds are whole numbers, so neither the order of days nor how a half is written decides the sixth
+    decimal; halves go up.
     """
     start = as_of_ns - days * DAY_NS
     rows = _with_start(moves, as_of_ns, start).filter(F.col("b_ns") > start)
     first, last = F.greatest(F.lit(0), F.floor((F.col("a_ns") - start) / DAY_NS)), F.least(F.lit(days - 1), F.floor((F.col("b_ns") - 1 - start) / DAY_NS))
     each = rows.filter("state = 'firing'").select("alert", "a_ns", "b_ns", F.explode(F.sequence(first, last)).alias("day"))
     day = F.lit(start) + F.col("day") * DAY_NS
-    firing = each.withColumn("held", F.least("b_ns", day + DAY_NS) - F.greatest("a_ns", day)).groupBy("alert", "day").agg((F.sum("held") / DAY_NS).alias("share"))
+    held = F.least("b_ns", day + DAY_NS) - F.greatest("a_ns", day)
+    firing = each.withColumn("held", held).groupBy("alert", "day").agg(F.sum("held").alias("held"))
     grid = moves.filter(F.col("ts_ns") < as_of_ns).groupBy("alert").agg(F.min("ts_ns").alias("first")).filter(F.col("first") <= as_of_ns - DAY_NS)
-    grid = grid.select("alert", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("day"))
-    shares = grid.join(firing, ["alert", "day"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-    return shares.groupBy("alert").agg(F.round(F.avg("share"), 6).alias("mean"), F.round(F.stddev_samp("share"), 6).alias("stddev"), F.count("*").alias("n_days"))
+    whole = F.coalesce("held", F.lit(0)).cast("decimal(18,0)")
+    rows = grid.join(firing, "alert", "left").groupBy("alert").agg(F.sum(F.coalesce("held", F.lit(0))).alias("total"), F.sum(whole * whole).alias("squares"))
+    # Shares in millionths: a day has 86,400,000 ns for each.
+    millionth = DAY_NS // 1_000_000
+    mean = F.expr(f"(2 * total + {days * millionth}) div {2 * days * millionth}") / 1_000_000
+    spread = F.col("squares") * days - F.col("total").cast("decimal(18,0)") * F.col("total").cast("decimal(18,0)")
+    stddev = F.floor(F.sqrt(spread.cast("double") / (days * (days - 1))) / millionth + 0.5) / 1_000_000
+    return rows.select("alert", mean.alias("mean"), (stddev if days > 1 else F.lit(None).cast("double")).alias("stddev"), F.lit(days).cast("long").alias("n_days"))
 
 
 def deviation(current: Column, mean: Column, stddev: Column) -> Column:
