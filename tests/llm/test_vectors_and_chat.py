@@ -108,6 +108,22 @@ def test_chat_long_conversations_go_on_in_a_window(spark):
     assert chat.stable(chat.formatted(talk(spark, rows), numbered, window=64)).count() == 50
 
 
+def remembering(messages):
+    """Every 30th turn tells what the first one said."""
+    return "".join(f"{m['role']}:{m['text']}{' since ' + messages[0]['text'] if i % 30 == 29 else ''};" for i, m in enumerate(messages))
+
+
+@pytest.mark.parametrize("template", [numbered, remembering])
+def test_chat_templates_that_look_back_lose_no_turn(spark, template):
+    """Pieces of a long conversation are those of the whole, whatever the window."""
+    rows = [(1, t, ["user", "assistant"][t % 2], f"turn {t}") for t in range(150)]
+    got = chat.formatted(talk(spark, rows), template, window=8)
+    own = got.orderBy("nth").collect()
+    assert "".join(r["piece"] for r in own) + own[-1]["tail"] == template([{"role": r[2], "text": r[3]} for r in rows])
+    assert all(r["piece"][r["content_start"] : r["content_end"]] == f"turn {r['nth'] - 1}" for r in own if r["trained"] and r["nth"] % 30)
+    assert chat.stable(got, context_free=False).count() == 150
+
+
 def test_chat_empty(spark):
     assert chat.report(chat.formatted(talk(spark, []))).collect() == []
 
