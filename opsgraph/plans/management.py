@@ -76,12 +76,23 @@ def manages(managers: DataFrame, resources: DataFrame, owns: DataFrame, least: f
 
 def creates_observed(certificates: DataFrame, secrets: DataFrame, least: float = 0.5, window_s: int = 300) -> DataFrame:
     """CREATES_OBSERVED from a certificate (uid, namespace, name, secret_name, ts_ns) to the secret (uid, namespace, name, first_ns) it issues."""
-    c, s = certificates.alias("c"), secrets.alias("s")
+    width = window_s * SECOND_NS
     lag = F.col("s.first_ns") - F.col("c.ts_ns")
-    named = (F.col("s.name") == F.col("c.secret_name")) | F.col("s.name").startswith(F.col("c.name"))
-    score = F.when(F.col("s.name") == F.col("c.secret_name"), 0.5).otherwise(0.2) + 0.2 + F.when(lag.between(0, window_s * SECOND_NS), 0.3 * (1 - lag / (window_s * SECOND_NS))).otherwise(0.0)
-    rows = c.join(s, (F.col("c.namespace") == F.col("s.namespace")) & named)
-    return rows.select(F.lit("CREATES_OBSERVED").alias("type"), F.col("c.uid").alias("src"), F.col("s.uid").alias("dst"), score.alias("confidence")).filter(F.col("confidence") >= least)
+    same = F.coalesce(F.col("s.name") == F.col("c.secret_name"), F.lit(False))
+    score = F.when(same, 0.5).otherwise(0.2) + 0.2 + F.when(lag.between(0, width), 0.3 * (1 - lag / width)).otherwise(0.0)
+    shown = F.lit("CREATES_OBSERVED").alias("type"), F.col("c.uid").alias("src"), F.col("s.uid").alias("dst"), score.alias("confidence")
+    space = F.col("c.namespace") == F.col("s.namespace")
+    # By the name that the certificate gives, and by names that begin with its own, of which each beginning is a key.
+    named = secrets.alias("s").join(certificates.alias("c"), space & (F.col("s.name") == F.col("c.secret_name"))).select(*shown)
+    begun = secrets.withColumn("beginning", F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))))
+    on = space & (F.col("c.name") == F.col("s.beginning"))
+    lengths = certificates.select(F.length("name").alias("n")).distinct()
+    begun = begun.join(F.broadcast(lengths), F.length("beginning") == F.col("n"), "left_semi")
+    if least > 0.2 + 0.2:  # then only a secret of the window can count: time is cut into slots of its length
+        begun, certificates = begun.withColumn("slot", F.floor(F.col("first_ns") / width)), certificates.withColumn("slot", F.explode(F.array(*[F.floor(F.col("ts_ns") / width) + i for i in (0, 1)])))
+        on &= (F.col("c.slot") == F.col("s.slot")) & lag.between(0, width)
+    rows = named.union(begun.alias("s").join(certificates.alias("c"), on & ~same).select(*shown))
+    return rows.filter(F.col("confidence") >= least)
 
 
 def revalidated(edges: DataFrame, resources: DataFrame, as_of_ns: int) -> DataFrame:
