@@ -1,9 +1,11 @@
 """Structural differences of two JSON documents, as columns.
 
-Both documents become VARIANT once. A row holds the pairs of values that are still to be compared, each with its path; a
-round replaces every pair of objects, and every pair of arrays, by the pairs of their members, and leaves the others as
-they are. There are as many rounds as the flatter document has levels. All of it is expressions on the row's own values,
-so nothing is shuffled, and equal parts are dropped as soon as they are met.
+Both documents become VARIANT once. A row holds the pairs of values that are still open, each with its path and its members;
+a round replaces every pair of objects, and every pair of arrays, by the pairs of their members, and sets aside those that
+differ as a whole. Writing a VARIANT's text is dear (each key and each string in it costs microseconds), so texts are
+written of what is shown, of plain values other than strings, and of arrays right in arrays only. A round that has nothing
+open does nothing, and there are as many as the text with fewer brackets has. All of it is expressions on the row's own
+values, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ CONDITION_FIELDS = ["status", "reason", "message", "lastTransitionTime"]
 LARGE = 10
 
 DIFF = "array<struct<path:string,op:string,old:string,new:string>>"
-PAIR = "array<struct<path:string,op:string,old:variant,new:variant,open:boolean>>"
+#: Values of which one is null if the other side alone has one.
+MEMBER = "struct<path:string,old:variant,new:variant>"
+#: Values whose members are to be compared, with those: of objects x and y, of arrays u and v.
+OPEN = "struct<path:string,old:variant,new:variant,x:map<string,variant>,y:map<string,variant>,u:array<variant>,v:array<variant>,open:boolean>"
+STATE = f"struct<open:array<{OPEN}>,done:array<{MEMBER}>>"
 
 
 def _with(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -41,100 +47,106 @@ def _array(v: Column) -> Column:
 
 def document(text: Column) -> Column:
     """The text as a VARIANT; an empty object if it isn't a JSON object."""
-    v = F.try_parse_json(text)
-    return F.when(_object(v).isNotNull(), v).otherwise(F.parse_json(F.lit("{}")))
+    return _with(F.try_parse_json(text), lambda v: F.when(_object(v).isNotNull(), v).otherwise(F.parse_json(F.lit("{}"))))
 
 
-def levels(v: Column) -> Column:
-    """How deep objects and arrays lie in each other; 0 for a plain value."""
-    plain = F.regexp_replace(F.regexp_replace(F.to_json(v), r"\\.", ""), '"[^"]*"', "")
-    brackets = F.split(F.regexp_replace(plain, r"[^\[\]{}]", ""), "")
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(s: Column, b: Column) -> Column:
-        now = s["now"] + F.when(b.isin("{", "["), 1).when(b.isin("}", "]"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
-
-    return F.aggregate(brackets, zero, step, lambda s: s["most"])
+def brackets(text: Column) -> Column:
+    """How many brackets are opened in a text, those in strings too: objects and arrays don't lie deeper in each other. At least 1."""
+    return F.greatest(F.length(text) - F.length(F.translate(text, "{[", "")), F.lit(1))
 
 
 def same(old: Column, new: Column) -> Column:
     """Are two values equal? The order of keys doesn't matter, nor how a number is written."""
-    a, b = F.to_json(old), F.to_json(new)
+    kind, plain = F.schema_of_variant, lambda v: F.try_variant_get(v, "$", "string")
     number = lambda t: F.when(t.rlike(r"^-?[0-9]"), t.try_cast("double"))
-    return (a == b) | F.coalesce(number(a) == number(b), F.lit(False))
-
-
-def _pair(path: Column, old: Column, new: Column, has_old: Column, has_new: Column, in_array: bool) -> Column:
-    """A pair to compare: null if the values are equal. Open: its members are to be compared; arrays right in arrays are whole."""
+    texts = lambda s: (s["a"] == s["b"]) | F.coalesce(number(s["a"]) == number(s["b"]), F.lit(False))
+    return F.when((kind(old) == "STRING") & (kind(new) == "STRING"), plain(old) == plain(new)).otherwise(_with(F.struct(F.to_json(old).alias("a"), F.to_json(new).alias("b")), texts))
 
-    def made(p: Column) -> Column:
-        both = (p["op"] == "replace") & ~same(p["old"], p["new"])
-        inside = _object(p["old"]).isNotNull() & _object(p["new"]).isNotNull()
-        if not in_array:
-            inside |= _array(p["old"]).isNotNull() & _array(p["new"]).isNotNull()
-        pair = F.struct(p["path"].alias("path"), p["op"].alias("op"), p["old"].alias("old"), p["new"].alias("new"), (both & inside).alias("open"))
-        return F.when((p["op"] != "replace") | both, pair)
 
-    op = F.when(~has_old, "add").when(~has_new, "remove").otherwise("replace")
-    return _with(F.struct(path.alias("path"), op.alias("op"), old.alias("old"), new.alias("new")), made)
+def _pairs(members: Column, in_array: Column) -> Column:
+    """Members (path, old, new) that differ or whose own members may differ (open), with the latter. Arrays right in arrays are whole."""
+    both = lambda m: m["old"].isNotNull() & m["new"].isNotNull()
+    inside = lambda m: F.struct(*[m[c].alias(c) for c in ("path", "old", "new")], *[F.when(both(m), f(m[c])).alias(k) for k, f, c in (("x", _object, "old"), ("y", _object, "new"), ("u", _array, "old"), ("v", _array, "new"))])
+    is_open = lambda m: (m["x"].isNotNull() & m["y"].isNotNull()) | (m["u"].isNotNull() & m["v"].isNotNull() & ~in_array)
+    typed = F.transform(F.transform(members, inside), lambda m: F.struct(*[m[c].alias(c) for c in ("path", "old", "new", "x", "y", "u", "v")], is_open(m).alias("open")))
+    one_has = lambda m, a, b: m[a].isNotNull() != m[b].isNotNull()
+    return F.filter(typed, lambda m: m["open"] | ~both(m) | one_has(m, "x", "y") | one_has(m, "u", "v") | ~same(m["old"], m["new"]))
 
 
-def _all_have(items: Column, field: str) -> Column:
-    return (F.size(items) > 0) & F.forall(items, lambda e: F.coalesce(F.map_contains_key(_object(e), field), F.lit(False)))
+def _member(path: Column, old: Column, new: Column) -> Column:
+    return F.struct(path.alias("path"), old.alias("old"), new.alias("new"))
 
 
-def _keyed(path: Column, x: Column, y: Column, field: str) -> Column:
-    """The pairs of two arrays' elements by a key field; of elements with the same key the last."""
-    name = lambda e: F.coalesce(F.try_variant_get(e, f"$.{field}", "string"), F.lit("<nil>"))
-    names = lambda items: F.transform(items, name)
-    last = lambda items, k: F.get(F.reverse(F.filter(items, lambda e: name(e) == k)), F.lit(0))
-    label = lambda k: F.concat(path, F.lit(f"[{field}="), k, F.lit("]"))
-    return F.transform(F.array_union(names(x), names(y)), lambda k: _pair(label(k), last(x, k), last(y, k), F.array_contains(names(x), k), F.array_contains(names(y), k), True))
+def _keys(x: Column, y: Column) -> Column:
+    """(field, x, y): the first key field that all elements of both arrays have, and its values in order; null if there is none."""
+    has = lambda items, field: F.forall(items, lambda e: F.try_variant_get(e, f"$.{field}", "variant").isNotNull())
+    names = lambda items, field: F.transform(items, lambda e: F.coalesce(F.try_variant_get(e, f"$.{field}", "string"), F.lit("<nil>")))
+    out = None
+    for field in ARRAY_KEYS:
+        fits, keys = has(x, field) & has(y, field), F.struct(F.lit(field).alias("field"), names(x, field).alias("x"), names(y, field).alias("y"))
+        out = F.when(fits, keys) if out is None else out.when(fits, keys)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), out)
 
 
 def _members(p: Column) -> Column:
-    """The pairs of an open pair's members: of objects by key, of arrays by the first key field that all elements have, else by index."""
+    """The pairs of an open pair's members: of objects by key, of arrays by the first key field that all elements have (of elements with the same key the last), else by index."""
     under = lambda k: F.when(p["path"] == "", k).otherwise(F.concat(p["path"], F.lit("."), k))
     at = lambda i: F.concat(p["path"], F.lit("["), i.cast("string"), F.lit("]"))
 
-    def members(s: Column) -> Column:
-        a, b, x, y = s["a"], s["b"], s["x"], s["y"]
-        of_object = F.transform(F.array_union(F.map_keys(a), F.map_keys(b)), lambda k: _pair(under(k), F.try_element_at(a, k), F.try_element_at(b, k), F.map_contains_key(a, k), F.map_contains_key(b, k), False))
-        places = F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1)
-        of_array = F.transform(places, lambda i: _pair(at(i), F.get(x, i), F.get(y, i), i < F.size(x), i < F.size(y), True))
-        for field in reversed(ARRAY_KEYS):
-            of_array = F.when(_all_have(x, field) & _all_have(y, field), _keyed(p["path"], x, y, field)).otherwise(of_array)
-        return F.when(a.isNotNull(), of_object).otherwise(of_array)
+    def of_array(s: Column) -> Column:
+        """s: both arrays in reverse order and their keys, so that the last of a key is met first."""
+        field, x, y = s["keys"]["field"], s["keys"]["x"], s["keys"]["y"]
+        label = lambda k: F.concat(p["path"], F.lit("["), field, F.lit("="), k, F.lit("]"))
+        first = lambda items, keys, k: F.get(items, (F.array_position(keys, k) - 1).cast("int"))
+        keyed = F.transform(F.array_union(x, y), lambda k: _member(label(k), first(s["u"], x, k), first(s["v"], y, k)))
+        places = F.sequence(F.lit(0), F.greatest(F.size(s["u"]), F.size(s["v"])) - 1)
+        placed = F.transform(places, lambda i: _member(at(i), F.get(s["u"], F.size(s["u"]) - 1 - i), F.get(s["v"], F.size(s["v"]) - 1 - i)))
+        empty = (F.size(s["u"]) == 0) & (F.size(s["v"]) == 0)
+        return F.when(empty, F.array().cast(f"array<{MEMBER}>")).when(s["keys"].isNotNull(), keyed).otherwise(placed)
 
-    return _with(F.struct(_object(p["old"]).alias("a"), _object(p["new"]).alias("b"), _array(p["old"]).alias("x"), _array(p["new"]).alias("y")), members)
+    x, y = p["x"], p["y"]
+    objects = F.transform(F.array_union(F.map_keys(x), F.map_keys(y)), lambda k: _member(under(k), F.try_element_at(x, k), F.try_element_at(y, k)))
+    reversed_ = F.struct(F.reverse(p["u"]).alias("u"), F.reverse(p["v"]).alias("v"))
+    arrays = _with(_with(reversed_, lambda s: F.struct(s["u"].alias("u"), s["v"].alias("v"), _keys(s["u"], s["v"]).alias("keys"))), of_array)
+    return _pairs(F.when(x.isNotNull(), objects).otherwise(arrays), x.isNull())
 
 
 def simplified(v: Column) -> Column:
     """A value as JSON text; maps and arrays of over ten entries with their size."""
-    text = F.to_json(v)
-    large = lambda kind, what, n: F.concat(F.lit(f'{{"_type":"{kind}","{what}":'), n.cast("string"), F.lit(',"_value":'), text, F.lit("}"))
-    keys, items = F.size(_object(v)), F.size(_array(v))
-    return F.when(keys > LARGE, large("object", "_keys", keys)).when(items > LARGE, large("array", "_length", items)).otherwise(text)
+
+    def text(t: Column) -> Column:
+        large = lambda kind, what, n: F.concat(F.lit(f'{{"_type":"{kind}","{what}":'), n.cast("string"), F.lit(',"_value":'), t, F.lit("}"))
+        keys, items = F.size(_object(v)), F.size(_array(v))
+        long = F.length(t) > 2 * LARGE  # each entry has a character and a comma at least
+        return F.when(~long, t).when(t.startswith("{") & (keys > LARGE), large("object", "_keys", keys)).when(t.startswith("[") & (items > LARGE), large("array", "_length", items)).otherwise(t)
+
+    return F.when(v.isNotNull(), _with(F.to_json(v), text))
 
 
 def json_diff(old: Column | str, new: Column | str) -> Column:
     """(path, op add/remove/replace, old, new) sorted by path. What isn't a JSON object counts as an empty one."""
-    a, b = (document(F.col(c) if isinstance(c, str) else c) for c in (old, new))
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (old, new))
 
-    def step(pairs: Column, _: Column) -> Column:
-        opened = F.transform(pairs, lambda p: F.when(p["open"], F.filter(_members(p), lambda m: m.isNotNull()).cast(PAIR)).otherwise(F.array(p).cast(PAIR)))
-        return F.flatten(opened).cast(PAIR)
+    def step(s: Column, _: Column) -> Column:
+        found = F.flatten(F.transform(s["open"], _members))
+        whole = lambda f: F.transform(F.filter(f, lambda p: ~p["open"]), lambda p: _member(p["path"], p["old"], p["new"]))
+        dealt = _with(found, lambda f: F.struct(F.filter(f, lambda p: p["open"]).alias("open"), F.concat(s["done"], whole(f)).alias("done")))
+        return F.when(F.size(s["open"]) > 0, dealt).otherwise(s)
 
     def shown(p: Column) -> Column:
-        return F.struct(p["path"].alias("path"), p["op"].alias("op"), F.when(p["op"] != "add", simplified(p["old"])).alias("old"), F.when(p["op"] != "remove", simplified(p["new"])).alias("new"))
+        op = F.when(p["old"].isNull(), "add").when(p["new"].isNull(), "remove").otherwise("replace")
+        return F.struct(p["path"].alias("path"), op.alias("op"), simplified(p["old"]).alias("old"), simplified(p["new"]).alias("new"))
 
     def compared(d: Column) -> Column:
-        start = F.array(F.struct(F.lit("").alias("path"), F.lit("replace").alias("op"), d["a"].alias("old"), d["b"].alias("new"), F.lit(True).alias("open"))).cast(PAIR)
-        rounds = F.sequence(F.lit(1), F.least(levels(d["a"]), levels(d["b"])))
-        return F.when(same(d["a"], d["b"]), F.array().cast(DIFF)).otherwise(F.array_sort(F.transform(F.aggregate(rounds, start, step), shown)).cast(DIFF))
-
-    return _with(F.struct(a.alias("a"), b.alias("b")), compared)
+        none = F.lit(None).cast("array<variant>")
+        root = F.struct(F.lit("").alias("path"), d["v"].alias("old"), d["w"].alias("new"), _object(d["v"]).alias("x"), _object(d["w"]).alias("y"), none.alias("u"), none.alias("v"), F.lit(True).alias("open"))
+        start = F.struct(F.array(root).alias("open"), F.array().alias("done")).cast(STATE)
+        rounds = F.sequence(F.lit(1), F.coalesce(F.least(brackets(d["a"]), brackets(d["b"])), F.lit(1)))
+        return F.array_sort(F.transform(F.aggregate(rounds, start, step, lambda s: s["done"]), shown)).cast(DIFF)
+
+    texts = F.struct(a.alias("a"), b.alias("b"))
+    documents = lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), document(t["a"]).alias("v"), document(t["b"]).alias("w"))
+    return _with(texts, lambda t: F.when(t["a"].eqNullSafe(t["b"]), F.array().cast(DIFF)).otherwise(_with(documents(t), compared)))
 
 
 def event_diff(old: Column | str, new: Column | str, quiet: bool = True) -> Column:

@@ -143,3 +143,18 @@ def test_categories_of_reordered_documents(spark):
     rows = [(str(i), "u", i, json.dumps(d)) for i, d in enumerate(docs)]
     got = changes.change_categories(spark.createDataFrame(rows, "id string, uid string, ts_ns long, data string")).orderBy("id").collect()
     assert [tuple(r)[3:] for r in got] == [(False,) * 4, (False,) * 4, (False, False, True, True)]
+
+
+def test_texts_are_written_of_few_values(spark):
+    df = spark.createDataFrame([("{}", "{}")], "old string, new string").select(jd.json_diff("old", "new"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator") <= 4
+
+
+def test_keys_that_repeat_and_brackets_in_texts(spark):
+    item = lambda *names: json.dumps({"a": [{"name": n, "v": i} for i, n in enumerate(names)]})
+    deep = lambda v: json.dumps({"a": {"b": [{"name": "[[{", "c": [{"port": 1, "d": {"e": v}}]}]}, "t": "{[" * 50})
+    got = rows_of(spark, [(item("x", "y", "x"), item("y", "x")), (deep(1), deep("1")), ('{"a": [[1, 2], [3]]}', '{"a": [[1, 2], [4]]}'), ('{"a": {}}', '{"a": []}'), ('{"a": []}', '{"a": []} '), ('{"a": [{"name": null}]}', '{"a": [{"name": null, "b": 1}]}')])
+    assert got[0] == [("a[name=x].v", "replace", "2", "1"), ("a[name=y].v", "replace", "1", "0")]
+    assert got[1] == [("a.b[name=[[{].c[port=1].d.e", "replace", "1", '"1"')]
+    assert got[2] == [("a[1]", "replace", "[3]", "[4]")] and got[3] == [("a", "replace", "{}", "[]")] and got[4] == []
+    assert got[5] == [("a[name=<nil>].b", "add", None, "1")]
