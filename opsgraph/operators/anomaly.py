@@ -1,6 +1,7 @@
 """Anomaly detectors: functions from a window's events to rows (uid, kind, category, type, severity, ts_ns, summary).
 
-`Window` rows: `changes` are change events (id, uid, kind, ts_ns, event_type, status, issues, config_changed, data),
+`Window` rows: `changes` are change events (id, uid, kind, ts_ns, event_type, status, issues, config_changed, data, and
+facts if they are parsed already),
 `warnings` are warning events (id, uid, kind, ts_ns, reason, message, type, count), `diffs` difference rows of the
 changes (uid, kind, id, ts_ns, path, op, old, new). A detector is a projection or one aggregation, so all are a union.
 """
@@ -97,9 +98,14 @@ def repeated(w: Seen, least: int = 3) -> DataFrame:
     return found(rows, "Event", "RepeatedEvent", F.concat_ws(" ", "reason", F.lit("in"), "n", F.lit("events,"), "total", F.lit("times")), F.lit(w.end_ns))
 
 
+def _facts(rows: DataFrame) -> Column:
+    """The facts of the rows' snapshots: a column of theirs if there is one, else parsed from data."""
+    return F.col("facts") if "facts" in rows.columns else facts(F.col("data"))
+
+
 def container_states(w: Seen) -> DataFrame:
     """Issues of containers, and failing init containers."""
-    f = facts(F.col("data"))
+    f = _facts(w.changes)
     rows = w.changes.filter("kind = 'Pod'").withColumn("f", f)
     issues = rows.select("uid", "kind", "ts_ns", F.explode(container_issues(F.col("f"))).alias("i"))
     of_type = F.when(F.col("i.type").isin("CrashLoopBackOff", "ImagePullBackOff", "ErrImagePull", "OOMKilled"), F.col("i.type"))
@@ -118,14 +124,14 @@ def pod_phases(w: Seen) -> DataFrame:
     """Failed, evicted and unschedulable pods, and pods pending for five minutes."""
     phase, reason = part(F.col("data"), "status.phase"), part(F.col("data"), "status.reason")
     pods = w.changes.filter("kind = 'Pod'").withColumn("phase", phase).withColumn("reason", reason)
-    f = condition(facts(F.col("data")), "PodScheduled")
+    f = condition(_facts(w.changes), "PodScheduled")
     kind = F.when(F.col("reason") == "Evicted", "Evicted").when(F.col("phase") == "Failed", "PodFailed").when((f["status"] == "False") & (f["reason"] == "Unschedulable"), "Unschedulable")
     waits = pods.filter("phase = 'Pending'").groupBy("uid", "kind").agg(F.min("ts_ns").alias("a"), F.max("ts_ns").alias("ts_ns")).filter(F.col("ts_ns") - F.col("a") >= 5 * MINUTE_NS)
     return found(pods, "State", kind, F.concat_ws(": ", "phase", "reason")).union(found(waits, "State", "PodPending", "pending for over five minutes"))
 
 
 def node_conditions(w: Seen) -> DataFrame:
-    rows = w.changes.filter("kind = 'Node'").select("uid", "kind", "ts_ns", F.explode(facts(F.col("data"))["status"]["conditions"]).alias("c"))
+    rows = w.changes.filter("kind = 'Node'").select("uid", "kind", "ts_ns", F.explode(_facts(w.changes)["status"]["conditions"]).alias("c"))
     on = F.col("c.status") == "True"
     kind = F.when((F.col("c.type") == "Ready") & ~on, "NodeNotReady").when((F.col("c.type") == "DiskPressure") & on, "DiskPressure").when((F.col("c.type") == "MemoryPressure") & on, "NodeMemoryPressure").when((F.col("c.type") == "PIDPressure") & on, "NodePIDPressure")
     return found(rows, "State", kind, F.concat_ws(": ", "c.type", "c.reason"))
@@ -154,7 +160,7 @@ def endpoints(w: Seen) -> DataFrame:
 
 
 def gitops(w: Seen) -> DataFrame:
-    rows = w.changes.filter(F.col("kind").isin("HelmRelease", "Kustomization")).select("uid", "kind", "ts_ns", F.explode(facts(F.col("data"))["status"]["conditions"]).alias("c"))
+    rows = w.changes.filter(F.col("kind").isin("HelmRelease", "Kustomization")).select("uid", "kind", "ts_ns", F.explode(_facts(w.changes)["status"]["conditions"]).alias("c"))
     off = F.col("c.status") == "False"
     reasons = F.col("c.reason").isin("ReconciliationFailed", "BuildFailed", "HealthCheckFailed", "DependencyNotReady")
     bad = off & (F.col("c.type").isin("Ready", "Released") | ((F.col("c.type") == "Reconciling") & reasons))
@@ -212,7 +218,7 @@ def flapping(w: Seen, least: int = 3) -> DataFrame:
 
 
 def restarts(w: Seen, most: int = 3) -> DataFrame:
-    n = F.array_max(F.transform(facts(F.col("data"))["status"]["containerStatuses"], lambda c: c["restartCount"]))
+    n = F.array_max(F.transform(_facts(w.changes)["status"]["containerStatuses"], lambda c: c["restartCount"]))
     from_diffs = w.diffs.filter(F.col("path").endswith("restartCount")).select("uid", "kind", "ts_ns", F.col("new").try_cast("int").alias("n"))
     rows = w.changes.select("uid", "kind", "ts_ns", n.alias("n")).union(from_diffs).groupBy("uid", "kind").agg(F.max("n").alias("n"), F.max("ts_ns").alias("ts_ns"))
     return found(rows.filter(F.col("n") > most), "Frequency", "HighRestartCount", F.concat_ws(" ", "n", F.lit("restarts")))

@@ -126,3 +126,11 @@ def test_resource_patterns(spark):
     ]
     score = spark.range(1).select(significance.event_significance(F.lit(True), F.lit(True), F.lit(True), F.lit(0.5), F.lit(1), F.lit(True), F.lit("DELETE"))["score"]).first()[0]
     assert score == pytest.approx(0.9)
+
+
+def test_detectors_share_what_they_read(spark, sf_dir):
+    from opsgraph.plans.snapshot_queries import snapshot_anomalies
+
+    df = snapshot_anomalies(spark, sf_dir)
+    assert not [f for f in df.inputFiles() if "events.parquet" in f]
+    assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
