@@ -211,3 +211,16 @@ def test_detectors_by_kind(spark):
     assert not {t for _, t, _ in got} & set(rules.BENIGN_REASONS)
     certs = spark.createDataFrame([("c", "Certificate", json.dumps({"status": {"notAfter": "2024-01-01T00:00:00Z"}}))], "uid string, kind string, data string")
     assert anomaly.expired_certificates(certs, 1_800_000_000 * S).count() == 1 and anomaly.expired_certificates(certs, S).count() == 0
+
+
+def test_own_extractors_give_each_edge_once_without_grouping(spark):
+    owner = lambda controller: {"uid": "o", "kind": "ReplicaSet", "controller": controller}
+    env = lambda *names: [{"configMapRef": {"name": n}} for n in names]
+    pod = {"metadata": {"ownerReferences": [owner(True), owner(False)]}, "spec": {"containers": [{"envFrom": env("a", "b", "a")}], "volumes": [{"name": "v", "configMap": {"name": "a"}}]}}
+    rows = [("p", "Pod", "n", "p", json.dumps(pod)), ("ca", "ConfigMap", "n", "a", "{}"), ("cb", "ConfigMap", "n", "b", "{}")]
+    latest = spark.createDataFrame(rows, "uid string, kind string, namespace string, name string, data string")
+    edges = ed.build_edges(latest)
+    assert "min_by(props" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["type"], r["src"], r["dst"], r["props"].get("controller"), r["props"].get("fieldPath")) for r in edges.collect())
+    grouped = sorted((r["type"], r["src"], r["dst"], r["props"].get("controller"), r["props"].get("fieldPath")) for r in ed.build_edges(latest, {**ed.EXTRACTORS, "more": ed.owns}).collect())
+    assert got == grouped == [("OWNS", "o", "p", "false", None), ("REFERENCES_SPEC", "p", "ca", None, "spec.containers.envFrom[0]"), ("REFERENCES_SPEC", "p", "cb", None, "spec.containers.envFrom[1]")]
