@@ -16,15 +16,23 @@ DASHBOARD_FIELDS = f"uid string, title string, version long, tags array<string>,
 FRAME = "struct<schema:struct<fields:array<struct<name:string,type:string,labels:map<string,string>,config:struct<unit:string>>>>,data:struct<values:array<array<double>>>>"
 
 
-def read_documents(spark: SparkSession, path: str, bad: bool = False) -> DataFrame:
-    """Files of one JSON document {"events": [...]} each, below a folder or a single one, plain or compressed; `bad`: the names of files that aren't."""
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each file below a folder; the folder is listed here, once."""
     reader = spark.read.schema(f"events array<{EVENT}>, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True)
-    files = reader.json(path).withColumn("file", F.input_file_name())
+    return reader.json(path).withColumn("file", F.input_file_name())
+
+
+def _documents(files: DataFrame, bad: bool = False) -> DataFrame:
     if bad:
         return files.filter("events is null").select("file").distinct()
     return files.filter("events is not null").select("file", F.explode("events").alias("e")).select("file", "e.*")
 
 
+def read_documents(spark: SparkSession, path: str, bad: bool = False) -> DataFrame:
+    """Files of one JSON document {"events": [...]} each, below a folder or a single one, plain or compressed; `bad`: the names of files that aren't."""
+    return _documents(_files(spark, path), bad)
+
+
 def read_event_batch(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """(valid events, number of invalid ones) of one document; an empty or unreadable one is an error."""
     rows = read_documents(spark, path).drop("file")
@@ -36,10 +44,11 @@ def read_event_batch(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
 
 def read_event_dir(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(valid events of all *.json files below a folder, names of files that can't be read); all bad is an error."""
-    rows = read_documents(spark, path).filter(F.lower("file").rlike(r"\.json(\.gz|\.deflate)?$"))
+    files = _files(spark, path)
+    rows = _documents(files).filter(F.lower("file").rlike(r"\.json(\.gz|\.deflate)?$"))
     if not rows.limit(1).count():
         raise ValueError(f"no readable events below {path}")
-    return enrich(rows.filter(import_ok()).drop("file")), read_documents(spark, path, bad=True)
+    return enrich(rows.filter(import_ok()).drop("file")), _documents(files, bad=True)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -68,14 +77,19 @@ def export_events(events: DataFrame, start_ns: int, end_ns: int, path: str) -> N
 
 
 def export_documents(events: DataFrame, start_ns: int, end_ns: int, path: str, most: int = 10_000) -> None:
-    """The events of a window as documents {"events": [...]} that read_events reads: for each hour as many files as it has `most` events, gzipped."""
+    """The events of a window as documents {"events": [...]} that read_events reads: for each hour as many files as it has `most` events, gzipped.
+
+    An hour's folder has its files side by side, one for each row, and tasks put their own files in place, so the driver
+    neither makes a folder nor moves a file for each document.
+    """
     hour = F.floor(F.col("timestamp") / 3_600_000_000_000)
     inside = events.filter(F.col("timestamp").between(start_ns, end_ns)).withColumn("hour", hour)
     files = inside.groupBy("hour").agg(F.ceil(F.count("*") / most).alias("files"))
     dealt = inside.join(files, "hour").withColumn("part", F.pmod(F.xxhash64("id", "timestamp"), F.col("files")))
     fields = ["timestamp", "id", "type", "resource", "data", "dataSize", "compressedSize"]
     documents = dealt.groupBy("hour", "part").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("events"))
-    documents.write.partitionBy("hour", "part").option("compression", "gzip").json(path)
+    writer = documents.drop("part").write.partitionBy("hour").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.option("compression", "gzip").json(path)
 
 
 def import_report(events: DataFrame) -> DataFrame:

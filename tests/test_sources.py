@@ -214,3 +214,15 @@ def test_stream_writer_and_templates(spark, tmp_path):
     lines = spark.readStream.schema(STREAM).option("recursiveFileLookup", True).json(str(tmp_path / "in")).select("namespace", F.lit("took 5 ms").alias("message"))
     got, _ = collected(jobs.template_counts(lines), tmp_path, "l", "update")
     assert [(r["pattern"], r["count"]) for r in got] == [("took <VAR> ms", 4)]
+
+
+def test_documents_lie_side_by_side_in_an_hour_and_are_listed_once(spark, tmp_path):
+    resource = F.struct(F.lit("").alias("group"), F.lit("v1").alias("version"), F.lit("Pod").alias("kind"), F.lit("n").alias("namespace"), F.lit("p").alias("name"), F.lit("u").alias("uid"), F.lit(None).cast("string").alias("involvedObjectUid"))
+    rows = spark.range(500).select(F.col("id").cast("string").alias("id"), (F.col("id") * 20_000_000_000 + 1).alias("timestamp"), F.lit("CREATE").alias("type"), resource.alias("resource"), F.lit("{}").alias("data"), F.lit(2).alias("dataSize"), F.lit(0).alias("compressedSize"))
+    path = tmp_path / "out"
+    ev.export_documents(rows, 1, 10**15, str(path), most=20)
+    files = sorted(path.glob("hour=*/*.json.gz"))
+    assert len(files) > 20 and not list(path.glob("hour=*/part=*"))
+    read, bad = ev.read_event_dir(spark, str(path))
+    assert sorted(int(r["id"]) for r in read.collect()) == list(range(500)) and bad.count() == 0
+    assert ev.read_documents(spark, str(path)).select("file").distinct().count() == len(files)
