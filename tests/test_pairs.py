@@ -59,3 +59,17 @@ def test_causality_pairs_are_not_gathered(spark):
         assert len(got) == len(dict(got)) and dict(got) == want
         assert {v[2] for v in want.values()} == {r[0] for r in causality.HEURISTICS}
     assert "keys=[src" not in plan(causality.infer_causality(df).filter(F.col("lag_ms") >= 0))
+
+
+def test_references_are_made_once(spark, sf_dir):
+    """An inferred filter on the array of references would parse each snapshot again; the rows are those of a plain explode."""
+    from opsgraph.plans import edges
+    from opsgraph.sources.snapshots import cluster
+    from pyspark.sql import functions as F
+
+    latest = spark.createDataFrame(cluster(spark, sf_dir).filter("kind != 'Pod' or name like '%7'").collect(), "uid string, kind string, namespace string, name string, data string")
+    found = edges.wanted_references(latest)
+    assert "size(" not in str(found._jdf.queryExecution().optimizedPlan())
+    plain = edges._wanted(latest).select("src", F.explode("every").alias("w")).select("src", "w.*")
+    shown = lambda df: sorted(str(r) for r in df.withColumn("props", F.to_json("props")).collect())
+    assert shown(found) == shown(plain) != []
