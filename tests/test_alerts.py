@@ -24,3 +24,9 @@ def test_rolling_baseline_rounds_halves_up(spark):
         want[f"a{k}"] = int(Fraction(held, 7 * DAY) * 10**6 + Fraction(1, 2)) / 10**6
     got = {r["alert"]: r["mean"] for r in alerts.rolling_baseline(spark.createDataFrame(rows, "alert string, from_state string, to_state string, ts_ns long, seq long"), as_of).collect()}
     assert got == want
+
+
+def test_rolling_baseline_of_an_alert_that_never_fired_is_zero(spark):
+    rows = [("quiet", "unknown", "pending", 10 * DAY, 0), ("quiet", "pending", "normal", 15 * DAY, 1), ("loud", "unknown", "firing", 10 * DAY, 0)]
+    got = alerts.rolling_baseline(spark.createDataFrame(rows, "alert string, from_state string, to_state string, ts_ns long, seq long"), 20 * DAY)
+    assert {r["alert"]: (r["mean"], r["stddev"]) for r in got.collect()}["quiet"] == (0.0, 0.0)
