@@ -39,7 +39,7 @@ Very long texts are one set each, in one task. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -58,6 +58,8 @@ PART_BITS = 4096
 TURNS = 2
 #: Rounds in which sets are dropped that share too few keys.
 ROUNDS = 2
+#: Slices of the keys that are shuffled one after the other, so that one slice of all posts is in a shuffle at a time.
+KEY_SLICES = 4
 #: Parts posted beyond those the pigeonhole needs, as a share of them: at most, and for the largest sets of a band.
 SPARE, LEAST_SPARE = 0.35, 0.1
 #: Longest bit sketch, in words of 64 bits, and bits for each shingle below that: the more, the nearer its distance is to the sets'.
@@ -313,31 +315,39 @@ def starred(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int, d
 
 
 def needed(posts: DataFrame, last: bool) -> DataFrame:
-    """Of posts (node, band, need, key) those that may still matter: keys that several nodes hold, of nodes that hold `need` of them in a band.
+    """Of posts (node, band, need, key) those that may still matter, stored: keys that several nodes hold, of nodes that hold `need` of them in a band.
 
     last: without the need - 1 that most nodes hold, and with freq, the nodes of the key. A window is one node's keys of
-    one band, so it is as large as a document.
+    one band, so it is as large as a document, or the nodes of one key. Each has its own job, so that posts are in one
+    shuffle at a time.
     """
-    keys = posts.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
-    own = Window.partitionBy("node", "band")
-    shared = posts.join(keys, "key")
+    holders, own = Window.partitionBy("key"), Window.partitionBy("node", "band")
+    shared = saved(posts.withColumn("freq", F.count("*").over(holders)).filter("freq > 1"), "counted")
     if last:
-        return shared.withColumn("rank", F.row_number().over(own.orderBy(F.desc("freq"), "key"))).filter("rank >= need").select("node", "band", "need", "key", "freq")
-    return shared.withColumn("held", F.count("*").over(own)).filter("held >= need").select(*posts.columns)
-
-
-def shared_keys(posts: DataFrame) -> DataFrame:
-    """(node, band, need, key, freq), stored: of posts (node, band, need, key) those by which candidates are found."""
-    # Counted with copies that several tasks have posted: keys held by one node only are found in the rounds below.
-    several = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    shared = saved(posts.join(several, "key").distinct(), "shared")
-    for _ in range(ROUNDS):
-        fewer = saved(needed(shared, last=False), "shared")
-        discard(shared)
-        shared = fewer
-    kept = saved(needed(shared, last=True), "kept")
+        out = shared.withColumn("rank", F.row_number().over(own.orderBy(F.desc("freq"), "key"))).filter("rank >= need").select("node", "band", "need", "key", "freq")
+    else:
+        out = shared.withColumn("held", F.count("*").over(own)).filter("held >= need").select("node", "band", "need", "key")
+    out = saved(out, "kept" if last else "shared")
     discard(shared)
-    return kept
+    return out
+
+
+def shared_keys(posts: DataFrame, *spent: DataFrame) -> DataFrame:
+    """(node, band, need, key, freq), stored: of posts (node, band, need, key) those by which candidates are found. spent: stored tables that only the posts read."""
+    # Counted with copies that several tasks have posted: keys held by one node only are found in the rounds below. Most
+    # posts go here; a slice of the keys is shuffled at a time, and its shuffle goes before the next one's.
+    holders = Window.partitionBy("key")
+    parts = []
+    for k in range(KEY_SLICES):
+        own = posts.filter(F.pmod(F.col("key"), F.lit(KEY_SLICES)) == k)
+        parts.append(saved(own.withColumn("n", F.count("*").over(holders)).filter("n > 1").drop("n").distinct(), "shared"))
+    discard(*spent)
+    shared, stale = reduce(DataFrame.union, parts), parts
+    for last in [False] * ROUNDS + [True]:
+        fewer = needed(shared, last)
+        discard(*stale)
+        shared, stale = fewer, [fewer]
+    return shared
 
 
 def told_apart(made: DataFrame) -> DataFrame:
@@ -415,10 +425,11 @@ def grouped(docs: DataFrame, size: int, num: int, den: int, shingle_bits: int) -
     members = spanning(open_, by_score)
     stars = members.filter("centre != node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     apart = saved(starred(stars, texts, size, num, den, differences=True), "differences")
-    kept = shared_keys(apart.select("node", "band", "need", F.explode("keys").alias("key")))
-    sizes = apart.select("node", "band", "role", F.size("keys").alias("size"))
+    discard(open_, members)
+    sizes = saved(apart.select("node", "band", "role", F.size("keys").alias("size")), "sizes")
+    kept = shared_keys(apart.select("node", "band", "need", F.explode("keys").alias("key")), apart)
     left = saved(kept.join(sizes, ["node", "band"]).join(label, "node").select("key", "node", "role", "need", "size", "component"), "left")
-    discard(open_, members, apart, kept)
+    discard(sizes, kept)
     u, v = left.alias("x"), left.alias("y")
     # Each must be able to share what the other needs.
     fit = (F.col("x.key") == F.col("y.key")) & (F.col("x.need") <= F.col("y.size")) & (F.col("y.need") <= F.col("x.size"))

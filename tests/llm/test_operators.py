@@ -564,3 +564,27 @@ def test_linked_sets_share_as_many_keys_as_they_need(num, den):
 def test_token_ids_that_need_more_planes(spark, docs):
     with pytest.raises(ValueError, match="bit-planes"):
         wavelet.write(docs, PATH, end_id=1 << 16)
+
+
+def test_posts_are_shuffled_once_by_key_in_slices(spark, monkeypatch):
+    """Keys that several nodes hold are found by one exchange of a slice of the posts, and all slices together have all of them."""
+    own = random.Random(5)
+    rows = [(n, 0, 1, own.randrange(-150, 150)) for n in range(40) for _ in range(6)]
+    posts = spark.createDataFrame(rows, "node long, band long, need int, key long")
+    seen, whole = [], jaccard.saved
+
+    def watched(df, name, *rest):
+        table = whole(df, name, *rest)
+        if name == "shared":
+            seen.append((df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"), table.collect()))
+        return table
+
+    monkeypatch.setattr(jaccard, "saved", watched)
+    jaccard.shared_keys(posts)
+    first = seen[: jaccard.KEY_SLICES]
+    assert [n for n, _ in first] == [1] * jaccard.KEY_SLICES and all(len(part) < len(set(rows)) / 2 for _, part in first)
+    count = defaultdict(int)
+    for row in rows:
+        count[row[3]] += 1
+    got = [tuple(r) for _, part in first for r in part]
+    assert sorted(got) == sorted(r for r in set(rows) if count[r[3]] > 1)
